@@ -65,5 +65,5 @@ RELATED_RE = re.compile(
 # Bylines: a preposition of authorship and one to three capitalised names, nothing else.
 _NAME = r"[^\W\d_][^\W\d_'’.]*(?:[-'’][^\W\d_]+)*\.?"
 BYLINE_RE = re.compile(
-    rf"^(?:by|written by|von|par|por|di|door|av|autor:|автор:|auteur:|文[:：]?|著者[:：]?)\s+{_NAME}(?:\s+{_NAME}){{1,2}}$", re.I
+    rf"^(?:(?:by|written by|von|par|por|di|door|av|autor:|автор:|auteur:)\s+|(?:文|著者)[・:：]\s*){_NAME}(?:\s+{_NAME}){{1,2}}$", re.I
 )

@@ -21,6 +21,7 @@ CACHE_ROWS = 200_000
 
 MD_LINK = re.compile(r"!?\[([^\]\n]*)\]\(([^)\s]*)\)")
 _LIST = re.compile(r"^(?:[-*+]|\d{1,3}[.)])\s+")
+_HEADING = re.compile(r"^(#{1,6})(?:\s+|$)")
 _WS = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 _HIRA = re.compile(r"[ぁ-ゟ]")
@@ -52,11 +53,11 @@ def _kind(text: str, link_chars: int, n_links: int, level: int, item: bool, quot
         return H1 if not (CUE_RE.search(low) and len(core) < 40 or RELATED_RE.match(low)) else CUE
     if level and RELATED_RE.match(low) or (not item and not quote and len(core) < 60 and RELATED_RE.match(low) and link_chars == 0):
         return RELATED
-    if not quote and len(core) <= 260 and CUE_RE.search(low):
+    if not quote and len(core) <= 200 and CUE_RE.search(low):
         return CUE
     if not item and not quote and len(core) <= 60 and BYLINE_RE.match(core):
         names = core.split()[1:]
-        if all(n[0].isupper() for n in names) or core == low:
+        if all(n[0].isupper() for n in names) or core == low or core[0] in "文著":
             return CUE
     if low in NAV_LABELS:
         return LABEL
@@ -92,9 +93,9 @@ def markdown_kind(line: str) -> int:
             return BLANK
         level = 0
         quote = False
-        if s[0] == "#":
-            level = len(s) - len(s.lstrip("#"))
-            s = s[level:].strip()
+        if s[0] == "#" and (m := _HEADING.match(s)):
+            level = len(m.group(1))
+            s = s[m.end() :].strip()
         elif s[0] == ">":
             quote = True
             s = s.lstrip("> ").strip()
@@ -110,7 +111,7 @@ def markdown_kind(line: str) -> int:
                 n = len(found)
                 link_chars = sum(len(a) for a, _ in found)
                 s = MD_LINK.sub(r"\1", s)
-            k = _kind(_WS.sub(" ", s).strip(), link_chars, n, level, item, quote) if s.strip() else SHORT
+            k = _kind(" ".join(s.split()), link_chars, n, level, item, quote) if s.strip() else SHORT
         if len(_md_cache) > CACHE_ROWS:
             _md_cache.clear()
         _md_cache[line] = k

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .boilerplate import boilerplate_lines, main_text
 from .engine import table
+from .quality import quality_found, quality_statistics
+from .residue import residue_records
+from .spam import spam_records
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +25,21 @@ def p1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown").withColumnRenamed("row_id", "page_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_records(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_records(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_found(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "metadata.word_count")
+
+
+def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_statistics(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown").withColumnRenamed("row_id", "page_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
