@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .boilerplate import boilerplate_lines, main_text
 from .engine import table
+from .language import detect_languages, fit_languages, language_found
+from .markup import clean_documents
 from .quality import quality_found, quality_statistics
+from .repeated import repeated_lines, without_repeated_lines
 from .residue import residue_records
 from .spam import spam_records
 
@@ -25,6 +29,25 @@ def p1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown").withColumnRenamed("row_id", "page_id")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = clean_documents(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "html", with_text=False)
+    return docs.select("page_id", "field", F.explode("markup").alias("markup"))
+
+
+def p2_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_documents(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "html")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_found(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "metadata.language")
+
+
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "crawl_docs")
+    crf = fit_languages(docs, "page_id", "markdown", "metadata.language")
+    return detect_languages(docs, "page_id", "markdown", crf).withColumn("confidence", F.round("confidence", 4))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_records(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown")
 
@@ -33,6 +56,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_records(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "url")
+
+
+def p6_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "url")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_found(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "metadata.word_count")
 
