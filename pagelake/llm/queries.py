@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from .boilerplate import boilerplate_lines, main_text
 from .engine import table
 from .language import detect_languages, fit_languages, language_found
+from .leakage import leaked_items
 from .markup import clean_documents
 from .quality import quality_found, quality_statistics
 from .repeated import repeated_lines, without_repeated_lines
 from .residue import residue_records
 from .spam import spam_records
+from .tokenizer import encode_texts
+from .truncation import truncated, truncation_rates
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +75,21 @@ def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_statistics(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown").withColumnRenamed("row_id", "page_id")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "content_length").where("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation_rates(truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "content_length"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
