@@ -1,67 +1,5 @@
-"""Small Spark helpers shared by the text operators.
+"""Spark helpers shared by the text operators."""
 
-Every operator reads whole columns through Arrow batches (``mapInArrow``) and
-selects only the columns it names, so extra or clashing columns never matter.
-"""
+from ..operators.arrow import map_rows, pick, save_point, spread, table
 
-from __future__ import annotations
-
-from collections.abc import Callable, Iterable, Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """The named (possibly nested) columns under new names, nothing else."""
-    return df.select(*[F.col(c).alias(n) for n, c in columns.items()])
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A fresh scan with fewer partitions than cores is dealt out over all of
-    them; larger inputs (every real one) keep their splits and aren't shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
-def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Iterable]], schema: str) -> DataFrame:
-    """Arrow batches in, Arrow batches out.  ``fn`` gets a batch as lists by
-    column name and returns lists by column name."""
-    target = to_arrow_schema(_struct(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in target], schema=target)
-
-    return df.mapInArrow(run, schema)
-
-
-def _struct(schema: str) -> StructType:
-    out = _parse_datatype_string(schema)
-    assert isinstance(out, StructType)
-    return out
-
-
-def save_point(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with ``checkpoint()`` in the folder that the session
-    names in spark.checkpoint.dir (shared on a cluster).  Only where that is
-    unset, as in tests, a local folder is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="pagelake-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+__all__ = ["map_rows", "pick", "save_point", "spread", "table"]
