@@ -24,7 +24,7 @@ def width_descriptor(desc: Column) -> Column:
 
 def largest_of_srcset(srcset: Column) -> Column:
     """The widest source of a srcset, the first of equals; undescribed count as 0."""
-    items = F.filter(F.transform(F.split(srcset, ","), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(srcset, ","), lambda x: F.trim(x)), lambda x: x != "")
     rated = F.transform(items, lambda x, i: F.struct(F.coalesce(width_descriptor(F.regexp_extract(x, r"\s(\S+)$", 1)), F.lit(0)).alias("w"), (-i).alias("i"), F.regexp_extract(x, r"^(\S+)", 1).alias("u")))
     best = F.try_element_at(F.sort_array(rated, asc=False), F.lit(1))
     return best["u"]

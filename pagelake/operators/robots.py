@@ -99,7 +99,7 @@ def sitemap_entries(df: DataFrame, url_col: str, body_col: str) -> DataFrame:
     b = F.col(body_col)
     index = F.regexp_extract_all(b, F.lit(r"(?s)<sitemap[^>]*>.*?<loc>([^<]+)</loc>.*?</sitemap>"), F.lit(1))
     pages = F.regexp_extract_all(b, F.lit(r"(?s)<url[^>]*>.*?<loc>([^<]+)</loc>.*?</url>"), F.lit(1))
-    plain = F.filter(F.transform(F.split(b, "\n"), F.trim), lambda x: x.startswith("http"))
+    plain = F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("http"))
     is_index, is_xml = b.contains("<sitemapindex"), b.contains("<urlset") | b.contains("<sitemapindex")
     entries = F.when(is_index, index).when(is_xml, pages).otherwise(plain)
     kind = F.when(is_index, "sitemap").otherwise("page")

@@ -1 +1,6 @@
 """Query catalogue over the test tables, with SQL twins."""
+
+from . import data_q, pages_q, urls_q  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -25,7 +25,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str, categories: list[str] | None = None) -> DataFrame:
     """``category | url | description | min_words`` lines; blank and # lines are skipped."""
     rows = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> '' AND NOT startswith(v, '#')")
-    p = F.transform(F.split("v", r"\|"), F.trim)
+    p = F.transform(F.split("v", r"\|"), lambda x: F.trim(x))
     out = rows.select(F.get(p, 0).alias("category"), F.get(p, 1).alias("url"), F.get(p, 2).alias("description"), F.coalesce(F.get(p, 3).try_cast("int"), F.lit(50)).alias("min_words"))
     out = out.where("url IS NOT NULL")
     return out.where(F.col("category").isin(categories)) if categories else out
