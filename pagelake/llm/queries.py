@@ -93,3 +93,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
