@@ -189,13 +189,14 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield got
 
 
-def repeated_lines(df: DataFrame, id_col: str, text_col: str, url_col: str) -> DataFrame:
+def repeated_lines(df: DataFrame, id_col: str, text_col: str, url_col: str, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """(page_id, line_no) of every line that stands in at least MIN_DOCS and
-    MIN_SHARE of its source's documents."""
+    MIN_SHARE of its source's documents.  ``shard_docs``: documents a task holds
+    at most of one source, about."""
     base = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(url_col).alias("u"))
     base = base.select("i", "t", host_column("u").alias("source")).where("source IS NOT NULL")
     sizes = base.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > SHARD_DOCS)
+    large = sizes.where(F.col("n") > shard_docs)
     hot = {r.source: r.n for r in large.limit(HOT_SOURCES + 1).collect()}
     if len(hot) > HOT_SOURCES:
         base = base.join(large.withColumnRenamed("n", "size"), "source", "left").select("i", "t", "source", "size")
@@ -205,7 +206,7 @@ def repeated_lines(df: DataFrame, id_col: str, text_col: str, url_col: str) -> D
 
     def run(b: dict[str, list]) -> dict[str, list]:
         size = [hot.get(s, 0) if n is None else n for s, n in zip(b["source"], b["size"], strict=True)]
-        shards = [max(1, -(-n // SHARD_DOCS)) if n > SHARD_DOCS else 1 for n in size]
+        shards = [max(1, -(-n // shard_docs)) if n > shard_docs else 1 for n in size]
         return {
             "source": b["source"],
             "shard": [crc32(str(i).encode()) % k if k > 1 else 0 for i, k in zip(b["i"], shards, strict=True)],

@@ -127,8 +127,8 @@ def pair_counts(df: DataFrame, text_col: str) -> Pairs:
     return Pairs(full[: 1 << WORD_BITS], full[1 << WORD_BITS :])
 
 
-_HASHTAG = re.compile(r"#\w+")
-_WORDS = re.compile(r"#?[^\W\d_]{2,}")
+_BREAKS = frozenset("0123456789()")  # numbers and counts part the words on either side
+_WORDS = re.compile(r"#?[^\W\d_]{2,}|[\d()]+")
 
 
 def repetition(p: Profile) -> tuple[int, float, float]:
@@ -137,9 +137,10 @@ def repetition(p: Profile) -> tuple[int, float, float]:
     n, found, single, pairs = 0, [], Counter(), Counter()
     for line in p.text.split("\n"):
         ws = _WORDS.findall(line.lower())
+        prs = [(a, b) for a, b in zip(ws, ws[1:], strict=False) if a[0] not in _BREAKS and b[0] not in _BREAKS]
+        ws = [w for w in ws if w[0] not in _BREAKS]
         n += len(ws)
         single.update(ws)
-        prs = list(zip(ws, ws[1:], strict=False))
         pairs.update(prs)
         found.append(prs)
     if not n:
@@ -167,10 +168,12 @@ def spam_kind(p: Profile, pairs: Pairs) -> str | None:
     n, often, distinct = repetition(p)
     if n < MIN_WORDS:
         return None
-    if often >= REPEATED or distinct < 0.12:
+    if often >= REPEATED:
         return "keywords"
     if quality_kind(p)[0] == "list":
         return None
+    if distinct < 0.12:
+        return "keywords"
     if p.prose_chars > 0.3 * p.chars:
         return None
     pmi = pairs.mean_pmi(p.text)

@@ -6,10 +6,11 @@ Method: the length of every text is recomputed as a field might have held it
 have than their neighbours are hidden storage limits.  Then the ending is
 inspected: closed (a complete sentence, entry, row, code block, address or
 closing mark), open (inside a word, sentence, code, row or link), marked (an
-ellipsis or "more" put where something is missing) or plain (could be either,
-as a list entry).  Open texts are cut; plain ones are if they stand at a limit,
-if more bytes were declared than came, or if their last word is unknown to the
-corpus; marked ones if the mark follows an unfinished phrase or stands at a
+ellipsis or "more" put where something is missing), plain (could be either, as
+a list entry) or form (an address, signature or code, which seldom ends a cut).
+Open texts are cut; plain ones are if they stand at a limit, if more bytes were
+declared than came, or if their last word is unknown to the corpus; forms at a
+limit with such a word, or if bytes are missing; marked ones if the mark follows an unfinished phrase or stands at a
 limit of its source.
 
 Null, empty and blank texts are never reported.  A copy is judged like its
@@ -32,7 +33,8 @@ from .lexicon import ALL_STOP
 MEASURES = ("chars", "utf8", "utf16", "html_chars", "html_utf8", "json_chars", "json_utf8", "json_ascii", "crlf_chars", "crlf_utf8")
 SLACK = (0, 3, 1, 5, 6, 1, 4, 5, 1, 4)  # units that a cut may leave unused (a split character or escape)
 NEAR = 30  # lengths on either side that a limit is compared with
-LEAST = 4  # texts at a limit
+LEAST = 6  # different texts at a limit, at least,
+SHARE = 0.01  # and this share of the source's different texts
 TIMES = 8.0  # times the mean of its neighbours
 MARK_WINDOW = 14  # characters below a limit within which marked cuts fall
 WORD_BITS = 20
@@ -51,9 +53,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SIGN = re.compile(r"^\s*(?:[—–]|--)\s*\S")
 _GREETING = re.compile(r"^(?:thanks|regards|best|best wishes|kind regards|sincerely|cheers|yours|love|grüße|viele grüße|cordialement|saludos|saluti|groeten|hälsningar|pozdrawiam|abraços|с уважением)[,!]?$", re.I)
 _CODE_LINE = re.compile(r"^(?:v|tel|fax|isbn|ref|no)\.?\s?[\d .:/-]+$|^v\d+(?:\.\d+)+$", re.I)
-_KEY_VALUE = re.compile(r"^[^\W\d_][^.!?:]{0,24}: \S[^.!?]{0,40}$")
+_KEY_VALUE = re.compile(r"^[^\W\d_][^.!?:]{0,24}: \S[^.!?]{0,40}(?<![,;:])$")
 
-CLOSED, OPEN, MARKED, SURE, PLAIN = range(5)
+CLOSED, OPEN, MARKED, SURE, PLAIN, FORM = range(6)
 
 
 def ending(text: str) -> int:
@@ -109,7 +111,7 @@ def ending(text: str) -> int:
     if "[" in line and _OPEN_LINK.search(line) and not line.endswith("]") and not item:
         return OPEN
     if _URL_END.search(line):
-        return PLAIN if " " not in line else OPEN
+        return FORM if " " not in line else OPEN
     if line[-1] in ")]}»”」』" and alone and line[0] in "([{«“「『":
         return CLOSED
     if item:
@@ -118,15 +120,15 @@ def ending(text: str) -> int:
             return OPEN
         return PLAIN
     if _SIGN.match(line) or _CODE_LINE.match(line):
-        return PLAIN
+        return FORM
     words = line.split()
     if alone and len(words) <= 4 and line.isupper():
         return CLOSED
     up = before.rsplit("\n", 1)[-1].strip()
     if not alone and _GREETING.match(up) and len(words) <= 3:
-        return PLAIN
+        return FORM
     if alone and len(words) <= 6 and _KEY_VALUE.match(line):
-        return PLAIN
+        return FORM
     return OPEN
 
 
@@ -166,7 +168,7 @@ def word_table(df: DataFrame, text_col: str) -> np.ndarray:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    for w in set(_WORD.findall(t.lower()[: -len(t.rstrip().split("\n")[-1]) or None])):
+                    for w in set(_WORD.findall(t.lower())[:-1]):  # not the last: it may be cut itself
                         h = seen.get(w)
                         if h is None:
                             if len(seen) > 500_000:
@@ -185,15 +187,19 @@ def word_table(df: DataFrame, text_col: str) -> np.ndarray:
 
 
 def hidden_limits(found: DataFrame) -> DataFrame:
-    """(source, measure, len, n): lengths at which far more texts of a source
-    lie than around them.  ``found``: source and m (the measures) per text."""
-    counts = found.select("source", F.posexplode("m").alias("measure", "len")).groupBy("source", "measure", "len").agg(F.count(F.lit(1)).alias("n"))
-    near = Window.partitionBy("source", "measure").orderBy("len").rangeBetween(-NEAR, NEAR)
-    around = (F.sum("n").over(near) - F.col("n")) / F.lit(2.0 * NEAR)
-    return counts.withColumn("around", around).where((F.col("n") >= LEAST) & (F.col("n") >= TIMES * (F.col("around") + F.lit(0.1)))).drop("around")
+    """(source, measure, len, n): lengths at which far more different texts of a
+    source lie than around them.  ``found``: source, h (hash of the text) and m
+    (the measures) per text; copies count once."""
+    once = found.groupBy("source", "h").agg(F.first("m").alias("m"))
+    counts = once.select("source", F.posexplode("m").alias("measure", "len")).groupBy("source", "measure", "len").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("source", "measure")
+    near = whole.orderBy("len").rangeBetween(-NEAR, NEAR)
+    counts = counts.withColumn("around", (F.sum("n").over(near) - F.col("n")) / F.lit(2.0 * NEAR)).withColumn("all", F.sum("n").over(whole))
+    many = (F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("all")) & (F.col("n") >= TIMES * (F.col("around") + F.lit(0.1)))
+    return counts.where(many).drop("around", "all")
 
 
-ENDS = "doc_id BIGINT, source STRING, e INT, known BOOLEAN, bytes BIGINT, declared BIGINT, m ARRAY<BIGINT>"
+ENDS = "doc_id BIGINT, source STRING, h BIGINT, e INT, known BOOLEAN, bytes BIGINT, declared BIGINT, m ARRAY<BIGINT>"
 
 
 def text_endings(df: DataFrame, id_col: str, text_col: str, source_col: str, declared_col: str | None) -> DataFrame:
@@ -209,6 +215,7 @@ def text_endings(df: DataFrame, id_col: str, text_col: str, source_col: str, dec
         return {
             "doc_id": [b["i"][k] for k in keep],
             "source": [b["s"][k] for k in keep],
+            "h": [crc32(x) << 31 ^ crc32(x[::-1]) for x in (t.encode("utf-8", "surrogatepass") for t in texts)],
             "e": [ending(t) for t in texts],
             "known": [bool(table[_bucket(last_word(t))] >= 3) for t in texts],
             "bytes": [x[1] for x in sizes],
@@ -240,9 +247,10 @@ def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str, declar
         F.when(F.col("e").isin(OPEN, SURE), True)
         .when(F.col("e") == MARKED, in_bins | at_limit)
         .when(F.col("e") == PLAIN, at_limit | short | ~F.col("known"))
+        .when(F.col("e") == FORM, (at_limit & ~F.col("known")) | short)
         .otherwise(False)
     )
-    name = F.element_at(F.array(*[F.lit(x) for x in ("closed", "open", "marked", "cut mark", "plain")]), F.col("e") + 1)
+    name = F.element_at(F.array(*[F.lit(x) for x in ("closed", "open", "marked", "cut mark", "plain", "form")]), F.col("e") + 1)
     return out.select("doc_id", "source", name.alias("ending"), at_limit.alias("at_limit"), cut.alias("cut"))
 
 
