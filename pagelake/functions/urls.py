@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _HEAD = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
-HOST = _HEAD + r"(?:[^/?#@]*@)?([^/?#:]+)"
-PORT = _HEAD + r"(?:[^/?#@]*@)?[^/?#:]+:([0-9]+)"
+HOST = _HEAD + r"(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)"
+PORT = _HEAD + r"(?:[^/?#@]*@)?(?:\[[^\]/?#]*\]|[^/?#:]+):([0-9]+)"
 USER = _HEAD + r"([^/?#@]*@)"
 PATH = _HEAD + r"[^/?#]*([^?#]*)"
 QUERY = r"^[^?#]*\?([^#]*)"
@@ -276,7 +276,7 @@ def is_private_target(url: Column) -> Column:
     """Literal private addresses and internal names, or no web address at all."""
     h = host(url)
     names = "|".join(n.replace(".", r"\.") for n in PRIVATE_NAMES)
-    internal = h.rlike(rf"(^|\.)({names})$") | h.rlike(PRIVATE_NETS) | h.rlike(r"^\[?(::1|fe[89ab][0-9a-f]|f[cd][0-9a-f]{2})")
+    internal = h.rlike(rf"(^|\.)({names})$") | h.rlike(PRIVATE_NETS) | h.rlike(r"^\[(::1|fe[89ab][0-9a-f]|f[cd][0-9a-f]{2})")
     return F.coalesce(internal, F.lit(False)) | ~is_http(url)
 
 

@@ -322,6 +322,7 @@ def to_markdown(source: str | None, base: str = "", only_main: bool = True, incl
     if only_main and len(out.encode()) < 50:
         whole = parse(source)
         prepare_images(whole)
+        flatten_layout_tables(whole)
         if include or exclude:
             whole = keep_tags(whole, include or [], exclude or [])
         out = _render(whole, base)

@@ -31,7 +31,7 @@ _HEAD = "^[A-Za-z][A-Za-z0-9+.-]*://"
 
 
 def sql_host(u: str) -> str:
-    return f"nullif(lower(regexp_extract({u}, '{_HEAD}(?:[^/?#@]*@)?([^/?#:]+)', 1)), '')"
+    return f"nullif(lower(regexp_extract({u}, '{_HEAD}(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]+)', 1)), '')"
 
 
 def sql_site(u: str) -> str:
@@ -49,7 +49,7 @@ def sql_query(u: str) -> str:
 def sql_canonical(u: str) -> str:
     p0 = f"regexp_replace({sql_path(u)}, '/+$', '')"
     p1 = f"(CASE WHEN regexp_matches({p0}, '/index\\.html$') THEN regexp_replace({p0}, '/index\\.html$', '') ELSE regexp_replace({p0}, '/index\\.php$', '') END)"
-    port = f"nullif(regexp_extract({u}, '{_HEAD}(?:[^/?#@]*@)?[^/?#:]+:([0-9]+)', 1), '')"
+    port = f"nullif(regexp_extract({u}, '{_HEAD}(?:[^/?#@]*@)?(?:\\[[^\\]/?#]*\\]|[^/?#:]+):([0-9]+)', 1), '')"
     q = sql_query(u)
     sorted_q = f"list_reduce(list_transform(list_sort(list_transform(string_split({q}, '&'), lambda x, i: {{'k': split_part(x, '=', 1), 'i': i, 'x': x}})), lambda p: p.x), lambda a, b: a || '&' || b)"
     return (
