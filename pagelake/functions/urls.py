@@ -70,16 +70,17 @@ def sorted_query(q: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """https, no leading ``www.``, default ports, trailing slashes, index files
-    and fragment off, query sorted by key.  Unparsable values stay.  Idempotent."""
-    p0 = F.regexp_replace(path(url), r"/+$", "")
-    p1 = F.when(p0.rlike(r"/index\.html$"), F.regexp_replace(p0, r"/index\.html$", "")).otherwise(F.regexp_replace(p0, r"/index\.php$", ""))
-    p = F.when(p1 == "", "/").otherwise(p1)
-    number = port(url)
-    at_port = F.when(number.isNull() | number.isin(80, 443), "").otherwise(F.concat(F.lit(":"), number.cast("string")))
-    user = F.coalesce(_part(url, USER), F.lit(""))
-    q = query(url)
-    out = F.concat(F.lit("https://"), user, site(url), at_port, p, F.when(q.isNull(), "").otherwise(F.concat(F.lit("?"), sorted_query(q))))
-    return F.when(is_http(url) & host(url).isNotNull(), out).otherwise(url)
+    and fragment off, query sorted by key.  Unparsable values stay.  Idempotent.
+    One pattern a part and no part twice, as expressions aren't shared."""
+    name = F.lower(F.regexp_extract(url, _HEAD + r"(?:[^/?#@]*@)?(?:[wW]{3}\.)?(\[[^\]/?#]*\]|[^/?#:]+)", 1))
+    user = F.regexp_extract(url, USER, 1)
+    at_port = F.regexp_replace(F.concat(F.lit(":"), F.regexp_extract(url, PORT, 1)), r"^:(?:0*(?:80|443))?$|(?<=^:)0+(?=[0-9])", "")
+    p = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, PATH, 1), r"/+$", ""), r"/index\.(?:html|php)$", "")
+    p = F.regexp_replace(p, "^$", "/")
+    q = F.regexp_extract(url, QUERY, 1)
+    q = F.when(F.instr(url, "?") == 0, "").otherwise(F.regexp_replace(F.concat(F.lit("?"), F.when(F.instr(url, "&") == 0, q).otherwise(sorted_query(q))), r"^\?$", ""))
+    ok = url.rlike(r"^[hH][tT][tT][pP][sS]?://(?:[^/?#@]*@)?(?:\[[^\]/?#]*\]|[^/?#:]+)")
+    return F.when(ok, F.concat(F.lit("https://"), user, name, at_port, p, q)).otherwise(url)
 
 
 def canonical_light(url: Column) -> Column:

@@ -15,7 +15,7 @@ from .arrow import save_point
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int, src: str = "src", dst: str = "dst") -> DataFrame:
     """(url, depth): least number of links from any seed, up to ``max_depth``."""
-    e = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s IS NOT NULL AND d IS NOT NULL").distinct()
+    e = save_point(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s IS NOT NULL AND d IS NOT NULL").distinct())
     level = save_point(seeds.toDF("url").where("url IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
     out = level
     for depth in range(1, max_depth + 1):

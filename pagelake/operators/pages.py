@@ -14,6 +14,7 @@ from ..functions.markdown_clean import cap_size, clean, compress_tables
 from ..options import ExtractOptions, InvalidOption, ScrapeOptions
 from . import render
 from .arrow import map_rows, pick, spread
+from .htmltree import parse
 
 _META = ("title", "description", "language", "keywords", "robots", "og_title", "og_description", "og_url", "og_image", "url", "canonical_url")
 
@@ -50,15 +51,15 @@ def scrape(pages: DataFrame, options: ScrapeOptions | None = None, id_col: str =
     fields = ["row_id BIGINT", "md STRING", "link_list ARRAY<STRING>", "image_list ARRAY<STRING>"] + [f"m_{n} STRING" for n in _META]
 
     def run(b: dict[str, list]) -> dict[str, list]:
-        rows = list(zip(b["h"], b["u"], strict=True))
-        found = [render.metadata(h, u) for h, u in rows]
-        return {
+        rows = [(parse(h or ""), h, u) for h, u in zip(b["h"], b["u"], strict=True)]
+        found = [render.metadata(t, u) for t, _, u in rows]
+        out = {
             "row_id": b["i"],
-            "md": [render.to_markdown(h, u or "", main, inc, exc) if "markdown" in formats else None for h, u in rows],
-            "link_list": [render.links(h, u or "") if "links" in formats and h else None for h, u in rows],
-            "image_list": [render.images(h, u or "") if "images" in formats and h else None for h, u in rows],
+            "link_list": [render.links(t, u or "") if "links" in formats and h else None for t, h, u in rows],
+            "image_list": [render.images(t, u or "") if "images" in formats and h else None for t, h, u in rows],
             **{f"m_{n}": [m[n] for m in found] for n in _META},
         }
+        return out | {"md": [render.to_markdown(h, u or "", main, inc, exc, t) if "markdown" in formats else None for t, h, u in rows]}
 
     parsed = map_rows(spread(pick(pages, i=id_col, h="html", u="url")), run, ", ".join(fields))
     base = pages.select(F.col(id_col).alias("row_id"), "url", "html", "status_code", "content_type")

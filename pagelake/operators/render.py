@@ -123,11 +123,42 @@ def flatten_layout_tables(root: Element) -> None:
                     e.tag = "div"
 
 
+_SIMPLE = {s for s in MAIN_SELECTORS if " " not in s and "[" not in s}
+
+
+def _main_candidates(root: Element) -> dict[str, Element]:
+    """The first match of every main selector, in one walk."""
+    found: dict[str, Element] = {}
+    for e in root.walk():
+        if e is root:
+            continue
+        keys = [e.tag, *("." + c for c in e.classes)]
+        if "id" in e.attrs:
+            keys.append("#" + e.attrs["id"])
+        for k in keys:
+            if k in _SIMPLE:
+                found.setdefault(k, e)
+        if e.attrs.get("role") == "main":
+            found.setdefault("[role='main']", e)
+        if "data-docs-content" in e.attrs:
+            found.setdefault("[data-docs-content]", e)
+        if e.tag == "article" and ("main article" not in found or "[role='main'] article" not in found):
+            up = e.parent
+            while up is not None:
+                if up.tag == "main":
+                    found.setdefault("main article", e)
+                if up.attrs.get("role") == "main":
+                    found.setdefault("[role='main'] article", e)
+                up = up.parent
+    return found
+
+
 def main_content(root: Element, size: int) -> Element:
     """The first listed place that makes up a tenth of the page; else the page
     without noise.  Navigation nested inside goes in either case."""
+    found = _main_candidates(root)
     for s in MAIN_SELECTORS:
-        e = select_first(root, s)
+        e = found.get(s)
         if e is not None and len(e.outer()) >= size / 10:
             for x in select(e, NESTED_NOISE):
                 x.remove()
@@ -168,6 +199,8 @@ class Renderer:
     def url(self, u: str) -> str:
         if not self.base or u.startswith(("data:", "mailto:", "tel:", "javascript:")):
             return u
+        if u.startswith(("https://", "http://")) and "/../" not in u:
+            return u
         try:
             return urljoin(self.base, u)
         except ValueError:
@@ -296,10 +329,12 @@ class Renderer:
 _SEPARATORS = re.compile(r"\n{3,}")
 
 
-def to_markdown(source: str | None, base: str = "", only_main: bool = True, include: list[str] | None = None, exclude: list[str] | None = None) -> str | None:
+def to_markdown(
+    source: str | None, base: str = "", only_main: bool = True, include: list[str] | None = None, exclude: list[str] | None = None, tree: Element | None = None
+) -> str | None:
     """Markdown of a page.  JSON bodies come fenced, plain text as it is; a main
     part with under 50 bytes is taken again from the whole page; a text without
-    headings gets the title on top."""
+    headings gets the title on top.  ``tree``: the parsed page, which is used up."""
     if source is None:
         return None
     s = source.strip()
@@ -312,7 +347,7 @@ def to_markdown(source: str | None, base: str = "", only_main: bool = True, incl
             return f"# JSON Response\n\n```json\n{s}\n```"
     if "<" not in s:
         return s
-    root = parse(source)
+    root = tree if tree is not None else parse(source)
     title = select_first(root, "title")
     prepare_images(root)
     flatten_layout_tables(root)
@@ -365,9 +400,9 @@ def first_paragraph(root: Element) -> str | None:
     return None
 
 
-def metadata(source: str | None, url: str | None = None) -> dict[str, str | None]:
+def metadata(source: str | Element | None, url: str | None = None) -> dict[str, str | None]:
     """Title, description, language, keywords, robots, Open Graph and canonical link."""
-    root = parse(source or "")
+    root = source if isinstance(source, Element) else parse(source or "")
     title = select_first(root, "title")
     html = select_first(root, "html")
     canonical = select_first(root, "link[rel='canonical']")
@@ -387,14 +422,16 @@ def metadata(source: str | None, url: str | None = None) -> dict[str, str | None
     }
 
 
-def links(source: str | None, base: str) -> list[str]:
+def links(source: str | Element | None, base: str) -> list[str]:
     r = Renderer(base)
-    return [r.url(e.attrs["href"]) for e in select(parse(source or ""), "a") if e.attrs.get("href")]
+    root = source if isinstance(source, Element) else parse(source or "")
+    return [r.url(e.attrs["href"]) for e in select(root, "a") if e.attrs.get("href")]
 
 
-def images(source: str | None, base: str) -> list[str]:
+def images(source: str | Element | None, base: str) -> list[str]:
     r = Renderer(base)
-    found = [image_source(e) for e in select(parse(source or ""), "img")]
+    root = source if isinstance(source, Element) else parse(source or "")
+    found = [image_source(e) for e in select(root, "img")]
     return [r.url(u) for u in found if u and not u.startswith("data:")]
 
 

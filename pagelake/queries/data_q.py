@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import urls as U
 from ..operators import evaluate as E
-from .registry import query, sql_canonical, sql_site, table
+from .registry import query, sql_canonical, sql_site, table, wide_table
 
 # ---- graph ------------------------------------------------------------------------------
 
@@ -19,7 +19,7 @@ _SEED = f"SELECT {sql_canonical('url')} AS url FROM crawl_docs WHERE url IS NOT
 
 
 def _edges(s, d):
-    e = table(s, d, "crawl_edges").where("dst IS NOT NULL")
+    e = wide_table(s, d, "crawl_edges").where("dst IS NOT NULL")
     return e.select(U.canonical(F.col("src")).alias("src"), U.canonical(F.col("dst")).alias("dst"), "kind", "pos").where("src IS NOT NULL")
 
 

@@ -11,7 +11,8 @@ from ..functions import markdown_clean as M
 from ..functions import scalars as S
 from ..functions import text as T
 from ..functions import urls as U
-from .registry import query, sql_any, sql_count, sql_trim, sql_words, table
+from .registry import query, sql_any, sql_count, sql_trim, sql_words
+from .registry import wide_table as table
 
 
 def _entities_sql(x: str) -> str:

@@ -25,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """For work that is heavy by row: a table in fewer files than cores is dealt
+    out over them; any larger table is read as it is."""
+    from ..operators.arrow import spread
+
+    return spread(table(spark, sf_dir, name))
+
+
 # ---- parts of SQL twins ------------------------------------------------------------
 
 _HEAD = "^[A-Za-z][A-Za-z0-9+.-]*://"

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from .registry import query, sql_canonical, sql_host, sql_path, sql_query, sql_site, table
+from .registry import query, sql_canonical, sql_host, sql_path, sql_query, sql_site
+from .registry import wide_table as table
 
 URLS = "crawl_docs"
 
