@@ -50,6 +50,7 @@ _NO_LANGUAGE = frozenset(("", "und", "unknown", "x-default", "mul", "mis", "zxx"
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _LETTER = re.compile(r"[^\W\d_]")
 _URL = re.compile(r"<?https?://\S+|\]\([^)\s]*\)")
+_TAG = re.compile(r"<[^<>]*>")
 _MARKED = re.compile(r"^\s*(?:[-*+•]\s|\d{1,3}[.)]\s|#{1,6}(?:\s|$))", re.M)
 _LINK = re.compile(r"\[[^\]\n]*\]\([^)\s]*\)")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
@@ -107,6 +108,8 @@ def blocks(markdown: str) -> list[Block]:
 def words_of(text: str) -> list[str]:
     if "://" in text or "](" in text:
         text = _URL.sub(" ", text)
+    if "</" in text or "<br" in text:
+        text = _TAG.sub(" ", text)
     return _WORD.findall(text.lower())
 
 
