@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,6 +30,8 @@ def spread(df: DataFrame) -> DataFrame:
     """A fresh scan with fewer partitions than cores is dealt out over all of
     them; larger inputs (every real one) keep their splits and aren't shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().nodeName():
+        return df  # not a fresh scan: it has an exchange of its own, and counting would run it
     if df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
         return df.repartition(cores)
     return df
@@ -39,9 +43,11 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Iterable]]
     target = to_arrow_schema(_struct(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in target], schema=target)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):  # few rows as Python objects at a time
+                b = batch.slice(start, ROWS)
+                got = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
+                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranks import numbered, with_previous
 
 
 def nearest_rank(values: Column, p: float) -> Column:
@@ -108,13 +109,17 @@ def trailing_failures(df: DataFrame, key_col: str, ok: Column, order_cols: list[
 
 
 def cache_hits(df: DataFrame, key_cols: list[str], ts_col: str, order_col: str, ttl_seconds: int) -> DataFrame:
-    """Looks at a key within ``ttl_seconds`` of the look before are hits."""
-    w = Window.partitionBy(*key_cols).orderBy(ts_col, order_col)
-    gap = F.unix_micros(F.col(ts_col).cast("timestamp")) - F.unix_micros(F.lag(ts_col).over(w).cast("timestamp"))
-    return df.withColumn("hit", F.coalesce(gap < ttl_seconds * 1_000_000, F.lit(False)))
+    """Looks at a key within ``ttl_seconds`` of the look before are hits.  Keys
+    of any size spread over chunks; null keys are keys of their own."""
+    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    filled = df.withColumns({f"__k{i}": F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for i, c in enumerate(key_cols)})
+    keys = [f"__k{i}" for i in range(len(key_cols))]
+    out = with_previous(filled, keys, [ts_col, order_col], us, "__before")
+    return out.withColumn("hit", F.coalesce(us - F.col("__before") < ttl_seconds * 1_000_000, F.lit(False))).drop(*keys, "__before")
 
 
 def politeness_schedule(df: DataFrame, host: Column, order_cols: list[str], per_second: int) -> DataFrame:
-    """Second at which each address of a host may be fetched."""
-    w = Window.partitionBy("host").orderBy(*order_cols)
-    return df.withColumn("host", host).where("host IS NOT NULL").withColumn("at_second", F.floor((F.row_number().over(w) - 1) / per_second).cast("long"))
+    """Second at which each address of a host may be fetched; hosts of any size
+    spread over chunks."""
+    rows = df.withColumn("host", host).where("host IS NOT NULL")
+    return numbered(rows, ["host"], order_cols, "__n").withColumn("at_second", F.floor((F.col("__n") - 1) / per_second).cast("long")).drop("__n")

@@ -183,3 +183,16 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
     df.select("url").write.parquet(str(tmp_path / "pages"))
     assert tables.read_pages(spark, str(tmp_path / "pages")).collect()[0].status_code == 200
+
+
+def test_ranks_over_chunks(spark):
+    from pagelake.operators.ranks import numbered, with_previous
+
+    df = spark.range(2000).select((F.col("id") % 3 == 0).cast("int").alias("k"), (F.col("id") * 7919 % 2003).alias("v"), "id")
+    got = numbered(df, ["k"], ["v"]).collect()
+    prev = {r.v: r.p for r in with_previous(df, ["k"], ["v"], F.col("v"), "p").collect()}
+    for k in (0, 1):
+        mine = sorted((r.v, r.n) for r in got if r.k == k)
+        assert [n for _, n in mine] == list(range(1, len(mine) + 1))
+        assert [prev[v] for v, _ in mine] == [None] + [v for v, _ in mine[:-1]]
+    assert numbered(df.limit(0), ["k"], ["v"]).count() == 0
