@@ -32,6 +32,7 @@ MIN_DOCS = 4
 MIN_SHARE = 0.1
 HOT_SOURCES = 20_000  # sources with shards that fit into a closure; beyond, they are joined
 LEVELS = (8, 4, 2, 1)
+SMALL_SETS = 4_000_000  # identifiers (8 bytes each) that may be broadcast
 
 _DIGITS = re.compile(r"\d+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -158,7 +159,7 @@ class Shard:
 STAGE = "kind INT, source STRING, key BIGINT, n BIGINT"  # kind 0: (page, line) found; 1: (line id, documents) of a shard
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_shard(batches: Iterator[pa.RecordBatch], only_counts: bool = False) -> Iterator[pa.RecordBatch]:
     """Groups of a partition sorted by source and shard, one after the other."""
     target = pa.schema([("kind", pa.int32()), ("source", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
     key: tuple | None = None
@@ -169,7 +170,7 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key is None or not pages:
             return None
         s = Shard(pages, lines)
-        if key[2] == 1:
+        if key[2] == 1 and not only_counts:
             page, line = s.found(max(MIN_DOCS, MIN_SHARE * len(pages)))
             cols = [[0] * len(page), [None] * len(page), page, line]
         else:
@@ -189,16 +190,17 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield got
 
 
-def repeated_lines(df: DataFrame, id_col: str, text_col: str, url_col: str, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """(page_id, line_no) of every line that stands in at least MIN_DOCS and
-    MIN_SHARE of its source's documents.  ``shard_docs``: documents a task holds
-    at most of one source, about."""
+def _documents(df: DataFrame, id_col: str, text_col: str, url_col: str, shard_docs: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(documents by source and shard with their line identifiers, sizes of the
+    sources, whether any source has shards)."""
     base = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(url_col).alias("u"))
     base = base.select("i", "t", host_column("u").alias("source")).where("source IS NOT NULL")
     sizes = base.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > shard_docs)
     hot = {r.source: r.n for r in large.limit(HOT_SOURCES + 1).collect()}
-    if len(hot) > HOT_SOURCES:
+    many = len(hot) > HOT_SOURCES
+    any_hot = bool(hot)
+    if many:
         base = base.join(large.withColumnRenamed("n", "size"), "source", "left").select("i", "t", "source", "size")
         hot = {}
     else:
@@ -216,27 +218,45 @@ def repeated_lines(df: DataFrame, id_col: str, text_col: str, url_col: str, shar
         }
 
     docs = save_point(map_rows(spread(base), run, "source STRING, shard INT, shards INT, page BIGINT, ids ARRAY<BIGINT>"))
-    stage = docs.repartition("source", "shard").sortWithinPartitions("source", "shard").mapInArrow(_by_shard, STAGE)
-    if not hot and large.isEmpty():
-        return stage.select(F.col("key").alias("page_id"), F.col("n").cast("int").alias("line_no"))
-    stage = save_point(stage)
+    return docs, sizes, any_hot
+
+
+def _sorted(docs: DataFrame) -> DataFrame:
+    return docs.repartition("source", "shard").sortWithinPartitions("source", "shard")
+
+
+def _often(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(source, often): the identifiers of a source's repeated lines.  A source
+    has at most (lines of a document) / MIN_SHARE of them, so one array holds
+    them whatever the source's size."""
+    total = counts.groupBy("source", "key").agg(F.sum("n").alias("docs"))
+    keep = (F.col("docs") >= MIN_DOCS) & (F.col("docs") >= MIN_SHARE * F.col("n"))
+    return total.join(sizes, "source").where(keep).groupBy("source").agg(F.collect_list("key").alias("often"))
+
+
+def repeated_lines(df: DataFrame, id_col: str, text_col: str, url_col: str, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """(page_id, line_no) of every line that stands in at least MIN_DOCS and
+    MIN_SHARE of its source's documents.  ``shard_docs``: documents a task holds
+    at most of one source, about."""
+    docs, sizes, any_hot = _documents(df, id_col, text_col, url_col, shard_docs)
+    stage = _sorted(docs).mapInArrow(_by_shard, STAGE)
+    if any_hot:
+        stage = save_point(stage)
     found = stage.where("kind = 0").select(F.col("key").alias("page_id"), F.col("n").cast("int").alias("line_no"))
-    total = stage.where("kind = 1").groupBy("source", "key").agg(F.sum("n").alias("docs"))
-    often = total.join(large, "source").where((F.col("docs") >= MIN_DOCS) & (F.col("docs") >= MIN_SHARE * F.col("n"))).select("source", "key")
-    # A source has at most (lines of a document) / MIN_SHARE such lines, so they travel as one array per source and shard.
-    arrays = often.groupBy("source").agg(F.collect_list("key").alias("often"))
-    places = docs.where("shards > 1").select("source", "shard").distinct().join(arrays, "source")
-    rest = docs.where("shards > 1").join(places, ["source", "shard"]).select("page", "ids", "often")
+    if not any_hot:
+        return found
+    often = _often(stage.where("kind = 1"), sizes)
+    sharded = docs.where("shards > 1")
+    places = sharded.select("source", "shard").distinct().join(often, "source")
+    rest = sharded.join(places, ["source", "shard"]).select("page", "ids", "often")
 
     def mark(b: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"page_id": [], "line_no": []}
-        sets: dict[int, tuple[list, set]] = {}
+        held: tuple[list, set] = ([], set())
         for page, ids, keys in zip(b["page"], b["ids"], b["often"], strict=True):
-            k = len(keys), keys[0], keys[-1]
-            if k not in sets:
-                sets[k] = (keys, set(keys))
-            often_here = sets[k][1] if sets[k][0] == keys else set(keys)
-            hits = [n for n, h in enumerate(ids) if h in often_here]
+            if held[0] != keys:
+                held = (keys, set(keys))
+            hits = [n for n, h in enumerate(ids) if h in held[1]]
             out["page_id"] += [page] * len(hits)
             out["line_no"] += hits
         return out
@@ -244,9 +264,27 @@ def repeated_lines(df: DataFrame, id_col: str, text_col: str, url_col: str, shar
     return found.unionAll(map_rows(rest, mark, "page_id BIGINT, line_no INT"))
 
 
-def without_repeated_lines(df: DataFrame, id_col: str, text_col: str, url_col: str) -> DataFrame:
-    """(page_id, text): every text without its source's repeated lines."""
-    hits = repeated_lines(df, id_col, text_col, url_col).groupBy("page_id").agg(F.collect_set("line_no").alias("__lines"))
-    few = df.select(F.col(id_col).alias("page_id"), F.col(text_col).alias("text")).join(hits, "page_id", "left")
-    kept = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> struct(x, i)), p -> NOT array_contains(__lines, p.i)), p -> p.x), '\\n')")
-    return few.select("page_id", F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept).alias("text"))
+def without_repeated_lines(df: DataFrame, id_col: str, text_col: str, url_col: str, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """(page_id, text): every text without its source's repeated lines.  The
+    sources' lists are broadcast if they are small (``SMALL_SETS`` identifiers in
+    all), so that no text is shuffled; larger ones are joined."""
+    docs, sizes, _ = _documents(df, id_col, text_col, url_col, shard_docs)
+    counts = _sorted(docs).mapInArrow(lambda batches: _by_shard(batches, True), STAGE)
+    often = save_point(_often(counts, sizes))
+    total = often.agg(F.sum(F.size("often")).alias("n")).collect()[0].n or 0
+    few = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), host_column(url_col).alias("source"))
+    few = few.join(F.broadcast(often) if total <= SMALL_SETS else often, "source", "left")
+
+    def clean(b: dict[str, list]) -> dict[str, list]:
+        out: list[str | None] = []
+        held: tuple[list, set] = ([], set())
+        for t, keys in zip(b["t"], b["often"], strict=True):
+            if not t or not keys:
+                out.append(t)
+                continue
+            if held[0] != keys:
+                held = (keys, set(keys))
+            out.append("\n".join(x for x, h in zip(t.split("\n"), line_ids(t), strict=True) if h not in held[1]))
+        return {"page_id": b["i"], "text": out}
+
+    return map_rows(few.select("i", "t", "often"), clean, "page_id BIGINT, text STRING")
