@@ -48,22 +48,27 @@ def scrape(pages: DataFrame, options: ScrapeOptions | None = None, id_col: str =
     o = options or ScrapeOptions()
     inc, exc, main = list(o.include_tags), list(o.exclude_tags), o.only_main_content
     formats = set(o.formats)
-    fields = ["row_id BIGINT", "md STRING", "link_list ARRAY<STRING>", "image_list ARRAY<STRING>"] + [f"m_{n} STRING" for n in _META]
+    fields = ["row_id BIGINT", "url STRING", "html STRING", "status_code INT", "content_type STRING", "md STRING", "link_list ARRAY<STRING>", "image_list ARRAY<STRING>"]
+    fields += [f"m_{n} STRING" for n in _META]
 
     def run(b: dict[str, list]) -> dict[str, list]:
         rows = [(parse(h or ""), h, u) for h, u in zip(b["h"], b["u"], strict=True)]
         found = [render.metadata(t, u) for t, _, u in rows]
         out = {
             "row_id": b["i"],
+            "url": b["u"],
+            "html": b["h"],
+            "status_code": b["s"],
+            "content_type": b["c"],
             "link_list": [render.links(t, u or "") if "links" in formats and h else None for t, h, u in rows],
             "image_list": [render.images(t, u or "") if "images" in formats and h else None for t, h, u in rows],
             **{f"m_{n}": [m[n] for m in found] for n in _META},
         }
         return out | {"md": [render.to_markdown(h, u or "", main, inc, exc, t) if "markdown" in formats else None for t, h, u in rows]}
 
-    parsed = map_rows(spread(pick(pages, i=id_col, h="html", u="url")), run, ", ".join(fields))
-    base = pages.select(F.col(id_col).alias("row_id"), "url", "html", "status_code", "content_type")
-    d = base.join(parsed, "row_id")
+    # pages travel through the same batches, so no join brings their text together again
+    given = pick(pages, i=id_col, h="html", u="url", s="status_code", c="content_type").withColumn("s", F.col("s").cast("int"))
+    d = map_rows(spread(given), run, ", ".join(fields))
     md = cap_size(clean(compress_tables(F.col("md"))))
     d = d.withColumn("markdown", md)
     need = H.needs_scripts(F.col("html"))
@@ -98,22 +103,25 @@ def html_tables(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return map_rows(spread(pick(df, i=id_col, h=html_col)), run, "row_id BIGINT, table_no INT, headers ARRAY<STRING>, rows ARRAY<MAP<STRING, STRING>>")
 
 
-def content_quality(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """Visible bytes, main bytes and the share of navigation of each page."""
+def content_quality(df: DataFrame, id_col: str, html_col: str, keep: dict[str, str] | None = None) -> DataFrame:
+    """Visible bytes, main bytes and the share of navigation of each page.
+    ``keep``: boolean columns that come along, new name -> column."""
+    names = list(keep or {})
 
     def run(b: dict[str, list]) -> dict[str, list]:
         got = [render.content_quality(h) for h in b["h"]]
-        return {"row_id": b["i"], "total_visible": [g[0] for g in got], "main_content": [g[1] for g in got], "nav_ratio": [g[2] for g in got]}
+        out = {"row_id": b["i"], "total_visible": [g[0] for g in got], "main_content": [g[1] for g in got], "nav_ratio": [g[2] for g in got]}
+        return out | {n: b[n] for n in names}
 
-    return map_rows(spread(pick(df, i=id_col, h=html_col)), run, "row_id BIGINT, total_visible BIGINT, main_content BIGINT, nav_ratio DOUBLE")
+    schema = "row_id BIGINT, total_visible BIGINT, main_content BIGINT, nav_ratio DOUBLE" + "".join(f", {n} BOOLEAN" for n in names)
+    return map_rows(spread(pick(df, i=id_col, h=html_col, **(keep or {}))), run, schema)
 
 
 def engine_choice(pages: DataFrame, id_col: str = "page_id", threshold: int = 1000) -> DataFrame:
     """Which engine a page wants: a ladder over status, main content and scripts."""
-    q = content_quality(pages, id_col, "html")
     need = H.needs_scripts(F.col("html"))["needs_scripts"]
-    flags = pages.select(F.col(id_col).alias("row_id"), H.wants_browser(F.col("html"), F.col("status_code")).alias("blocked"), F.coalesce(need, F.lit(True)).alias("shell"))
-    d = flags.join(q, "row_id")
+    flagged = pages.select(id_col, "html", H.wants_browser(F.col("html"), F.col("status_code")).alias("blocked"), F.coalesce(need, F.lit(True)).alias("shell"))
+    d = content_quality(flagged, id_col, "html", {"blocked": "blocked", "shell": "shell"})
     choice = (
         F.when(F.col("blocked"), "browser")
         .when(F.col("main_content") > threshold, "http")
