@@ -133,6 +133,26 @@ def engine_choice(pages: DataFrame, id_col: str = "page_id", threshold: int = 10
     return d.select(F.col("row_id").alias(id_col), "main_content", "total_visible", F.round("nav_ratio", 6).alias("nav_ratio"), choice.alias("engine"))
 
 
+def article(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(row_id, title, text) of the main part of each page, without markup."""
+
+    def one(h: str | None) -> tuple[str | None, str | None]:
+        if not h:
+            return None, None
+        root = parse(h)
+        title = render.select_first(root, "h1") or render.select_first(root, "title")
+        name = " ".join(title.text().split()) if title is not None else None
+        blocks = render.Renderer().blocks(render.main_content(root, len(h)))
+        text = "\n\n".join(b.lstrip("# ") for b in blocks)
+        return name or None, text or None
+
+    def run(b: dict[str, list]) -> dict[str, list]:
+        got = [one(h) for h in b["h"]]
+        return {"row_id": b["i"], "title": [g[0] for g in got], "text": [g[1] for g in got]}
+
+    return map_rows(spread(pick(df, i=id_col, h=html_col)), run, "row_id BIGINT, title STRING, text STRING")
+
+
 def extract(df: DataFrame, id_col: str, html_col: str, options: ExtractOptions, llm: Callable[[str, dict], dict] | None = None, text_col: str | None = None) -> DataFrame:
     """(row_id, data JSON, completeness, error).  Fields by selector; in mode
     auto a record below the completeness goes to the injected model, in mode llm

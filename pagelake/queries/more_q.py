@@ -266,3 +266,44 @@ def status_counts(s, d):
 @query("SELECT DISTINCT error, coalesce(CASE error WHEN 'timeout' THEN 408 WHEN 'not_found' THEN 404 END, 500) AS status FROM scrape_metrics WHERE error IS NOT NULL")
 def error_status(s, d):
     return table(s, d, "scrape_metrics").where("error IS NOT NULL").select("error").distinct().select("error", S.status_of(F.col("error")).alias("status"))
+
+
+# ---- envelopes, language, articles, SQL functions ---------------------------------------------------------------
+
+
+@query("SELECT cache_id, to_json({'url': url, 'status': status_code}) AS envelope FROM page_cache WHERE url IS NOT NULL AND status_code IS NOT NULL")
+def json_envelope(s, d):
+    x = table(s, d, "page_cache").where("url IS NOT NULL AND status_code IS NOT NULL")
+    return x.select("cache_id", F.to_json(F.struct("url", F.col("status_code").alias("status"))).alias("envelope"))
+
+
+def _guess_sql() -> str:
+    from ..functions.language import COMMON
+
+    n = {k: f"len(list_filter(w, lambda x: x IN ({', '.join(chr(39) + v + chr(39) for v in words.split())})))" for k, words in COMMON.items()}
+    best = "greatest(" + ", ".join(n.values()) + ")"
+    ladder = " ".join(f"WHEN {n[k]} = {best} THEN '{k}'" for k in sorted(n, reverse=True))
+    return f"SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^ぁ-ヿ]', '', 'g')) * 5 > length(text) THEN 'ja' WHEN {best} >= 3 THEN CASE {ladder} END END AS lang FROM (SELECT doc_id, text, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM documents)"
+
+
+@query(_guess_sql())
+def doc_language_guess(s, d):
+    from ..functions.language import guess
+
+    return wide_table(s, d, "documents").select("doc_id", guess(F.col("text")).alias("lang"))
+
+
+@query()
+def html_article(s, d):
+    from ..operators.pages import article
+
+    return article(table(s, d, "page_cache"), "cache_id", "html").withColumnRenamed("row_id", "cache_id")
+
+
+@query()
+def sql_functions(s, d):
+    from ..plans.sql import register
+
+    register(s)
+    table(s, d, "page_cache").createOrReplaceTempView("pagelake_page_cache")
+    return s.sql("""SELECT cache_id, length(html_to_markdown(html, url)) AS n, css_extract(html, '{"h": "h1"}') AS h, size(pagination_links(html, url)) AS pages FROM pagelake_page_cache""")
