@@ -265,16 +265,59 @@ def _chain_matches(e: Element, chain: list[tuple[str, list[dict]]]) -> bool:
     return False
 
 
+class _Matcher:
+    """A selector list with its plain alternatives (one tag, id or class) as sets."""
+
+    __slots__ = ("tags", "ids", "names", "rest")
+
+    def __init__(self, selector: str):
+        self.tags: set[str] = set()
+        self.ids: set[str] = set()
+        self.names: set[str] = set()
+        self.rest: list[list[tuple[str, list[dict]]]] = []
+        for chain in compile_selector(selector):
+            only = chain[0][1][0] if len(chain) == 1 and len(chain[0][1]) == 1 else {}
+            if "tag" in only and only["tag"] != "*":
+                self.tags.add(only["tag"].lower())
+            elif "id" in only:
+                self.ids.add(only["id"])
+            elif "cls" in only:
+                self.names.add(only["cls"])
+            else:
+                self.rest.append(chain)
+
+    def __call__(self, e: Element) -> bool:
+        if e.tag in self.tags:
+            return True
+        attrs = e.attrs
+        if attrs:
+            if self.ids and attrs.get("id") in self.ids:
+                return True
+            if self.names and "class" in attrs and not self.names.isdisjoint(attrs["class"].split()):
+                return True
+        return bool(self.rest) and any(_chain_matches(e, c) for c in self.rest)
+
+
+_matchers: dict[str, _Matcher] = {}
+
+
+def _matcher(selector: str) -> _Matcher:
+    m = _matchers.get(selector)
+    if m is None:
+        m = _matchers[selector] = _Matcher(selector)
+    return m
+
+
 def matches(e: Element, selector: str) -> bool:
-    return any(_chain_matches(e, c) for c in compile_selector(selector))
+    return _matcher(selector)(e)
 
 
 def select(root: Element, selector: str) -> list[Element]:
     """All matches below ``root`` in document order."""
-    chains = compile_selector(selector)
-    return [e for e in root.walk() if e is not root and any(_chain_matches(e, c) for c in chains)]
+    m = _matcher(selector)
+    return [e for e in root.walk() if e is not root and m(e)]
 
 
 def select_first(root: Element, selector: str) -> Element | None:
-    chains = compile_selector(selector)
-    return next((e for e in root.walk() if e is not root and any(_chain_matches(e, c) for c in chains)), None)
+    m = _matcher(selector)
+    return next((e for e in root.walk() if e is not root and m(e)), None)
