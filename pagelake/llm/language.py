@@ -52,7 +52,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 _URL = re.compile(r"<?https?://\S+|\]\([^)\s]*\)")
 _TAG = re.compile(r"<[^<>]*>")
 _MARKED = re.compile(r"^\s*(?:[-*+•]\s|\d{1,3}[.)]\s|#{1,6}(?:\s|$))", re.M)
-_LINK = re.compile(r"\[[^\]\n]*\]\([^)\s]*\)")
+_LINK = re.compile(r"\[[^\]\n]{0,1000}\]\([^)\s]{0,3000}\)")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 
 

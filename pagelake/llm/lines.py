@@ -19,16 +19,17 @@ GOOD_ANCHORS = frozenset((PROSE, H1, SOLID))
 BAD_ANCHORS = frozenset((RELATED, NAV))
 CACHE_ROWS = 200_000
 
-MD_LINK = re.compile(r"!?\[([^\]\n]*)\]\(([^)\s]*)\)")
+MD_LINK = re.compile(r"!?\[([^\]\n]{0,1000})\]\(([^)\s]{0,3000})\)")  # bounded, so that no text takes quadratic time
 _LIST = re.compile(r"^(?:[-*+]|\d{1,3}[.)])\s+")
 _HEADING = re.compile(r"^(#{1,6})(?:\s+|$)")
 _WS = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 _HIRA = re.compile(r"[ぁ-ゟ]")
 _CJK = re.compile(r"[ぁ-ヿ一-鿿]")
-_TAG = re.compile(r"<[^>]*>")
-_SCRIPT = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
-_A = re.compile(r"<a\b[^>]*>(.*?)</a\s*>", re.S | re.I)
+_TAG = re.compile(r"<[^<>]*>")
+_HIDDEN = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
+_HIDDEN_END = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript", "template")} | {"": re.compile("-->")}
+_A = re.compile(r"<a\b[^<>]*>(.{0,2000}?)</a\s*>", re.S | re.I)
 _URLLINE = re.compile(r"^<?https?://\S+>?$")
 _SEP = re.compile(r"\s*[|·•/]\s*")
 _EMPH = "*_ \t"
@@ -163,21 +164,37 @@ def html_kind(line: str) -> int:
     return k
 
 
-def _keep_lines(m: re.Match) -> str:
-    return "\n" * m.group(0).count("\n")
+def without_hidden(text: str) -> str:
+    """HTML without comments, scripts and styles; their line ends stay.  One
+    pass: an unclosed one stays as it is, and ends the search for its kind."""
+    out: list[str] = []
+    pos = at = 0
+    dead: set[str] = set()
+    while m := _HIDDEN.search(text, at):
+        at = m.end()
+        kind = (m.group(1) or "").lower()
+        if kind in dead:
+            continue
+        end = _HIDDEN_END[kind].search(text, at)
+        if end is None:
+            dead.add(kind)
+            continue
+        out += [text[pos : m.start()], "\n" * text.count("\n", m.start(), end.end())]
+        pos = at = end.end()
+    out.append(text[pos:])
+    return "".join(out)
 
 
 _BODY = re.compile(r"<body\b[^>]*>", re.I)
 _BODY_END = re.compile(r"</body\s*>", re.I)
-_OPEN_TAG = re.compile(r"<[^>\n]*\n[^>]*>")
+_OPEN_TAG = re.compile(r"<[^<>\n]*\n[^<>]*>")
 _ENDS_LIST = ("</ul", "</ol", "</table", "</tr></table")
 
 
 def html_kinds(text: str) -> tuple[list[str], list[int]]:
     """Lines of the whole source and kinds; lines outside the body element or
     without visible text are BLANK (list ends are BREAK)."""
-    if "<script" in text or "<!--" in text or "<style" in text or "<SCRIPT" in text or "<no" in text or "<template" in text:
-        text = _SCRIPT.sub(_keep_lines, text)
+    text = without_hidden(text)
     m = _BODY.search(text)
     start = m.end() if m else 0
     e = _BODY_END.search(text, start)

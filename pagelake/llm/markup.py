@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from .engine import map_rows, pick, spread
+from .lines import without_hidden
 from .profile import profile, quality_kind
 from .residue import Residue, fit_residue
 
@@ -28,17 +29,18 @@ _TAG_NAMES = (
     "p|br|div|span|b|i|em|strong|a|ul|ol|li|table|tr|td|th|thead|tbody|tfoot|h[1-6]|img|font|center|sup|sub|small|big|u|s|tt|hr|blockquote|code|pre|section|article"
     "|header|footer|nav|main|aside|figure|figcaption|script|style|iframe|form|input|button|label|select|option|dl|dt|dd|del|ins|mark|caption|video|audio|source"
 )
-HTML_TAG = re.compile(rf"</?(?:{_TAG_NAMES})(?:\s[^<>]*)?/?>", re.I)
-HTML_COMMENT = re.compile(r"<!--.*?-->|<!doctype\b[^>]*>", re.S | re.I)
+# Runs are bounded, so that no text takes quadratic time.
+HTML_TAG = re.compile(rf"</?(?:{_TAG_NAMES})(?:\s[^<>]{{0,2000}})?/?>", re.I)
+DOCTYPE = re.compile(r"<!doctype\b[^<>]{0,500}>", re.I)
 ENTITY = re.compile(r"&(?:[a-zA-Z]{2,8}|#\d{2,6}|#x[0-9a-fA-F]{2,6});")
-WIKI = re.compile(r"\[\[[^\[\]\n]+\]\]|\{\{[^{}]+\}\}|^\{\||^\|-\s*$|^\|\}\s*$|'''?[^'\n]+'''?|^={2,6}\s*[^=\n]+?\s*={2,6}\s*$", re.M)
+WIKI = re.compile(r"\[\[[^\[\]\n]{1,500}\]\]|\{\{[^{}]{1,3000}\}\}|^\{\||^\|-\s*$|^\|\}\s*$|'''?[^'\n]{1,500}'''?|^={2,6}[ \t]*[^=\n]{1,300}={2,6}[ \t]*$", re.M)
 LATEX = re.compile(
     r"\\(?:begin|end|section|subsection|textbf|textit|emph|frac|sqrt|cite|ref|eqref|label|mathbb|mathrm|mathcal|footnote|url|href|caption|includegraphics|usepackage|documentclass)\s*\{"
     r"|\\(?:item|alpha|beta|gamma|delta|epsilon|lambda|mu|sigma|theta|pi|omega|leq|geq|neq|times|cdot|sum|int|prod|infty|partial|nabla|in|to|ldots|approx)\b"
-    r"|\$\$[^$]+\$\$|\\\([^\n]+?\\\)|\\\[[^\]]+?\\\]|(?<![\\$\w])\$[^$\n]*[\\^_][^$\n]*\$(?!\d)|\\[a-zA-Z]{3,}\{[^}\n]*\}"
+    r"|\$\$[^$]{1,2000}\$\$|\\\([^\n]{1,500}?\\\)|\\\[[^\]]{1,1000}?\\\]|(?<![\\$\w])\$[^$\n]{0,300}[\\^_][^$\n]{0,300}\$(?!\d)|\\[a-zA-Z]{3,30}\{[^}\n]{0,500}\}"
 )
 MARKDOWN = re.compile(
-    r"(?<![*\w])\*\*[^*\s](?:[^*\n]*[^*\s])?\*\*(?![*\w])|!?\[[^\]\n]+\]\([^)\s]+\)|^\s*#{1,6} \S|^\s*(?:```|~~~)|^\s*\|(?: ?:?-{3,}:? ?\|)+\s*$|^\s*[-*+] \S.*(?:\n\s*[-*+] \S)|^\s*> \S|(?<!`)`[^`\n]+`(?!`)",
+    r"(?<![*\w])\*\*[^*\s](?:[^*\n]{0,1000}[^*\s])?\*\*(?![*\w])|!?\[[^\]\n]{1,1000}\]\([^)\s]{1,3000}\)|^\s*#{1,6} \S|^\s*(?:```|~~~)|^\s*\|(?: ?:?-{3,}:? ?\|)+\s*$|^\s*[-*+] \S.*(?:\n\s*[-*+] \S)|^\s*> \S|(?<!`)`[^`\n]{1,1000}`(?!`)",
     re.M,
 )
 _FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?^[ \t]*\1[^\n]*$", re.S | re.M)
@@ -47,11 +49,25 @@ _AUTOLINK = re.compile(r"<(?:https?|ftp|mailto):[^<>\s]*>|<[\w.+-]+@[\w.-]+>")
 _TEMPLATE_FIELD = re.compile(r"\{\{\s*[a-z]+[ ._-][a-z]+\s*\}\}")
 
 
+def has_comment(text: str) -> bool:
+    at = text.find("<!--")
+    return at >= 0 and text.find("-->", at) >= 0 or "<!" in text and DOCTYPE.search(text) is not None
+
+
+def drop_comments(text: str) -> str:
+    out, pos = [], 0
+    while (at := text.find("<!--", pos)) >= 0 and (end := text.find("-->", at)) >= 0:
+        out.append(text[pos:at])
+        pos = end + 3
+    out.append(text[pos:])
+    return DOCTYPE.sub("", "".join(out))
+
+
 def leftovers(text: str, entities: bool = True) -> list[str]:
     """Kinds of foreign markup (html, latex, wiki) in text whose code and
     autolinks are blanked already."""
     out = []
-    if "<" in text and (HTML_TAG.search(text) or HTML_COMMENT.search(text)) or entities and "&" in text and ENTITY.search(text):
+    if "<" in text and (HTML_TAG.search(text) or has_comment(text)) or entities and "&" in text and ENTITY.search(text):
         out.append("html")
     if ("\\" in text or "$" in text) and LATEX.search(text):
         out.append("latex")
@@ -73,14 +89,18 @@ def without_code(markdown: str) -> str:
 # ---- HTML ----------------------------------------------------------------
 
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
-_TOKEN = re.compile(r"<!--.*?-->|<(?:script|style|noscript|template)\b.*?</(?:script|style|noscript|template)\s*>|<!?(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>", re.S | re.I)
+_TOKEN = re.compile(r"<!?(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>")
 _BLOCK = frozenset("p div section article header footer nav main aside ul ol li table tr h1 h2 h3 h4 h5 h6 blockquote pre figure form dl dt dd hr br body html thead tbody".split())
 
 
+MAX_DEPTH = 200  # deeper elements become siblings
+
+
 @dataclass
 class Node:
     tag: str
     parent: Node | None
+    depth: int = 0
     kids: list = field(default_factory=list)  # Node or str
     chars: int = 0
     tags: int = 0
@@ -92,6 +112,7 @@ class Node:
 
 def parse(source: str) -> Node:
     """A lenient tree of the body element (of everything where there is none)."""
+    source = without_hidden(source)
     root = Node("html", None)
     at, pos = root, 0
     for m in _TOKEN.finditer(source):
@@ -111,9 +132,9 @@ def parse(source: str) -> Node:
         else:
             if name in ("p", "li", "tr", "td", "th") and at.tag == name:
                 at = at.parent
-            node = Node(name, at)
+            node = Node(name, at, at.depth + 1)
             at.kids.append(node)
-            if name not in VOID and not m.group(3).endswith("/"):
+            if name not in VOID and not m.group(3).endswith("/") and node.depth < MAX_DEPTH:
                 at = node
     if pos < len(source):
         at.kids.append(source[pos:])
@@ -226,19 +247,19 @@ def structured(node: Node) -> str:
 # ---- clean text -----------------------------------------------------------
 
 _WIKI_LINK = re.compile(r"\[\[(?:(?:File|Image|Category|Datei|Fichier|Archivo):[^\]\n]*|(?:[^|\]\n]*\|)?([^|\]\n]+))\]\]")
-_WIKI_TEMPLATE = re.compile(r"\{\{[^{}]*\}\}", re.S)
+_WIKI_TEMPLATE = re.compile(r"\{\{[^{}]{0,3000}\}\}")
 _WIKI_HEADING = re.compile(r"^(={2,6})\s*([^=\n]+?)\s*\1\s*$", re.M)
 _TEX_ENV = re.compile(r"^\s*\\(?:begin|end)\{[^}]*\}\s*$", re.M)
 _TEX_SECTION = re.compile(r"^\s*\\(sub)*section\*?\{([^}\n]*)\}", re.M)
 _TEX_WRAP = re.compile(r"\\(?:textbf|textit|emph|texttt|underline)\{([^{}\n]*)\}")
 _TEX_REF = re.compile(r"~?\\(?:ref|cite|label|eqref)\{[^}\n]*\}")
-_MD_LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\s]*\)")
-_EMPHASIS = re.compile(r"(?<![\w*])(\*\*|\*|__)(?=\S)([^*\n]+?)(?<=\S)\1(?![\w*])")
+_MD_LINK = re.compile(r"!?\[([^\]\n]{0,1000})\]\([^)\s]{0,3000}\)")
+_EMPHASIS = re.compile(r"(?<![\w*])(\*\*|\*|__)(?=\S)([^*\n]{1,1000}?)(?<=\S)\1(?![\w*])")
 
 
 def _clean_piece(s: str) -> str:
     if "<" in s:
-        s = HTML_COMMENT.sub("", s)
+        s = drop_comments(s)
         s = re.sub(r"<br\s*/?>", "\n", s, flags=re.I)
         s = re.sub(r"</t[dh]>\s*<t[dh][^>]*>", " | ", s, flags=re.I)
         s = re.sub(r"<li[^>]*>", "\n- ", s, flags=re.I)

@@ -48,7 +48,7 @@ def test_html_counts_only_body_lines_with_text():
     assert [i for i, f in enumerate(flags) if f] == [7, 8]
 
 
-@pytest.mark.parametrize("text", ["", " ", "\n\n", "x", "#", "```", "- ", "|", "\x00", "a" * 300_000, "# \n" * 50_000, "<" * 5000])
+@pytest.mark.parametrize("text", ["", " ", "\n\n", "x", "#", "```", "- ", "|", "\x00", "a" * 300_000, "# \n" * 50_000, "<" * 5000, "<body>" + "<div>" * 5000 + "x", "<ul><li>" * 3000, "<!--" * 30_000, "<script>" * 20_000, "<p " * 20_000, "[" * 20_000, "![" * 10_000, "{{" * 20_000, "$" * 20_000, "''" * 20_000, "`" * 20_001, "** " * 10_000, "\\begin{" * 5000])
 def test_odd_texts_do_not_crash(text):
     main_body(text)
     main_flags(html_kinds(text)[1])
