@@ -33,14 +33,18 @@ _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
+MAX_DEPTH = 200  # deeper elements become siblings, so that no page is too deep to walk
+
+
 class Element:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "depth")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, parent: Element | None = None):
         self.tag = tag
         self.attrs = attrs or {}
         self.children: list[Element | str] = []
         self.parent = parent
+        self.depth = 0 if parent is None else parent.depth + 1
 
     def walk(self) -> Iterator[Element]:
         """This element and all below, in document order."""
@@ -140,7 +144,7 @@ def parse(source: str) -> Element:
             inner = source[pos:stop]
             e.children.append(inner if name in ("script", "style") else _html.unescape(inner))
             pos = end.end() if end else n
-        else:
+        elif e.depth < MAX_DEPTH:
             at = e
     return root
 

@@ -190,6 +190,19 @@ def keep_tags(root: Element, include: list[str], exclude: list[str]) -> Element:
     return root
 
 
+def own_rows(table: Element) -> list[Element]:
+    """Rows of a table without those of tables inside it."""
+    out: list[Element] = []
+    stack = list(reversed(table.elements()))
+    while stack:
+        e = stack.pop()
+        if e.tag == "tr":
+            out.append(e)
+        elif e.tag in ("thead", "tbody", "tfoot"):
+            stack.extend(reversed(e.elements()))
+    return out
+
+
 class Renderer:
     """One pass over a tree; relative addresses are resolved against ``base``."""
 
@@ -313,7 +326,7 @@ class Renderer:
         return "\n".join(r for r in rows if r)
 
     def table(self, e: Element) -> str:
-        rows = [[self.cell(c) for c in tr.elements() if c.tag in ("td", "th")] for tr in select(e, "tr")]
+        rows = [[self.cell(c) for c in tr.elements() if c.tag in ("td", "th")] for tr in own_rows(e)]
         rows = [r for r in rows if r]
         if not rows:
             return ""
@@ -440,13 +453,13 @@ def tables(source: str | None) -> list[tuple[list[str], list[dict[str, str]]]]:
     numbered columns."""
     out = []
     for t in select(parse(source or ""), "table"):
-        rows = [[_SPACE.sub(" ", c.text()).strip() for c in tr.elements() if c.tag in ("td", "th")] for tr in select(t, "tr")]
-        head = select_first(t, "thead tr")
-        trs = select(t, "tr")
+        trs = own_rows(t)
+        rows = [[_SPACE.sub(" ", c.text()).strip() for c in tr.elements() if c.tag in ("td", "th")] for tr in trs]
+        head = next((tr for tr in trs if tr.parent is not None and tr.parent.tag == "thead"), None)
         if head is not None:
             k = trs.index(head)
         else:
-            k = next((i for i, tr in enumerate(trs) if select(tr, "th")), -1)
+            k = next((i for i, tr in enumerate(trs) if any(c.tag == "th" for c in tr.elements())), -1)
         headers = rows[k] if k >= 0 else [f"Column {i + 1}" for i in range(max(map(len, rows), default=0))]
         body = [r for i, r in enumerate(rows) if i != k and r]
         out.append((headers, [{headers[i] if i < len(headers) and headers[i] else f"Column {i + 1}": v for i, v in enumerate(r)} for r in body]))

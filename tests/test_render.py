@@ -101,7 +101,7 @@ def test_robots_rules():
     assert not is_allowed("User-agent: *\nDisallow: /*.pdf$", "/a.pdf") and is_allowed("User-agent: *\nDisallow: /*.pdf$", "/a.pdfx")
 
 
-@pytest.mark.parametrize("html", ["", "<", "<p", "</p></div>", "<p>" * 3000, "<table><tr><td>" * 300, "a" * 100_000, "<a href='" + "x" * 5000, "\x00<b>"])
+@pytest.mark.parametrize("html", ["", "<", "<p", "</p></div>", "<p>" * 3000, "<table><tr><td>" * 300, "<div>" * 5000 + "x", "<ul><li>" * 2000, "<b>" * 3000, "a" * 100_000, "<a href='" + "x" * 5000, "\x00<b>"])
 def test_odd_pages(html):
     R.to_markdown(html)
     R.metadata(html)
