@@ -24,12 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .engine import map_rows, pick, spread
+from .engine import map_rows, pick, save_point, spread
 from .lexicon import LANGS, STOPWORDS
 from .profile import profile
 from .quality import verdicts
 from .residue import Residue, fit_residue
-from .spam import Pairs, pair_counts
+from .spam import TERMS, UNSURE, Pairs, low_pmi, pmi_terms, terms_row
 
 SAMPLE_RECORDS = 6000
 BLOCKS = 160
@@ -390,12 +390,12 @@ def language_found(
     """(page_id, block_no, lang) of records with no label, a wrong one or
     several languages; residue, spam, lists, tables and junk are left out."""
     crf = crf or fit_languages(df, id_col, text_col, label_col)
-    models = (crf, residue or fit_residue(df, id_col, text_col), pairs or pair_counts(df, text_col))
-    held = df.sparkSession.sparkContext.broadcast(models)
+    held = df.sparkSession.sparkContext.broadcast((crf, residue or fit_residue(df, id_col, text_col)))
 
     def run(b: dict[str, list]) -> dict[str, list]:
-        crf_, residue_, pairs_ = held.value
-        out: dict[str, list] = {"page_id": [], "block_no": [], "lang": []}
+        crf_, residue_ = held.value
+        names = ("page_id", "block_no", "lang", "keys", "weights", "own", "words", "pairs")
+        out: dict[str, list] = {n: [] for n in names}
         keep = [(i, t, raw) for i, t, raw in zip(b["i"], b["t"], b["l"], strict=True) if t]
         for start in range(0, len(keep), 400):
             some = keep[start : start + 400]
@@ -406,12 +406,16 @@ def language_found(
                 mixed = len({lang for _, lang in rows}) > 1
                 if not mixed and label_of(raw) == r.whole:
                     continue
-                if any(verdicts(profile(t), residue_, pairs_)):
+                p = profile(t)
+                kinds = verdicts(p, residue_)
+                if any(kinds) and kinds[1] != UNSURE:
                     continue
+                terms = terms_row(pmi_terms(p.text) if kinds[1] else None)
                 for n, lang in [(-1, r.whole)] + (rows if mixed else []):
-                    out["page_id"].append(i)
-                    out["block_no"].append(n)
-                    out["lang"].append(lang)
+                    for name, v in zip(names, (i, n, lang, *terms), strict=True):
+                        out[name].append(v)
         return out
 
-    return map_rows(spread(pick(df, i=id_col, t=text_col, l=label_col)), run, "page_id BIGINT, block_no INT, lang STRING")
+    found = map_rows(spread(pick(df, i=id_col, t=text_col, l=label_col)), run, f"page_id BIGINT, block_no INT, lang STRING, {TERMS}")
+    found = save_point(found.withColumn("row", F.monotonically_increasing_id()))
+    return found.join(low_pmi(found, df, text_col, pairs), "row", "left_anti").select("page_id", "block_no", "lang")

@@ -17,7 +17,7 @@ from .engine import map_rows, pick, spread
 from .lexicon import ALL_STOP
 from .profile import Profile, profile, quality_kind
 from .residue import Residue, fit_residue
-from .spam import Pairs, pair_counts, spam_kind
+from .spam import UNSURE, spam_kind
 
 _SYMBOL = re.compile(r"#|\.\.\.|…|[{}\\<>|~^]")
 _BULLET = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s", re.M)
@@ -68,23 +68,24 @@ def quality_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_rows(spread(pick(df, i=id_col, t=text_col)), run, STATS)
 
 
-def verdicts(p: Profile, residue: Residue, pairs: Pairs) -> tuple[str | None, str | None, str | None]:
-    """(residue kind, spam kind, quality kind), at most one of them set."""
+def verdicts(p: Profile, residue: Residue) -> tuple[str | None, str | None, str | None]:
+    """(residue kind, spam kind, quality kind), at most one of them set, but for
+    the spam kind UNSURE: a body of no quality kind that the mean PMI decides."""
     r = residue.kind(p)
     if r:
         return r, None, None
-    s = spam_kind(p, pairs)
-    return None, s, None if s else quality_kind(p)[0]
+    s = spam_kind(p)
+    return None, s, None if s and s != UNSURE else quality_kind(p)[0]
 
 
-def quality_found(df: DataFrame, id_col: str, text_col: str, count_col: str, residue: Residue | None = None, pairs: Pairs | None = None) -> DataFrame:
+def quality_found(df: DataFrame, id_col: str, text_col: str, count_col: str, residue: Residue | None = None) -> DataFrame:
     """(page_id, kind): list, table or junk for records that no residue or spam
     verdict covers, and word_count where the stated count isn't the number of
     white-space-separated words."""
-    held = df.sparkSession.sparkContext.broadcast((residue or fit_residue(df, id_col, text_col), pairs or pair_counts(df, text_col)))
+    held = df.sparkSession.sparkContext.broadcast(residue or fit_residue(df, id_col, text_col))
 
     def run(b: dict[str, list]) -> dict[str, list]:
-        residue_, pairs_ = held.value
+        residue_ = held.value
         ids, kinds = [], []
         for i, t, n in zip(b["i"], b["t"], b["n"], strict=True):
             if not t:
@@ -95,7 +96,7 @@ def quality_found(df: DataFrame, id_col: str, text_col: str, count_col: str, res
             p = profile(t)
             if quality_kind(p)[0] is None:
                 continue
-            k = verdicts(p, residue_, pairs_)[2]
+            k = verdicts(p, residue_)[2]
             if k:
                 ids.append(i)
                 kinds.append(k)

@@ -130,3 +130,24 @@ def test_truncation(spark):
 def test_fit_on_an_empty_table(docs):
     m = fit_residue(docs.limit(0), "page_id", "markdown")
     assert m.weights
+
+
+def test_spam_verdict_does_not_depend_on_the_size_of_the_table(spark):
+    import random
+
+    def corpus(times):
+        rnd = random.Random(5)
+        made = []
+        for k in range(3000):
+            x = "abcdefghijklmnop"
+            words = [x[(k * 7 + j) % 16] + x[rnd.randrange(16)] + x[rnd.randrange(16)] for j in range(60)]
+            made.append((k, " ".join(words)))
+        copies = spark.createDataFrame(made, "page_id LONG, markdown STRING").crossJoin(spark.range(times).withColumnRenamed("id", "copy"))
+        return copies.select("page_id", "markdown")
+
+    # common words that never meet, and pairs that always do: only the first is salad
+    some = [w for r in corpus(1).limit(40).collect() for w in r.markdown.split()[::2]]
+    salad = " ".join(some[i] for i in range(0, 60, 2))
+    scores = [[pair_counts(corpus(n), "markdown").mean_pmi(t, own=False) for t in (salad, corpus(1).first().markdown)] for n in (1, 40)]
+    assert scores[0] == pytest.approx(scores[1], abs=0.01)
+    assert pair_counts(corpus(40), "markdown").n_words == 40 * 3000 * 60
