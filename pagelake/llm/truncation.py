@@ -9,8 +9,8 @@ closing mark), open (inside a word, sentence, code, row or link), marked (an
 ellipsis or "more" put where something is missing), plain (could be either, as
 a list entry) or form (an address, signature or code, which seldom ends a cut).
 Open texts are cut; plain ones are if they stand at a limit, if more bytes were
-declared than came, or if their last word is unknown to the corpus; forms at a
-limit with such a word, or if bytes are missing; marked ones if the mark follows an unfinished phrase or stands at a
+declared than came, or if their last word is unknown to the corpus (counted
+exactly, against a bar that grows with the corpus); forms at a limit with such a word, or if bytes are missing; marked ones if the mark follows an unfinished phrase or stands at a
 limit of its source.
 
 Null, empty and blank texts are never reported.  A copy is judged like its
@@ -20,10 +20,11 @@ length, so a source that holds a third of all rows needs no large task.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from zlib import crc32
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ LEAST = 6  # different texts at a limit, at least,
 SHARE = 0.01  # and this share of the source's different texts
 TIMES = 8.0  # times the mean of its neighbours
 MARK_WINDOW = 14  # characters below a limit within which marked cuts fall
-WORD_BITS = 20
+KNOWN_SHARE = 1e-6  # a word is known if this share of the texts has it, and one text at least
+_FLUSH = 200_000
 
 _TERMINAL = ".!?。！？"
 _CLOSERS = "\"'”’»)]}*_`>」』"
@@ -133,8 +135,14 @@ def ending(text: str) -> int:
 
 
 def last_word(text: str) -> str:
-    words = _WORD.findall(text[-80:].lower())
-    return words[-1] if words else ""
+    size = 80
+    while True:
+        found = None
+        for found in _WORD.finditer(text[-size:]):
+            pass
+        if size >= len(text) or found is not None and found.start() > 0:
+            return found.group().lower() if found is not None else ""
+        size *= 4  # no word, or one that may begin before
 
 
 def lengths(t: str) -> list[int]:
@@ -153,37 +161,31 @@ def lengths(t: str) -> list[int]:
     return [n, b, u, n + escapes, b + escapes, n + js, b + js, n + js + 5 * wide + 6 * (u - n), n + bare, b + bare]
 
 
-def _bucket(word: str) -> int:
-    return crc32(word.encode()) >> (32 - WORD_BITS)
-
-
-def word_table(df: DataFrame, text_col: str) -> np.ndarray:
-    """Texts per hashed word over the corpus, in a table of fixed size."""
+def word_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """(w, n): texts that hold a word other than as their last, which may be cut
+    itself.  Every partition sums its words before they are shuffled."""
 
     def run(batches):
         import pyarrow as pa
 
-        table = np.zeros(1 << WORD_BITS, dtype=np.int64)
-        seen: dict[str, int] = {}
+        held: Counter = Counter()
+
+        def flush():
+            words = list(held)
+            for i in range(0, len(words), 50_000):
+                part = words[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([held[w] for w in part], pa.int64())], names=["w", "n"])
+            held.clear()
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    for w in set(_WORD.findall(t.lower())[:-1]):  # not the last: it may be cut itself
-                        h = seen.get(w)
-                        if h is None:
-                            if len(seen) > 500_000:
-                                seen.clear()
-                            h = seen[w] = _bucket(w)
-                        table[h] += 1
-        at = np.flatnonzero(table)
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part])], names=["b", "n"])
-
-    got = spread(pick(df, t=text_col).where("length(t) > 0")).mapInArrow(run, "b INT, n BIGINT").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    full = np.zeros(1 << WORD_BITS, dtype=np.int64)
-    full[got["b"].to_numpy()] = got["n"].to_numpy()
-    return full
+                    held.update(set(_WORD.findall(t.lower())[:-1]))
+                    if len(held) > _FLUSH:
+                        yield from flush()
+        yield from flush()
+
+    return spread(pick(df, t=text_col).where("length(t) > 0")).mapInArrow(run, "w STRING, n BIGINT").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def hidden_limits(found: DataFrame) -> DataFrame:
@@ -199,25 +201,25 @@ def hidden_limits(found: DataFrame) -> DataFrame:
     return counts.where(many).drop("around", "all")
 
 
-ENDS = "doc_id BIGINT, source STRING, h BIGINT, e INT, known BOOLEAN, bytes BIGINT, declared BIGINT, m ARRAY<BIGINT>"
+ENDS = "doc_id BIGINT, source STRING, h BIGINT, e INT, w STRING, bytes BIGINT, declared BIGINT, m ARRAY<BIGINT>"
 
 
 def text_endings(df: DataFrame, id_col: str, text_col: str, source_col: str, declared_col: str | None) -> DataFrame:
-    """Ending, measures and known last word of every text that isn't blank."""
-    held = df.sparkSession.sparkContext.broadcast(word_table(df, text_col))
+    """Ending and measures of every text that isn't blank; its last word, if the
+    ending is plain or a form."""
     cols = {"i": id_col, "t": text_col, "s": source_col} | ({"d": declared_col} if declared_col else {})
 
     def run(b: dict[str, list]) -> dict[str, list]:
-        table = held.value
         keep = [k for k, t in enumerate(b["t"]) if t and not t.isspace()]
         texts = [b["t"][k] for k in keep]
         sizes = [lengths(t) for t in texts]
+        ends = [ending(t) for t in texts]
         return {
             "doc_id": [b["i"][k] for k in keep],
             "source": [b["s"][k] for k in keep],
             "h": [crc32(x) << 31 ^ crc32(x[::-1]) for x in (t.encode("utf-8", "surrogatepass") for t in texts)],
-            "e": [ending(t) for t in texts],
-            "known": [bool(table[_bucket(last_word(t))] >= 3) for t in texts],
+            "e": ends,
+            "w": [last_word(t) if e in (PLAIN, FORM) else None for t, e in zip(texts, ends, strict=True)],
             "bytes": [x[1] for x in sizes],
             "declared": [b["d"][k] for k in keep] if "d" in b else [None] * len(keep),
             "m": sizes,
@@ -230,6 +232,11 @@ def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str, declar
     """(doc_id, source, ending, at_limit, cut) of every text that isn't blank."""
     ends = save_point(text_endings(df, id_col, text_col, source_col, declared_col))
     limits = hidden_limits(ends)
+    bar = max(1, math.ceil(KNOWN_SHARE * ends.count()))
+    asked = ends.where("w IS NOT NULL").select("w").distinct()
+    known = word_counts(df, text_col).where(F.col("n") >= bar).join(asked, "w", "left_semi").select("w", F.lit(True).alias("known"))
+    asking = ends.where("w IS NOT NULL").join(known, "w", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    judged = ends.where("w IS NULL").withColumn("known", F.lit(True)).unionByName(asking)
     slack = F.element_at(F.array(*[F.lit(x) for x in SLACK]), F.col("measure") + 1)
     per_source = limits.groupBy("source").agg(F.collect_list(F.struct("measure", "len", slack.alias("slack"))).alias("limits"))
     # texts that end in a mark: how many of their source end in one at about the same length
@@ -237,7 +244,7 @@ def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str, declar
     bins = marked.groupBy("source", "bin").agg(F.count(F.lit(1)).alias("n"))
     dense = bins.withColumn("all", F.sum("n").over(Window.partitionBy("source"))).where((F.col("n") >= 3) & (F.col("n") >= 0.12 * F.col("all")))
     dense = dense.groupBy("source").agg(F.collect_set("bin").alias("bins"))
-    out = ends.join(per_source, "source", "left").join(dense, "source", "left")
+    out = judged.join(per_source, "source", "left").join(dense, "source", "left")
     at_limit = F.exists("limits", lambda x: (F.get("m", x.measure) <= x.len) & (F.get("m", x.measure) >= x.len - x.slack))
     at_limit = F.coalesce(at_limit, F.lit(False))
     b = (F.element_at("m", 1) / F.lit(MARK_WINDOW)).cast("int")

@@ -151,3 +151,13 @@ def test_spam_verdict_does_not_depend_on_the_size_of_the_table(spark):
     scores = [[pair_counts(corpus(n), "markdown").mean_pmi(t, own=False) for t in (salad, corpus(1).first().markdown)] for n in (1, 40)]
     assert scores[0] == pytest.approx(scores[1], abs=0.01)
     assert pair_counts(corpus(40), "markdown").n_words == 40 * 3000 * 60
+
+
+def test_last_words_are_looked_up_exactly(spark):
+    # more words than a table of 2^20 buckets can tell apart: each bucket is full many times
+    rare = "Text.\n\n- stone brxq"
+    texts = [(k, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" + "".join(chr(97 + (j // 26**d) % 26) for d in range(4)) for j in range(20_000)) + ".", "a", None) for k in range(240)]
+    texts += [(1000, rare, "a", None), (1001, "Text.\n\n- stone", "a", None), (1002, "A stone wall.", "a", None)]
+    df = spark.createDataFrame(texts, "doc_id LONG, text STRING, source STRING, content_length LONG")
+    got = {r.doc_id: r.cut for r in truncated(df, "doc_id", "text", "source", "content_length").collect()}
+    assert got[1000] and not got[1001] and not got[1002]
