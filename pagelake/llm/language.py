@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .engine import map_rows, pick, save_point, spread
 from .lexicon import LANGS, STOPWORDS
+from .lines import find_links
 from .profile import profile
 from .quality import verdicts
 from .residue import Residue, fit_residue
@@ -52,7 +53,6 @@ _LETTER = re.compile(r"[^\W\d_]")
 _URL = re.compile(r"<?https?://\S+|\]\([^)\s]*\)")
 _TAG = re.compile(r"<[^<>]*>")
 _MARKED = re.compile(r"^\s*(?:[-*+•]\s|\d{1,3}[.)]\s|#{1,6}(?:\s|$))", re.M)
-_LINK = re.compile(r"\[[^\]\n]{0,1000}\]\([^)\s]{0,3000}\)")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 
 
@@ -88,7 +88,7 @@ def blocks(markdown: str) -> list[Block]:
         if run:
             text = "\n".join(run)
             letters = len(_LETTER.findall(text))
-            plain = letters >= MIN_LETTERS and not run_code and not _MARKED.search(text) and not ("](" in text and _LINK.search(text))
+            plain = letters >= MIN_LETTERS and not run_code and not _MARKED.search(text) and not find_links(text)
             out.append(Block(len(out), text, letters, plain, run_code))
         run, run_code = [], fence
 

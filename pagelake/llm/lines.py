@@ -19,7 +19,7 @@ GOOD_ANCHORS = frozenset((PROSE, H1, SOLID))
 BAD_ANCHORS = frozenset((RELATED, NAV))
 CACHE_ROWS = 200_000
 
-MD_LINK = re.compile(r"!?\[([^\]\n]{0,1000})\]\(([^)\s]{0,3000})\)")  # bounded, so that no text takes quadratic time
+_TARGET_END = re.compile(r"[)\s]")
 _LIST = re.compile(r"^(?:[-*+]|\d{1,3}[.)])\s+")
 _HEADING = re.compile(r"^(#{1,6})(?:\s+|$)")
 _WS = re.compile(r"\s+")
@@ -29,12 +29,57 @@ _CJK = re.compile(r"[ぁ-ヿ一-鿿]")
 _TAG = re.compile(r"<[^<>]*>")
 _HIDDEN = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
 _HIDDEN_END = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript", "template")} | {"": re.compile("-->")}
-_A = re.compile(r"<a\b[^<>]*>(.{0,2000}?)</a\s*>", re.S | re.I)
+_A_OPEN = re.compile(r"<a\b[^<>]*>", re.I)
+_A_CLOSE = re.compile(r"</a\s*>", re.I)
 _URLLINE = re.compile(r"^<?https?://\S+>?$")
 _SEP = re.compile(r"\s*[|·•/]\s*")
 _EMPH = "*_ \t"
 
 
+def find_links(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, label, target) of the Markdown links and images of a text,
+    of any length, in linear time."""
+    out: list[tuple[int, int, str, str]] = []
+    low = stop = 0  # no label begins before low; no target that begins before stop ends before it
+    at = text.find("](")
+    while at >= 0:
+        low = max(low, text.rfind("]", low, at) + 1, text.rfind("\n", low, at) + 1)
+        begin = text.find("[", low, at)
+        if begin >= 0:
+            if stop < at + 2:
+                m = _TARGET_END.search(text, at + 2)
+                stop = m.start() if m else len(text)
+            if text[stop : stop + 1] == ")":
+                start = begin - (begin > (out[-1][1] if out else 0) and text[begin - 1] == "!")
+                out.append((start, stop + 1, text[begin + 1 : at], text[at + 2 : stop]))
+                low = stop + 1
+                at = text.find("](", low)
+                continue
+        low = at + 1
+        at = text.find("](", at + 1)
+    return out
+
+
+def replace_links(text: str, links: list[tuple[int, int, str, str]], by: str | None = None) -> str:
+    """The text with its links replaced, by their labels if ``by`` is None."""
+    out, pos = [], 0
+    for start, end, label, _ in links:
+        out += [text[pos:start], label if by is None else by]
+        pos = end
+    out.append(text[pos:])
+    return "".join(out)
+
+
+def anchors(line: str) -> list[str]:
+    """What the ``a`` elements of a line hold."""
+    out: list[str] = []
+    pos = 0
+    while (m := _A_OPEN.search(line, pos)) and (e := _A_CLOSE.search(line, m.end())):
+        out.append(line[m.end() : e.start()])
+        pos = e.end()
+    return out
+
+
 def stop_density(text: str) -> float:
     """Share of function words; of hiragana characters for Japanese text."""
     words = _WORD.findall(text.lower())
@@ -108,10 +153,10 @@ def markdown_kind(line: str) -> int:
         else:
             link_chars = n = 0
             if "](" in s:
-                found = MD_LINK.findall(s)
+                found = find_links(s)
                 n = len(found)
-                link_chars = sum(len(a) for a, _ in found)
-                s = MD_LINK.sub(r"\1", s)
+                link_chars = sum(len(x[2]) for x in found)
+                s = replace_links(s, found)
             k = _kind(" ".join(s.split()), link_chars, n, level, item, quote) if s.strip() else SHORT
         if len(_md_cache) > CACHE_ROWS:
             _md_cache.clear()
@@ -151,12 +196,12 @@ def html_kind(line: str) -> int:
         low = line.lower()
         m = _HEAD_TAG.search(low)
         text = _WS.sub(" ", _html.unescape(_TAG.sub("", line))).strip()
-        anchors = _A.findall(line)
-        link_chars = sum(len(_html.unescape(_TAG.sub("", a))) for a in anchors)
+        links = anchors(line)
+        link_chars = sum(len(_html.unescape(_TAG.sub("", a))) for a in links)
         k = (
             SOLID
             if "<td" in low or "<th" in low or "<img" in low
-            else _kind(text, link_chars, len(anchors), int(m.group(1)) if m else 0, "<li" in low, "<blockquote" in low)
+            else _kind(text, link_chars, len(links), int(m.group(1)) if m else 0, "<li" in low, "<blockquote" in low)
         )
         if len(_html_cache) > CACHE_ROWS:
             _html_cache.clear()

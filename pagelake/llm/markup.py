@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from .engine import map_rows, pick, spread
-from .lines import without_hidden
+from .lines import find_links, replace_links, without_hidden
 from .profile import profile, quality_kind
 from .residue import Residue, fit_residue
 
@@ -29,11 +29,11 @@ _TAG_NAMES = (
     "p|br|div|span|b|i|em|strong|a|ul|ol|li|table|tr|td|th|thead|tbody|tfoot|h[1-6]|img|font|center|sup|sub|small|big|u|s|tt|hr|blockquote|code|pre|section|article"
     "|header|footer|nav|main|aside|figure|figcaption|script|style|iframe|form|input|button|label|select|option|dl|dt|dd|del|ins|mark|caption|video|audio|source"
 )
-# Runs are bounded, so that no text takes quadratic time.
-HTML_TAG = re.compile(rf"</?(?:{_TAG_NAMES})(?:\s[^<>]{{0,2000}})?/?>", re.I)
-DOCTYPE = re.compile(r"<!doctype\b[^<>]{0,500}>", re.I)
+# Runs that end at the sign that begins them have any length; others are bounded, so that no text takes quadratic time.
+HTML_TAG = re.compile(rf"</?(?:{_TAG_NAMES})(?:\s[^<>]*)?/?>", re.I)
+DOCTYPE = re.compile(r"<!doctype\b[^<>]*>", re.I)
 ENTITY = re.compile(r"&(?:[a-zA-Z]{2,8}|#\d{2,6}|#x[0-9a-fA-F]{2,6});")
-WIKI = re.compile(r"\[\[[^\[\]\n]{1,500}\]\]|\{\{[^{}]{1,3000}\}\}|^\{\||^\|-\s*$|^\|\}\s*$|'''?[^'\n]{1,500}'''?|^={2,6}[ \t]*[^=\n]{1,300}={2,6}[ \t]*$", re.M)
+WIKI = re.compile(r"\[\[[^\[\]\n]+\]\]|\{\{[^{}]+\}\}|^\{\||^\|-\s*$|^\|\}\s*$|'''?[^'\n]+'''?|^={2,6}[^=\n]+={2,6}[ \t]*$", re.M)
 LATEX = re.compile(
     r"\\(?:begin|end|section|subsection|textbf|textit|emph|frac|sqrt|cite|ref|eqref|label|mathbb|mathrm|mathcal|footnote|url|href|caption|includegraphics|usepackage|documentclass)\s*\{"
     r"|\\(?:item|alpha|beta|gamma|delta|epsilon|lambda|mu|sigma|theta|pi|omega|leq|geq|neq|times|cdot|sum|int|prod|infty|partial|nabla|in|to|ldots|approx)\b"
@@ -247,13 +247,12 @@ def structured(node: Node) -> str:
 # ---- clean text -----------------------------------------------------------
 
 _WIKI_LINK = re.compile(r"\[\[(?:(?:File|Image|Category|Datei|Fichier|Archivo):[^\]\n]*|(?:[^|\]\n]*\|)?([^|\]\n]+))\]\]")
-_WIKI_TEMPLATE = re.compile(r"\{\{[^{}]{0,3000}\}\}")
+_WIKI_TEMPLATE = re.compile(r"\{\{[^{}]*\}\}")
 _WIKI_HEADING = re.compile(r"^(={2,6})\s*([^=\n]+?)\s*\1\s*$", re.M)
 _TEX_ENV = re.compile(r"^\s*\\(?:begin|end)\{[^}]*\}\s*$", re.M)
 _TEX_SECTION = re.compile(r"^\s*\\(sub)*section\*?\{([^}\n]*)\}", re.M)
 _TEX_WRAP = re.compile(r"\\(?:textbf|textit|emph|texttt|underline)\{([^{}\n]*)\}")
 _TEX_REF = re.compile(r"~?\\(?:ref|cite|label|eqref)\{[^}\n]*\}")
-_MD_LINK = re.compile(r"!?\[([^\]\n]{0,1000})\]\([^)\s]{0,3000}\)")
 _EMPHASIS = re.compile(r"(?<![\w*])(\*\*|\*|__)(?=\S)([^*\n]{1,1000}?)(?<=\S)\1(?![\w*])")
 
 
@@ -285,7 +284,7 @@ def _clean_piece(s: str) -> str:
         s = _TEX_REF.sub("", _TEX_WRAP.sub(r"\1", s))
         s = re.sub(r"\\([%&#_$])", r"\1", s)
     if "](" in s:
-        s = _MD_LINK.sub(r"\1", s)
+        s = replace_links(s, find_links(s))
     if "*" in s or "__" in s:
         s = _EMPHASIS.sub(r"\2", s)
     return s
@@ -306,7 +305,7 @@ def html_findings(source: str) -> tuple[list[str], Node, Node]:
     body = parse(source)
     measure(body)
     text = visible(body)
-    found = ["markdown"] if MARKDOWN.search(text) else []
+    found = ["markdown"] if MARKDOWN.search(text) or any(x[2] and x[3] for x in find_links(text)) else []
     bare = without_code(text)
     return leftovers(bare) + found, body, content_node(body)
 

@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass, field
 
 from .lexicon import ALL_STOP
-from .lines import H1, HEAD, LINKS, MD_LINK, PROSE, SOLID, main_body, stop_density
+from .lines import H1, HEAD, LINKS, PROSE, SOLID, find_links, main_body, replace_links, stop_density
 
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ITEM = re.compile(r"^(?:[-*+]|\d{1,3}[.)])\s+")
@@ -105,18 +105,18 @@ def profile(markdown: str) -> Profile:
             continue
         n = len(s)
         if "](" in s or "://" in s:
-            found = MD_LINK.findall(s)
-            rest = MD_LINK.sub(" ", s)
+            found = find_links(s)
+            rest = replace_links(s, found, " ")
             urls = _URL.findall(rest)
             rest = _URL.sub(" ", rest)
-            visible = sum(len(a) for a, _ in found)
+            visible = sum(len(x[2]) for x in found)
             words_left = len(WORD.findall(rest))
             p.n_links += len(found) + len(urls)
             if k == LINKS or found and s[0] != "!" and words_left <= 3 * (len(found) + len(urls)) and not _END.search(rest.strip()):
                 p.links += 1
                 p.link_chars += visible + len(rest) + 12 * len(urls)
                 continue
-            s = MD_LINK.sub(r"\1", s)
+            s = replace_links(s, found)
             s = _URL.sub(" ", s)
             n = len(s)
         plain.append(s)

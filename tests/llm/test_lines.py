@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 
 from pagelake.llm.language import blocks, label_of
@@ -159,3 +162,23 @@ def test_blocks():
     long_ = "one two three four five six seven eight nine ten eleven twelve"
     b = blocks(f"# H\n\n{long_}\n{long_}\n\n- {long_}\n\n```\n{long_}\n```\n\n[x](/y) {long_}\n\nshort")
     assert [x.plain for x in b] == [False, True, False, False, False, False] and [x.number for x in b] == list(range(6))
+
+
+def test_links_and_tags_of_any_length():
+    from pagelake.llm.lines import anchors, find_links, replace_links
+
+    EN = "The new bridges on the coast have been kept by a small group since the spring, and they meet once a week at the harbour and not only there."
+    uri = "data:image/png;base64," + "iVBORw0KGgoAAAANSUhEUgAA" * 400
+    article = f"# Bridges\n\n{EN}\n\nA view of the bridge from the harbour ![the bridge]({uri}) on the day of the opening, as it was then.\n\n{EN}"
+    p = profile(article)
+    assert quality_kind(p)[0] is None and p.other_chars < 500 and "base64" not in p.text
+    assert leftovers(f'<img src="{uri}">') == ["html"] and leftovers("{{" + "x y " * 2000 + "}}") == ["wiki"]
+    assert "base64" not in clean_markdown(article) and anchors(f"<a>{'x' * 5000}</a><a>open") == ["x" * 5000]
+    bounded = re.compile(r"!?\[([^\]\n]*)\]\(([^)\s]*)\)")
+    rnd = random.Random(1)
+    for _ in range(20_000):
+        s = "".join(rnd.choice("[]()!a\n ") for _ in range(rnd.randrange(24)))
+        s = s.replace("] (", "](").replace("])", "](")
+        assert [(m.start(), m.end(), *m.groups()) for m in bounded.finditer(s)] == find_links(s), s
+        assert replace_links(s, find_links(s)) == bounded.sub(r"\1", s)
+    assert find_links("[](" * 200_000) == []
