@@ -178,7 +178,7 @@ class Residue:
 
     def kind(self, p: Profile) -> str | None:
         """The record's residue kind, or None for real content."""
-        if not p.lines or p.prose > 40:
+        if not p.lines:
             return None
         size = [0] * len(KINDS)
         total = 0

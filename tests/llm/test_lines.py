@@ -182,3 +182,12 @@ def test_links_and_tags_of_any_length():
         assert [(m.start(), m.end(), *m.groups()) for m in bounded.finditer(s)] == find_links(s), s
         assert replace_links(s, find_links(s)) == bounded.sub(r"\1", s)
     assert find_links("[](" * 200_000) == []
+
+
+def test_long_filler_is_residue():
+    real = "The new bridges on the coast have been kept by a small group since the spring, and they meet once a week."
+    model = fit([(0, [real, "At noon the harbour is closed to ships, as it was in the past."])] * 20)
+    sample = "Describe the benefit of feature 12 in one or two sentences."
+    short, long, content = (profile("# Page\n\n" + "\n\n".join([x] * n)) for x, n in ((sample, 8), (sample, 60), (real, 60)))
+    assert long.prose > 40 and content.prose > 40
+    assert model.kind(long) == model.kind(short) == "filler" and model.kind(content) is None
