@@ -385,12 +385,12 @@ def detect_languages(df: DataFrame, id_col: str, text_col: str, crf: Crf) -> Dat
 
 
 def language_found(
-    df: DataFrame, id_col: str, text_col: str, label_col: str, crf: Crf | None = None, residue: Residue | None = None, pairs: Pairs | None = None
+    df: DataFrame, id_col: str, text_col: str, label_col: str, status_col: str | None = None, crf: Crf | None = None, residue: Residue | None = None, pairs: Pairs | None = None
 ) -> DataFrame:
     """(page_id, block_no, lang) of records with no label, a wrong one or
     several languages; residue, spam, lists, tables and junk are left out."""
     crf = crf or fit_languages(df, id_col, text_col, label_col)
-    held = df.sparkSession.sparkContext.broadcast((crf, residue or fit_residue(df, id_col, text_col)))
+    held = df.sparkSession.sparkContext.broadcast((crf, residue or fit_residue(df, id_col, text_col, status_col)))
 
     def run(b: dict[str, list]) -> dict[str, list]:
         crf_, residue_ = held.value

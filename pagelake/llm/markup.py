@@ -313,10 +313,10 @@ def html_findings(source: str) -> tuple[list[str], Node, Node]:
 SCHEMA = "page_id BIGINT, field STRING, text STRING, markup ARRAY<STRING>"
 
 
-def clean_documents(df: DataFrame, id_col: str, markdown_col: str, html_col: str, residue: Residue | None = None, with_text: bool = True) -> DataFrame:
+def clean_documents(df: DataFrame, id_col: str, markdown_col: str, html_col: str, status_col: str | None = None, residue: Residue | None = None, with_text: bool = True) -> DataFrame:
     """One row per non-empty field with its clean text and the markup it shows.
     Records whose Markdown is residue or junk show none."""
-    held = df.sparkSession.sparkContext.broadcast(residue or fit_residue(df, id_col, markdown_col))
+    held = df.sparkSession.sparkContext.broadcast(residue or fit_residue(df, id_col, markdown_col, status_col))
 
     def run(b: dict[str, list]) -> dict[str, list]:
         model = held.value

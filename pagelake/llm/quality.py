@@ -78,11 +78,11 @@ def verdicts(p: Profile, residue: Residue) -> tuple[str | None, str | None, str
     return None, s, None if s and s != UNSURE else quality_kind(p)[0]
 
 
-def quality_found(df: DataFrame, id_col: str, text_col: str, count_col: str, residue: Residue | None = None) -> DataFrame:
+def quality_found(df: DataFrame, id_col: str, text_col: str, count_col: str, status_col: str | None = None, residue: Residue | None = None) -> DataFrame:
     """(page_id, kind): list, table or junk for records that no residue or spam
     verdict covers, and word_count where the stated count isn't the number of
     white-space-separated words."""
-    held = df.sparkSession.sparkContext.broadcast(residue or fit_residue(df, id_col, text_col))
+    held = df.sparkSession.sparkContext.broadcast(residue or fit_residue(df, id_col, text_col, status_col))
 
     def run(b: dict[str, list]) -> dict[str, list]:
         residue_ = held.value

@@ -33,16 +33,16 @@ def p1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = clean_documents(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "html", with_text=False)
+    docs = clean_documents(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "html", "metadata.status_code", with_text=False)
     return docs.select("page_id", "field", F.explode("markup").alias("markup"))
 
 
 def p2_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_documents(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "html")
+    return clean_documents(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "html", "metadata.status_code")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_found(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "metadata.language")
+    return language_found(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "metadata.language", "metadata.status_code")
 
 
 def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +52,11 @@ def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue_records(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown")
+    return residue_records(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "metadata.status_code")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam_records(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown")
+    return spam_records(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "metadata.status_code")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def p6_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_found(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "metadata.word_count")
+    return quality_found(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "metadata.word_count", "metadata.status_code")
 
 
 def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

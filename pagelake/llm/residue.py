@@ -1,19 +1,31 @@
 """Problem 4: template residue and error-page text.
 
 Method: a positive-unlabelled naive Bayes fitted by expectation-maximization.
-Trusted positives are records whose whole main body consists of seed phrases
-(status-page wording, template fields, filler words, script notices); all other
-records are unlabelled and start as content.  Every passage (a line of the main
-body) is then scored, and a record is reported if passages of one residue kind
-make up most of its main body.
-
-The model is fitted on a bounded sample of records (``SAMPLE_RECORDS``, chosen
-by hash of the id); the decision covers every record.  Null, empty and blank
-texts are never reported; repeated rows get the same verdict.
+
+* Trusted records need no wording of their own: an error page is a short record
+  whose server answered with a status of 400 or more (a script notice, if it
+  speaks of scripts or browsers), a placeholder record consists of template
+  fields, a filler record of the words of the well-known filler text or of one
+  or two words over and over.  A few seed phrases stand in as prior records,
+  so that tiny tables have a model too.
+* Records of characters that form no words are reliable content; all others are
+  unlabelled and start as content.
+* EM re-estimates words and priors.  The event model of fit and score is one:
+  the distinct tokens of a passage, every token outside the vocabulary counting
+  as the unknown token, whose share per kind is learned from rare words.
+* Every passage (a line of the main body) is scored; the log-odds of its
+  passages against content, each bounded by ``SURE`` and weighted by length,
+  decide the record, so that a notice beside real content reports none.
+
+The model is fitted on a bounded sample of records (``SAMPLE_RECORDS`` by hash of
+the id, at most ``SAMPLE_PASSAGES`` passages of each, evenly spaced); the decision
+covers every record and all of its passages.  Null, empty and blank texts are
+never reported; repeated rows get the same verdict.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -21,68 +33,63 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .engine import map_rows, pick, spread
+from .engine import map_rows, pick, sample, spread
+from .lexicon import ALL_STOP
 from .lines import H1
-from .profile import Profile, profile
+from .profile import Profile, profile, quality_kind
 
 KINDS = ("content", "placeholder", "filler", "error_page", "script_notice")
 SAMPLE_RECORDS = 6000
-VOCABULARY = 40_000
-EM_ROUNDS = 5
-MIX = 0.12  # weight of the background distribution
-SHARE = 0.6  # of the main body's characters that must be residue
-
+SAMPLE_PASSAGES = 60  # of one record, in the fit only
+EM_ROUNDS = 6
+SMOOTH = 0.01  # pseudo-counts of each kind for each word of the vocabulary, spread by the background
+TRUST = 0.95  # prior of a trusted record's kind
+SURE = 5.0  # log-odds beyond which a passage counts no more
+ERROR_STATUS = 400
+ERROR_CHARS = 300  # main body of a trusted error page, at most
+SEED_WEIGHT = 3.0  # records that a seed phrase stands for
+
+_NAMED = r"\s*=?\s*[A-Za-z_]"  # what a field begins with
 FIELD = re.compile(
-    r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{0,60}\}|#\{[^{}\n]{0,60}\}|<%[^%\n]{0,60}%>|\{%[^%\n]{0,60}%\}|@@[\w. -]{1,40}@@|%%[\w. -]{1,40}%%"
-    r"|__[A-Z][A-Z_]{2,40}__|\[\[[A-Z][A-Z_]{2,40}\]\]|\[INSERT [A-Z ]{2,60}\]|\$[A-Z][A-Z_]{2,40}\$|<[A-Z]+_[A-Z_]+>|\{[a-z]+[ _.-][a-z]+\}|\[[a-z]+[ _-][a-z]+\](?!\()"
+    rf"\{{\{{{_NAMED}[^{{}}\n]*\}}\}}|\$\{{{_NAMED}[^{{}}\n]*\}}|#\{{{_NAMED}[^{{}}\n]*\}}|<%{_NAMED}[^%\n]*%>|\{{%{_NAMED}[^%\n]*%\}}|@@{_NAMED}[\w. -]*@@|%%{_NAMED}[\w. -]*%%"
+    r"|__[A-Z][A-Z_]{2,}__|\[\[[A-Z][A-Z_]{2,}\]\]|\[INSERT [A-Z ]{2,}\]|\$[A-Z][A-Z_]{2,}\$|<[A-Z]+_[A-Z_]+>|\{[a-z]+[ _.-][a-z]+\}|\[[a-z]+[ _-][a-z]+\](?!\()"
 )
 _CODE = re.compile(r"`[^`\n]*`")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|§\w+")
 _CJK = re.compile(r"[ぁ-ヿ一-鿿]{2,}")
 
-# Seed wording of trusted records (fixed values).
+# The well-known filler text and its usual continuations (fixed values).
+FILLER_WORDS = frozenset(
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation"
+    " ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat"
+    " cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vivamus mauris egestas lectus porta".split()
+)
+# Words that tell a notice about scripts from other short answers of a server.
+SCRIPT_CUE = re.compile(r"script|browser|cookies|loading|navigat|javascript|скрипт|браузер|スクリプト|ブラウザ|webbläsare|przeglądar|verify that you")
+# Prior records of each kind (fixed values): usual wording, for tables without trusted records of the kind.
 SEEDS: dict[str, tuple[str, ...]] = {
-    "placeholder": (
-        "Dear §field, your §field is ready on §field", "Written by §field on §field", "Tags: §field, §field", "Only §field left at §field",
-        "Read §field in §field", "Welcome back, §field!", "§field | §field | §field", "§field: §field", "§field",
-    ),
+    "placeholder": ("Dear §field, your §field is ready", "by §field on §field", "§field, §field", "Only §field left", "Welcome back, §field!", "§field | §field", "§field: §field", "§field"),
     "filler": (
-        "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
-        "ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat",
-        "duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur",
-        "excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum",
-        "vivamus mauris egestas lectus porta nisi amet pariatur proident",
-        "Your text goes here.", "Click here to add your own content.", "This is a sample page; edit or delete it to get started.",
-        "Replace this paragraph with a short description of your company.", "Example headline for section §num.", "Caption for picture §num.",
-        "Here goes the answer to question §num.", "Describe the benefit of feature §num in one or two sentences.",
+        "Your text goes here.", "Click here to add your own content.", "This is a sample page; edit or delete it to get started.", "Replace this paragraph with a short description of your company.",
+        "Example headline for section §num.", "Caption for picture §num.", "Here goes the answer to question §num.", "Describe the benefit of feature §num in one or two sentences.",
         "Use this space to tell visitors who you are and what you do.", "Sample page", "Hello world!", "Add your title", "Section title", "Home page §num", "New page", "About (draft)",
-        "§rep asdf", "§rep blah", "§rep test", "§rep xxx", "§rep foo bar", "§rep qwerty", "§rep bla", "asdf", "qwerty", "blah", "foo bar", "xxx", "test",
+        "§rep asdf", "§rep blah", "§rep test", "§rep xxx", "§rep foo bar", "§rep qwerty", "asdf", "qwerty", "blah", "foo bar", "xxx", "test",
     ),
     "error_page": (
-        "§num Not Found", "404 Not Found", "403 Forbidden", "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "§num Forbidden", "§num Bad Gateway",
-        "The requested address was not found on this server", "You don't have permission to open this resource", "Reference §hex", "Access denied",
-        "Your request was blocked by our security rules. Incident number: §hex", "The upstream server returned an invalid answer", "Too many requests",
-        "Slow down and try again in §num seconds", "Service temporarily unavailable", "We are carrying out maintenance and will be back in about §num minutes",
-        "Sorry, something went wrong on our side", "Internal error", "Error establishing a database connection", "Stack trace: §num main thrown", "Traceback (most recent call last):", "File srv app py, line §num, in render", "KeyError:", "Fatal error: Uncaught exception in var www php on line §num", "Error code: §num",
-        "Oops! We can't find that page", "It may have been moved, renamed or removed", "Go back to the front page or try a search", "Page not found",
-        "There are no results for your search", "Check the spelling or use fewer filters", "Your session has expired", "Please sign in again to continue",
-        "This domain has expired", "If you are the owner, renew it with your provider", "This content is not available in your country",
-        "Seite nicht gefunden", "Die gewünschte Adresse existiert nicht mehr. Bitte prüfen Sie die Schreibweise (§num).",
-        "Page introuvable", "La page demandée n'existe pas ou a été déplacée. Code §num.", "Error del servidor", "No se pudo procesar la solicitud número §num. Inténtelo más tarde.",
-        "Страница не найдена", "Возможно, она была удалена или перенесена (код §num).", "ページが見つかりません", "お探しのページは削除されたか、移動した可能性があります。",
-        "Pagina niet gevonden", "Pagina non trovata", "Página não encontrada", "Sidan kunde inte hittas", "Nie znaleziono strony", "Página no encontrada",
+        "400 Bad Request", "401 Unauthorized", "403 Forbidden", "404 Not Found", "410 Gone", "429 Too Many Requests", "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout",
+        "Page not found", "The requested address was not found on this server", "Access denied", "You don't have permission to open this resource", "Request blocked. Incident number: §hex", "Error code: §num", "Internal error",
+        "Something went wrong", "Fatal error: Uncaught exception on line §num", "Traceback (most recent call last):", "Stack trace: §num", "Error establishing a database connection", "Service temporarily unavailable",
+        "Down for maintenance, back in §num minutes", "Too many requests, try again in §num seconds", "No results for your search", "Your session has expired, sign in again", "This domain has expired", "Not available in your country",
+        "Seite nicht gefunden", "Page introuvable", "Página no encontrada", "Página não encontrada", "Pagina non trovata", "Pagina niet gevonden", "Sidan kunde inte hittas", "Nie znaleziono strony", "Страница не найдена", "ページが見つかりません",
     ),
     "script_notice": (
-        "Please enable JavaScript to view this page", "You need to enable JavaScript to run this app", "JavaScript is disabled",
-        "This site needs scripts in order to work. Turn them on and reload.", "Checking your browser before you continue …", "This process is automatic. Ray §hex",
-        "Verify that you are human", "Cookies and scripts are required to go on", "Loading, please wait", "If nothing happens, your browser may be blocking scripts",
-        "Your browser is not supported", "Use a modern browser with scripting switched on", "noscript", "Without active scripting the catalogue can't be displayed",
-        "Bitte aktivieren Sie JavaScript, um diese Anwendung zu benutzen", "Veuillez activer les scripts de votre navigateur pour afficher ce contenu",
-        "Para ver esta página debe activar JavaScript en su navegador", "Для просмотра страницы включите JavaScript", "このページを表示するにはスクリプトを有効にしてください。",
-        "Attiva JavaScript per vedere questa pagina", "Schakel JavaScript in om deze pagina te bekijken", "Aktivera JavaScript för att visa sidan", "Włącz JavaScript, aby zobaczyć tę stronę", "Ative o JavaScript para ver esta página",
+        "Please enable JavaScript to view this page", "You need to enable JavaScript to run this app", "JavaScript is disabled", "This site needs scripts in order to work", "Checking your browser", "Verify that you are human",
+        "Cookies and scripts are required", "Loading, please wait", "Your browser is not supported", "noscript", "Bitte aktivieren Sie JavaScript", "Veuillez activer JavaScript dans votre navigateur",
+        "Debe activar JavaScript en su navegador", "Ative o JavaScript", "Attiva JavaScript per vedere questa pagina", "Schakel JavaScript in", "Aktivera JavaScript", "Włącz JavaScript", "Включите JavaScript", "JavaScriptを有効にしてください。",
     ),
 }
+UNKNOWN = "§unk"
 
 
 def tokens(passage: str) -> list[str]:
@@ -116,146 +123,151 @@ def passages(p: Profile) -> list[str]:
     return [s.lstrip("# >*-+") if k != H1 else s.lstrip("# ") for s, k in zip(p.lines, p.kinds, strict=True)]
 
 
-_SEED_TOKENS = {k: {tuple(tokens(x)) for x in v} for k, v in SEEDS.items()}
+def trusted_kind(p: Profile, status: int | None) -> int:
+    """Kind of a trusted record, 0 for an unlabelled one, -1 for reliable content."""
+    parts = passages(p)
+    got = [tokens(s) for s in parts]
+    flat = [t for ts in got for t in ts]
+    if not flat:
+        return 0
+    if sum(t == "§field" for t in flat) * 2 >= sum(t not in _LITTLE for t in flat):
+        return 1
+    words = [t for t in flat if t[0] != "§"]
+    if sum(bool(ts) and ts[0] == "§rep" for ts in got) * 2 > len(got) or words and sum(t in FILLER_WORDS for t in words) >= 0.8 * len(words):
+        return 2
+    if quality_kind(p)[0] == "junk":
+        return -1
+    if status is not None and status >= ERROR_STATUS and sum(map(len, parts)) <= ERROR_CHARS and not (p.items or p.cells or p.links):
+        return 4 if SCRIPT_CUE.search(" ".join(parts).lower()) else 3
+    return 0
 
 
-def trusted_kind(parts: list[str]) -> int:
-    """Kind of a record all of whose passages are seed wording; 0: unlabelled."""
-    if not parts or len(parts) > 40:
-        return 0
-    votes = [0] * len(KINDS)
-    hit = 0
-    for s in parts:
-        t = tuple(tokens(s))
-        if not t:
-            hit += 1
-            continue
-        for i, k in enumerate(KINDS[1:], 1):
-            if t in _SEED_TOKENS[k] or i == 1 and t.count("§field") * 2 >= len(t):
-                votes[i] += 1
-                hit += 1
-                break
-    best = max(range(1, len(KINDS)), key=votes.__getitem__)
-    return best if votes[best] and hit >= 0.8 * len(parts) else 0
+_LITTLE = ALL_STOP | {"§num", "written", "read", "tags", "only", "left", "dear", "ready", "welcome", "back"}
 
 
 @dataclass
 class Residue:
-    """Fitted weights: word -> log P(word | kind) - log P(word | content)."""
+    """Fitted weights: word -> log P(word | kind) by kind."""
 
     weights: dict[str, tuple[float, ...]]
     prior: tuple[float, ...]
 
     def __post_init__(self) -> None:
-        self._cache: dict[str, int] = {}
-
-    def passage_kind(self, passage: str) -> int:
-        got = self._cache.get(passage)
-        if got is None:
-            if len(self._cache) > 100_000:
-                self._cache.clear()
-            got = self._cache[passage] = self._score(passage)
+        self._cache: dict[str, tuple[float, ...] | None] = {}
+
+    def posterior(self, passage: str) -> tuple[float, ...] | None:
+        """P(kind | passage), None for a passage without tokens."""
+        if passage in self._cache:
+            return self._cache[passage]
+        if len(self._cache) > 100_000:
+            self._cache.clear()
+        got = self._cache[passage] = self._score(passage)
         return got
 
-    def _score(self, passage: str) -> int:
-        ts = tokens(passage)
+    def _score(self, passage: str) -> tuple[float, ...] | None:
+        ts = dict.fromkeys(tokens(passage))
         if not ts:
-            return -1
-        if all(t == "§num" or t == "§hex" for t in ts):
-            return 0
-        w = self.weights
-        known = [w[t] for t in ts if t in w]
-        if 2 * len(known) < len(ts):
-            return 0
-        a, b, c, d = self.prior
-        for x in known:
-            a += x[0]
-            b += x[1]
-            c += x[2]
-            d += x[3]
-        best = max(a, b, c, d)
-        return 0 if best <= 0 else (a, b, c, d).index(best) + 1
+            return None
+        w, unknown = self.weights, self.weights[UNKNOWN]
+        x = list(self.prior)
+        for t in ts:
+            v = w.get(t, unknown)
+            for k in range(len(x)):
+                x[k] += v[k]
+        top = max(x)
+        e = [math.exp(v - top) for v in x]
+        total = sum(e)
+        return tuple(v / total for v in e)
+
+    def passage_kind(self, passage: str) -> int:
+        """The likeliest kind, -1 for a passage without tokens."""
+        x = self.posterior(passage)
+        return -1 if x is None else x.index(max(x))
 
     def kind(self, p: Profile) -> str | None:
         """The record's residue kind, or None for real content."""
-        if not p.lines:
-            return None
-        size = [0] * len(KINDS)
-        total = 0
+        size = [0.0] * len(KINDS)
+        odds, total = 0.0, 0
         for s in passages(p):
             if s[:3] in ("```", "~~~"):
                 continue
-            k = self.passage_kind(s)
-            if k >= 0:
-                size[k] += len(s)
-                total += len(s)
-        if not total:
+            x = self.posterior(s)
+            if x is not None:
+                n = len(s)
+                total += n
+                odds += n * max(-SURE, min(SURE, math.log((1.0 - x[0] + 1e-9) / (x[0] + 1e-9))))
+                for k in range(1, len(KINDS)):
+                    size[k] += n * x[k]
+        if not total or odds <= 0:
             return None
-        best = max(range(1, len(KINDS)), key=size.__getitem__)
-        return KINDS[best] if sum(size[1:]) >= SHARE * total else None
+        return KINDS[max(range(1, len(KINDS)), key=size.__getitem__)]
 
 
 def fit(labelled: list[tuple[int, list[str]]]) -> Residue:
-    """EM on (kind, passages) pairs, kind 0 meaning unlabelled."""
-    docs: list[tuple[int, list[str]]] = [(0, tokens(s)) for k, ps in labelled if k == 0 for s in ps]
-    docs += [(k, tokens(s)) for k, ps in labelled if k for s in ps]
-    for k, seeds in SEEDS.items():
-        docs += [(KINDS.index(k), tokens(s)) for s in seeds] * 3
-    docs = [(k, ts) for k, ts in docs if ts]
-    counts: dict[str, int] = {}
-    for _, ts in docs:
-        for t in set(ts):
-            counts[t] = counts.get(t, 0) + 1
-    vocab = sorted((t for t, n in counts.items() if n > 1), key=lambda t: (-counts[t], t))[:VOCABULARY]
+    """EM on (trusted kind, passages) pairs."""
+    records: list[tuple[int, list[str]]] = [*labelled, *[(KINDS.index(k), [s]) for k, seeds in SEEDS.items() for s in seeds], (KINDS.index("filler"), [" ".join(sorted(FILLER_WORDS))])]
+    docs = [(k, list(dict.fromkeys(tokens(s))), 1.0 if r < len(labelled) else SEED_WEIGHT) for r, (k, ps) in enumerate(records) for s in ps]
+    docs = [d for d in docs if d[1]]
+    counts: dict[str, float] = {}
+    for _, ts, n in docs:
+        for t in ts:
+            counts[t] = counts.get(t, 0) + n
+    vocab = sorted(t for t, n in counts.items() if n > 1) + [UNKNOWN]
     index = {t: i for i, t in enumerate(vocab)}
-    rows = [(k, [index[t] for t in dict.fromkeys(ts) if t in index]) for k, ts in docs]
-    rows = [(k, r) for k, r in rows if r]
-    given = np.array([k for k, _ in rows])
-    flat = np.fromiter((i for _, r in rows for i in r), dtype=np.int64)
-    starts = np.cumsum([0] + [len(r) for _, r in rows[:-1]])
-    lengths = np.array([len(r) for _, r in rows])
+    unknown = index[UNKNOWN]
+    rows = [[index.get(t, unknown) for t in ts] for _, ts, _ in docs]
+    given = np.array([k for k, _, _ in docs])
+    times = np.array([n for _, _, n in docs])
+    flat = np.fromiter((i for r in rows for i in r), dtype=np.int64)
+    lengths = np.array([len(r) for r in rows])
+    starts = np.cumsum(np.r_[0, lengths[:-1]])
     n, v, c = len(rows), len(vocab), len(KINDS)
+    known = np.where(given > 0, given, 0)
     post = np.zeros((n, c))
-    post[np.arange(n), given] = 1.0
-    free = given == 0
-    background = np.bincount(flat, minlength=v) + 1.0
+    post[np.arange(n), known] = 1.0
+    background = np.bincount(flat, weights=np.repeat(times, lengths), minlength=v) + 1.0
     background /= background.sum()
+    # trusted and reliable records keep a prior of their own, the others share the learned one
+    held = np.full((n, c), (1 - TRUST) / (c - 1))
+    held[np.arange(n), known] = TRUST
+    held[given < 0] = 1e-300
+    held[given < 0, 0] = 1.0
+    log_held, free, sure = np.log(held), given == 0, given < 0
     log_w = log_prior = np.zeros(0)
     for _ in range(EM_ROUNDS):
-        wide = np.repeat(post, lengths, axis=0)
-        prob = np.stack([np.bincount(flat, weights=wide[:, k], minlength=v) for k in range(c)], axis=1)
-        prob = (1 - MIX) * prob / np.maximum(prob.sum(axis=0), 1e-9) + MIX * background[:, None]
-        log_w = np.log(prob)
-        share = post.sum(axis=0) + 1.0
+        wide = np.repeat(post * times[:, None], lengths, axis=0)
+        prob = np.stack([np.bincount(flat, weights=wide[:, k], minlength=v) for k in range(c)], axis=1) + SMOOTH * v * background[:, None]
+        log_w = np.log(prob / prob.sum(axis=0))
+        log_w[unknown, 1:] = np.minimum(log_w[unknown, 1:], log_w[unknown, 0])  # an unknown word is no evidence of residue
+        share = (post * times[:, None]).sum(axis=0) + 1.0
         log_prior = np.log(share / share.sum())
-        score = np.add.reduceat(log_w[flat], starts, axis=0) + log_prior
+        score = np.add.reduceat(log_w[flat], starts, axis=0) + np.where(free[:, None], log_prior, log_held)
         score -= score.max(axis=1, keepdims=True)
         e = np.exp(score)
-        new = e / e.sum(axis=1, keepdims=True)
-        post[free] = new[free]
-    diff = log_w[:, 1:] - log_w[:, :1]
-    prior = np.maximum(log_prior[1:] - log_prior[0], -4.0)
-    return Residue({t: tuple(map(float, diff[i])) for t, i in index.items()}, tuple(map(float, prior)))
+        e /= e.sum(axis=1, keepdims=True)
+        post = e
+        post[sure] = (1.0, *[0.0] * (c - 1))
+    return Residue({t: tuple(map(float, log_w[i])) for t, i in index.items()}, tuple(map(float, log_prior)))
 
 
-def fit_residue(df: DataFrame, id_col: str, text_col: str) -> Residue:
-    """Fits on at most about SAMPLE_RECORDS records, chosen by hash of the id."""
-    n = df.select(id_col).count()
-    few = pick(df, i=id_col, t=text_col).where(F.col("t").isNotNull() & (F.length("t") > 0))
-    if n > SAMPLE_RECORDS:
-        few = few.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE_RECORDS / n))
+def fit_residue(df: DataFrame, id_col: str, text_col: str, status_col: str | None = None) -> Residue:
+    """Fits on at most about SAMPLE_RECORDS records (``engine.sample``)."""
+    cols = {"i": id_col, "t": text_col} | ({"s": status_col} if status_col else {})
+    few = sample(df, SAMPLE_RECORDS, id_col, **cols).where(F.length("t") > 0)
 
     def run(b: dict[str, list]) -> dict[str, list]:
-        parts = [passages(profile(t)) for t in b["t"]]
-        return {"i": b["i"], "kind": [trusted_kind(p) for p in parts], "parts": [p[:60] for p in parts]}
+        found = [profile(t) for t in b["t"]]
+        parts = [passages(p) for p in found]
+        few_parts = [p[:: -(-len(p) // SAMPLE_PASSAGES)] if p else [] for p in parts]
+        return {"i": b["i"], "kind": [trusted_kind(p, s) for p, s in zip(found, b.get("s", [None] * len(found)), strict=True)], "parts": few_parts}
 
     got = map_rows(spread(few), run, "i BIGINT, kind INT, parts ARRAY<STRING>").toArrow().sort_by("i")
     return fit(list(zip(got["kind"].to_pylist(), got["parts"].to_pylist(), strict=True)))
 
 
-def residue_records(df: DataFrame, id_col: str, text_col: str, model: Residue | None = None) -> DataFrame:
+def residue_records(df: DataFrame, id_col: str, text_col: str, status_col: str | None = None, model: Residue | None = None) -> DataFrame:
     """(page_id, kind) of the records whose main body is residue."""
-    held = df.sparkSession.sparkContext.broadcast(model or fit_residue(df, id_col, text_col))
+    held = df.sparkSession.sparkContext.broadcast(model or fit_residue(df, id_col, text_col, status_col))
 
     def run(b: dict[str, list]) -> dict[str, list]:
         m = held.value
@@ -266,7 +278,7 @@ def residue_records(df: DataFrame, id_col: str, text_col: str, model: Residue |
     return map_rows(spread(pick(df, i=id_col, t=text_col)), run, "page_id BIGINT, kind STRING")
 
 
-def without_residue(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def without_residue(df: DataFrame, id_col: str, text_col: str, status_col: str | None = None) -> DataFrame:
     """The rows of ``df`` whose main body is real content (null texts stay)."""
-    bad = residue_records(df, id_col, text_col).select(F.col("page_id").alias("__bad"))
+    bad = residue_records(df, id_col, text_col, status_col).select(F.col("page_id").alias("__bad"))
     return df.join(bad.distinct(), df[id_col] == F.col("__bad"), "left_anti")

@@ -241,10 +241,10 @@ def spam_kind(p: Profile) -> str | None:
     return UNSURE
 
 
-def spam_records(df: DataFrame, id_col: str, text_col: str, model: Residue | None = None, pairs: Pairs | None = None) -> DataFrame:
+def spam_records(df: DataFrame, id_col: str, text_col: str, status_col: str | None = None, model: Residue | None = None, pairs: Pairs | None = None) -> DataFrame:
     """(page_id, kind) of keyword and link pages; records that the residue
     model reports are left out."""
-    held = df.sparkSession.sparkContext.broadcast(model or fit_residue(df, id_col, text_col))
+    held = df.sparkSession.sparkContext.broadcast(model or fit_residue(df, id_col, text_col, status_col))
 
     def run(b: dict[str, list]) -> dict[str, list]:
         residue = held.value

@@ -127,7 +127,9 @@ def test_residue_model_from_seeds_alone():
     assert m.kind(profile("# asdf\n\n" + "blah " * 30)) == "filler"
     assert m.kind(profile(f"# What a 404 page should say\n\n{PROSE} {PROSE}\n\nPlease enable JavaScript to see the comments (3).")) is None
     assert m.kind(profile("")) is None
-    assert trusted_kind(passages(profile("# 403 Forbidden"))) == 3
+    assert trusted_kind(profile("# 403 Forbidden"), 403) == 3
+    assert trusted_kind(profile("# 403 Forbidden"), None) == 0
+    assert trusted_kind(profile("Scripts must be on"), 503) == 4
     assert tokens("Ray 0123456789abcdef") == ["ray", "§hex"]
 
 
@@ -191,3 +193,15 @@ def test_long_filler_is_residue():
     short, long, content = (profile("# Page\n\n" + "\n\n".join([x] * n)) for x, n in ((sample, 8), (sample, 60), (real, 60)))
     assert long.prose > 40 and content.prose > 40
     assert model.kind(long) == model.kind(short) == "filler" and model.kind(content) is None
+
+
+def test_residue_wording_is_learned_from_the_status():
+    """No seed holds these words: short answers with an error status do, and EM
+    carries them to a record whose status says nothing."""
+    real = [(0, [PROSE, "At noon the harbour is closed to ships, as it was in the past."])] * 30
+    notice = profile("# Zut alors, gremlins\n\nGremlins munched our cables")
+    odd = [(trusted_kind(notice, 502), passages(notice))] * 4
+    assert odd[0][0] == 3
+    assert fit(real + odd).kind(notice) == "error_page"
+    assert fit(real + [(0, passages(notice))] * 4).kind(notice) is None
+    assert fit(real + odd).kind(profile("aGx0 x9 qrst zzq\n\nK3x qqw v1 xk")) is None
