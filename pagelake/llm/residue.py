@@ -47,7 +47,8 @@ TRUST = 0.95  # prior of a trusted record's kind
 SURE = 5.0  # log-odds beyond which a passage counts no more
 ERROR_STATUS = 400
 ERROR_CHARS = 300  # main body of a trusted error page, at most
-SEED_WEIGHT = 3.0  # records that a seed phrase stands for
+SEED_WEIGHT = 3.0  # records that a seed phrase stands for (its words, not the prior)
+PRIOR = (90.0, 2.5, 2.5, 2.5, 2.5)  # pseudo-passages of each kind
 
 _NAMED = r"\s*=?\s*[A-Za-z_]"  # what a field begins with
 FIELD = re.compile(
@@ -130,7 +131,8 @@ def trusted_kind(p: Profile, status: int | None) -> int:
     flat = [t for ts in got for t in ts]
     if not flat:
         return 0
-    if sum(t == "§field" for t in flat) * 2 >= sum(t not in _LITTLE for t in flat):
+    fields = flat.count("§field")
+    if fields and fields * 2 >= sum(t not in _LITTLE for t in flat):
         return 1
     words = [t for t in flat if t[0] != "§"]
     if sum(bool(ts) and ts[0] == "§rep" for ts in got) * 2 > len(got) or words and sum(t in FILLER_WORDS for t in words) >= 0.8 * len(words):
@@ -217,6 +219,7 @@ def fit(labelled: list[tuple[int, list[str]]]) -> Residue:
     unknown = index[UNKNOWN]
     rows = [[index.get(t, unknown) for t in ts] for _, ts, _ in docs]
     given = np.array([k for k, _, _ in docs])
+    real = np.arange(len(docs)) < sum(bool(tokens(s)) for _, ps in labelled for s in ps)
     times = np.array([n for _, _, n in docs])
     flat = np.fromiter((i for r in rows for i in r), dtype=np.int64)
     lengths = np.array([len(r) for r in rows])
@@ -239,7 +242,7 @@ def fit(labelled: list[tuple[int, list[str]]]) -> Residue:
         prob = np.stack([np.bincount(flat, weights=wide[:, k], minlength=v) for k in range(c)], axis=1) + SMOOTH * v * background[:, None]
         log_w = np.log(prob / prob.sum(axis=0))
         log_w[unknown, 1:] = np.minimum(log_w[unknown, 1:], log_w[unknown, 0])  # an unknown word is no evidence of residue
-        share = (post * times[:, None]).sum(axis=0) + 1.0
+        share = post[real].sum(axis=0) + PRIOR
         log_prior = np.log(share / share.sum())
         score = np.add.reduceat(log_w[flat], starts, axis=0) + np.where(free[:, None], log_prior, log_held)
         score -= score.max(axis=1, keepdims=True)
