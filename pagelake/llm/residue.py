@@ -10,16 +10,18 @@ Method: a positive-unlabelled naive Bayes fitted by expectation-maximization.
   so that tiny tables have a model too.
 * Records of characters that form no words are reliable content; all others are
   unlabelled and start as content.
-* EM re-estimates words and priors.  The event model of fit and score is one:
-  the distinct tokens of a passage, every token outside the vocabulary counting
-  as the unknown token, whose share per kind is learned from rare words.
+* EM re-estimates words and priors, twice: a short unlabelled record that holds
+  a passage of clear residue after the first time is trusted in the second.  The
+  event model of fit and score is one: the distinct tokens of a passage, every
+  token outside the vocabulary counting as the unknown token, whose share per
+  kind is learned from rare words and never speaks for residue.
 * Every passage (a line of the main body) is scored; the log-odds of its
   passages against content, each bounded by ``SURE`` and weighted by length,
   decide the record, so that a notice beside real content reports none.
 
 The model is fitted on a bounded sample of records (``SAMPLE_RECORDS`` by hash of
-the id, at most ``SAMPLE_PASSAGES`` passages of each, evenly spaced); the decision
-covers every record and all of its passages.  Null, empty and blank texts are
+the id and as many of those with an error status, at most ``SAMPLE_PASSAGES``
+passages of each, evenly spaced); the decision covers every record and all of its passages.  Null, empty and blank texts are
 never reported; repeated rows get the same verdict.
 """
 
@@ -40,13 +42,16 @@ from .profile import Profile, profile, quality_kind
 
 KINDS = ("content", "placeholder", "filler", "error_page", "script_notice")
 SAMPLE_RECORDS = 6000
-SAMPLE_PASSAGES = 60  # of one record, in the fit only
-EM_ROUNDS = 6
+SAMPLE_PASSAGES = 20  # of one record, in the fit only
+EM_ROUNDS = 5
 SMOOTH = 0.01  # pseudo-counts of each kind for each word of the vocabulary, spread by the background
 TRUST = 0.95  # prior of a trusted record's kind
 SURE = 5.0  # log-odds beyond which a passage counts no more
 ERROR_STATUS = 400
-ERROR_CHARS = 300  # main body of a trusted error page, at most
+ERROR_CHARS = 200  # main body of a trusted error page, at most; a Japanese character counts as WIDE
+WIDE = 3
+SHORT = -2
+SURE_PASSAGE = 0.99  # posterior of a passage that makes a short unlabelled record trusted in the second fit
 SEED_WEIGHT = 3.0  # records that a seed phrase stands for (its words, not the prior)
 PRIOR = (90.0, 2.5, 2.5, 2.5, 2.5)  # pseudo-passages of each kind
 
@@ -87,7 +92,7 @@ SEEDS: dict[str, tuple[str, ...]] = {
     "script_notice": (
         "Please enable JavaScript to view this page", "You need to enable JavaScript to run this app", "JavaScript is disabled", "This site needs scripts in order to work", "Checking your browser", "Verify that you are human",
         "Cookies and scripts are required", "Loading, please wait", "Your browser is not supported", "noscript", "Bitte aktivieren Sie JavaScript", "Veuillez activer JavaScript dans votre navigateur",
-        "Debe activar JavaScript en su navegador", "Ative o JavaScript", "Attiva JavaScript per vedere questa pagina", "Schakel JavaScript in", "Aktivera JavaScript", "Włącz JavaScript", "Включите JavaScript", "JavaScriptを有効にしてください。",
+        "Debe activar JavaScript en su navegador", "Ative o JavaScript", "Attiva JavaScript per vedere questa pagina", "Schakel JavaScript in", "Aktivera JavaScript", "Włącz JavaScript", "Включите JavaScript", "スクリプトを有効にしてください。",
     ),
 }
 UNKNOWN = "§unk"
@@ -125,7 +130,8 @@ def passages(p: Profile) -> list[str]:
 
 
 def trusted_kind(p: Profile, status: int | None) -> int:
-    """Kind of a trusted record, 0 for an unlabelled one, -1 for reliable content."""
+    """Kind of a trusted record, 0 for an unlabelled one (SHORT if it is short
+    enough for an error page), -1 for reliable content."""
     parts = passages(p)
     got = [tokens(s) for s in parts]
     flat = [t for ts in got for t in ts]
@@ -139,9 +145,11 @@ def trusted_kind(p: Profile, status: int | None) -> int:
         return 2
     if quality_kind(p)[0] == "junk":
         return -1
-    if status is not None and status >= ERROR_STATUS and sum(map(len, parts)) <= ERROR_CHARS and not (p.items or p.cells or p.links):
-        return 4 if SCRIPT_CUE.search(" ".join(parts).lower()) else 3
-    return 0
+    if sum(len(s) + (WIDE - 1) * sum(map(len, _CJK.findall(s))) for s in parts) > ERROR_CHARS or p.items or p.cells or p.links:
+        return 0
+    if status is None or status < ERROR_STATUS:
+        return SHORT
+    return 4 if SCRIPT_CUE.search(" ".join(parts).lower()) else 3
 
 
 _LITTLE = ALL_STOP | {"§num", "written", "read", "tags", "only", "left", "dear", "ready", "welcome", "back"}
@@ -218,38 +226,47 @@ def fit(labelled: list[tuple[int, list[str]]]) -> Residue:
     index = {t: i for i, t in enumerate(vocab)}
     unknown = index[UNKNOWN]
     rows = [[index.get(t, unknown) for t in ts] for _, ts, _ in docs]
+    rec = np.array([r for r, (_, ps) in enumerate(records) for s in ps if tokens(s)])
     given = np.array([k for k, _, _ in docs])
-    real = np.arange(len(docs)) < sum(bool(tokens(s)) for _, ps in labelled for s in ps)
+    real = rec < len(labelled)
     times = np.array([n for _, _, n in docs])
     flat = np.fromiter((i for r in rows for i in r), dtype=np.int64)
     lengths = np.array([len(r) for r in rows])
     starts = np.cumsum(np.r_[0, lengths[:-1]])
     n, v, c = len(rows), len(vocab), len(KINDS)
-    known = np.where(given > 0, given, 0)
-    post = np.zeros((n, c))
-    post[np.arange(n), known] = 1.0
     background = np.bincount(flat, weights=np.repeat(times, lengths), minlength=v) + 1.0
     background /= background.sum()
-    # trusted and reliable records keep a prior of their own, the others share the learned one
-    held = np.full((n, c), (1 - TRUST) / (c - 1))
-    held[np.arange(n), known] = TRUST
-    held[given < 0] = 1e-300
-    held[given < 0, 0] = 1.0
-    log_held, free, sure = np.log(held), given == 0, given < 0
-    log_w = log_prior = np.zeros(0)
-    for _ in range(EM_ROUNDS):
-        wide = np.repeat(post * times[:, None], lengths, axis=0)
-        prob = np.stack([np.bincount(flat, weights=wide[:, k], minlength=v) for k in range(c)], axis=1) + SMOOTH * v * background[:, None]
-        log_w = np.log(prob / prob.sum(axis=0))
-        log_w[unknown, 1:] = np.minimum(log_w[unknown, 1:], log_w[unknown, 0])  # an unknown word is no evidence of residue
-        share = post[real].sum(axis=0) + PRIOR
-        log_prior = np.log(share / share.sum())
-        score = np.add.reduceat(log_w[flat], starts, axis=0) + np.where(free[:, None], log_prior, log_held)
-        score -= score.max(axis=1, keepdims=True)
-        e = np.exp(score)
-        e /= e.sum(axis=1, keepdims=True)
-        post = e
-        post[sure] = (1.0, *[0.0] * (c - 1))
+
+    def em(given: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known = np.where(given > 0, given, 0)
+        post = np.zeros((n, c))
+        post[np.arange(n), known] = 1.0
+        # trusted records keep a prior of their own, unlabelled ones share the learned one, reliable content stays
+        held = np.full((n, c), (1 - TRUST) / (c - 1))
+        held[np.arange(n), known] = TRUST
+        log_held, free, sure = np.log(held), (given == 0) | (given == SHORT), given == -1
+        log_w = log_prior = np.zeros(0)
+        for _ in range(EM_ROUNDS):
+            wide = np.repeat(post * times[:, None], lengths, axis=0)
+            prob = np.stack([np.bincount(flat, weights=wide[:, k], minlength=v) for k in range(c)], axis=1) + SMOOTH * v * background[:, None]
+            log_w = np.log(prob / prob.sum(axis=0))
+            log_w[unknown, 1:] = np.minimum(log_w[unknown, 1:], log_w[unknown, 0])  # an unknown word is no evidence of residue
+            share = post[real].sum(axis=0) + PRIOR
+            log_prior = np.log(share / share.sum())
+            score = np.add.reduceat(log_w[flat], starts, axis=0) + np.where(free[:, None], log_prior, log_held)
+            score -= score.max(axis=1, keepdims=True)
+            e = np.exp(score)
+            post = e / e.sum(axis=1, keepdims=True)
+            post[sure] = (1.0, *[0.0] * (c - 1))
+        return log_w, log_prior, post
+
+    post = em(given)[2]
+    # what stands beside a passage that is surely residue, in a record with room for little else, is residue too
+    clear = np.zeros((len(records), c))
+    np.maximum.at(clear, rec, post)
+    kind = clear[:, 1:].argmax(axis=1) + 1
+    more = (given == SHORT) & (clear[:, 1:].max(axis=1) >= SURE_PASSAGE)[rec]
+    log_w, log_prior, _ = em(np.where(more, kind[rec], given))
     return Residue({t: tuple(map(float, log_w[i])) for t, i in index.items()}, tuple(map(float, log_prior)))
 
 
@@ -257,6 +274,9 @@ def fit_residue(df: DataFrame, id_col: str, text_col: str, status_col: str | Non
     """Fits on at most about SAMPLE_RECORDS records (``engine.sample``)."""
     cols = {"i": id_col, "t": text_col} | ({"s": status_col} if status_col else {})
     few = sample(df, SAMPLE_RECORDS, id_col, **cols).where(F.length("t") > 0)
+    if status_col:  # records with an error status are rare: a sample of their own, the filter reaches the scan
+        errors = sample(df.where(F.col(status_col) >= ERROR_STATUS), SAMPLE_RECORDS, id_col, **cols).where(F.length("t") > 0)
+        few = few.where(f"s IS NULL OR s < {ERROR_STATUS}").unionAll(errors)
 
     def run(b: dict[str, list]) -> dict[str, list]:
         found = [profile(t) for t in b["t"]]

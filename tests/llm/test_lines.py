@@ -11,7 +11,7 @@ from pagelake.llm.language import blocks, label_of
 from pagelake.llm.lines import html_kinds, main_body, main_flags
 from pagelake.llm.markup import MARKDOWN, clean_markdown, html_findings, leftovers, structured, visible, without_code
 from pagelake.llm.profile import profile, quality_kind
-from pagelake.llm.residue import fit, passages, tokens, trusted_kind
+from pagelake.llm.residue import SHORT, fit, passages, tokens, trusted_kind
 from pagelake.llm.truncation import CLOSED, FORM, MARKED, OPEN, PLAIN, SURE, ending, lengths
 
 PROSE = "The team measured every part of the bridge by hand and then compared it with the plan. It was the first time that this was done."
@@ -128,7 +128,7 @@ def test_residue_model_from_seeds_alone():
     assert m.kind(profile(f"# What a 404 page should say\n\n{PROSE} {PROSE}\n\nPlease enable JavaScript to see the comments (3).")) is None
     assert m.kind(profile("")) is None
     assert trusted_kind(profile("# 403 Forbidden"), 403) == 3
-    assert trusted_kind(profile("# 403 Forbidden"), None) == 0
+    assert trusted_kind(profile("# 403 Forbidden"), None) == SHORT
     assert trusted_kind(profile("Scripts must be on"), 503) == 4
     assert tokens("Ray 0123456789abcdef") == ["ray", "§hex"]
 
