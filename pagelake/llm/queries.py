@@ -56,7 +56,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam_records(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "metadata.status_code")
+    return spam_records(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "metadata.status_code", "links")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

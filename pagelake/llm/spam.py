@@ -4,10 +4,12 @@ Method: mean pointwise mutual information of neighbouring words.  The words and
 pairs of the bodies that it has to decide are counted exactly over all records
 (64-bit keys, summed by partition before the shuffle and joined to the bodies),
 each record's own counts are taken out again, and the mean PMI of its pairs
-tells word salad; excessively repeated collocations tell stuffing.  Counts are
+tells word salad; excessively repeated collocations tell stuffing (in a list,
+repeated ones do, as its entries have no neighbours to speak of).  Counts are
 smoothed by fixed shares of the corpus, not by fixed counts, so a verdict does
 not depend on the size of the table.  Only bodies without sentences are flagged.
-Link lists are told by the share of lines that are no more than links.  Null,
+Link lists are told by the share of lines that are no more than links, with
+the record's own list of links to tell addresses that lack a scheme.  Null,
 empty and blank texts are never reported.
 """
 
@@ -16,7 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from hashlib import blake2b
 
 import numpy as np
@@ -32,9 +34,10 @@ FILTER_BITS = 22
 LOW_PMI = 4.0
 PAIR_SHARE = 1e-7  # share of the corpus added to the share of each pair
 WORD_SHARE = 5e-7  # and of each word
-REPEATED = 0.45
-MIN_WORDS = 12
-UNSURE = "unsure"  # neither repetition nor links decide: the mean PMI does
+REPEATED = 0.45  # share of a list's words in repeated collocations
+EXCESS = 0.8  # and of any body's, whatever its PMI
+MIN_WORDS = 12  # fewer have too few pairs for a mean
+UNSURE = "unsure"  # neither excessive repetition nor links decide: the mean PMI does
 
 _TOKEN = re.compile(r"[^\W\d_]+|\n")
 _TARGET = re.compile(r"\]\([^)\s]*\)|<?https?://\S+")
@@ -193,9 +196,9 @@ _BREAKS = frozenset("0123456789()")  # numbers and counts part the words on eith
 _WORDS = re.compile(r"#?[^\W\d_]{2,}|[\d()]+")
 
 
-def repetition(p: Profile) -> tuple[int, float, float]:
+def repetition(p: Profile) -> tuple[int, float]:
     """(words, share of words that stand in collocations found three times or
-    more, share of distinct words)."""
+    more)."""
     n, found, single, pairs = 0, [], Counter(), Counter()
     for line in p.text.split("\n"):
         ws = _WORDS.findall(line.lower())
@@ -206,17 +209,37 @@ def repetition(p: Profile) -> tuple[int, float, float]:
         pairs.update(prs)
         found.append(prs)
     if not n:
-        return 0, 0.0, 1.0
+        return 0, 0.0
     total = sum(map(len, found))
     often = sum(pairs[x] >= 3 for prs in found for x in prs)
     tags = sum(c for w, c in single.items() if w[0] == "#")
     if tags * 2 > n:  # a run of tags: the tags themselves repeat
-        return n, sum(c for w, c in single.items() if c >= 2) / n, len(single) / n
-    return n, often / total if total else 0.0, len(single) / n
+        return n, sum(c for w, c in single.items() if c >= 2) / n
+    return n, often / total if total else 0.0
+
+
+_SCHEME = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//", re.I)
+
+
+def _address(s: str) -> str:
+    """An address without scheme, ``www.`` and trailing slashes."""
+    return _SCHEME.sub("", s.strip("<>()[],;")).lower().removeprefix("www.").rstrip("/")
+
+
+def with_addresses(p: Profile, links: list[str | None] | None) -> Profile:
+    """The profile, lines that only spell out addresses of the record's links
+    (without a scheme, so that nothing marks them as such) counted as links."""
+    if not links or not p.other or not any("." in s for s in p.text.split("\n")):
+        return p
+    known = {_address(x) for x in links if x}
+    hits = [s for s in p.text.split("\n") if (ws := s.split()) and any("." in w and _address(w) in known for w in ws) and len(ws) <= 4]
+    size = sum(map(len, hits))
+    return replace(p, links=p.links + len(hits), n_links=p.n_links + len(hits), link_chars=p.link_chars + size, other=p.other - len(hits), other_chars=p.other_chars - size) if hits else p
 
 
 def spam_kind(p: Profile) -> str | None:
-    """keywords, links, None or UNSURE for a profile (residue is judged before)."""
+    """keywords, links, None or UNSURE for a profile (residue is judged before).
+    A case holds one sentence at most, so bodies of more are none."""
     rows = p.rows
     if not rows or p.prose > 1 or p.sentences > 2:
         return None
@@ -225,33 +248,33 @@ def spam_kind(p: Profile) -> str | None:
         return "links"
     if p.cells >= rows / 2 or p.links >= rows / 2:
         return None
-    if quality_kind(p)[0] in ("junk", "table"):
+    kind = quality_kind(p)[0]
+    if kind in ("junk", "table"):
         return None
-    n, often, distinct = repetition(p)
+    n, often = repetition(p)
     if n < MIN_WORDS:
         return None
-    if often >= REPEATED:
-        return "keywords"
-    if quality_kind(p)[0] == "list":
-        return None
-    if distinct < 0.12:
+    if kind == "list":  # a list of anything but the same collocations is a list
+        return "keywords" if often >= REPEATED else None
+    if often >= EXCESS:
         return "keywords"
-    if p.prose_chars > 0.3 * p.chars:
-        return None
-    return UNSURE
+    return None if p.prose_chars > 0.3 * p.chars and often < REPEATED else UNSURE
 
 
-def spam_records(df: DataFrame, id_col: str, text_col: str, status_col: str | None = None, model: Residue | None = None, pairs: Pairs | None = None) -> DataFrame:
+def spam_records(
+    df: DataFrame, id_col: str, text_col: str, status_col: str | None = None, links_col: str | None = None, model: Residue | None = None, pairs: Pairs | None = None
+) -> DataFrame:
     """(page_id, kind) of keyword and link pages; records that the residue
     model reports are left out."""
     held = df.sparkSession.sparkContext.broadcast(model or fit_residue(df, id_col, text_col, status_col))
+    cols = {"i": id_col, "t": text_col} | ({"l": links_col} if links_col else {})
 
     def run(b: dict[str, list]) -> dict[str, list]:
         residue = held.value
         rows = []
-        for i, t in zip(b["i"], b["t"], strict=True):
+        for i, t, links in zip(b["i"], b["t"], b.get("l") or [None] * len(b["i"]), strict=True):
             if t:
-                p = profile(t)
+                p = with_addresses(profile(t), links)
                 k = spam_kind(p)
                 terms = pmi_terms(p.text) if k == UNSURE else None
                 if k and (k != UNSURE or terms) and not residue.kind(p):
@@ -259,7 +282,7 @@ def spam_records(df: DataFrame, id_col: str, text_col: str, status_col: str | No
         names = ("page_id", "kind", "keys", "weights", "own", "words", "pairs")
         return dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in names}
 
-    found = map_rows(spread(pick(df, i=id_col, t=text_col)), run, f"page_id BIGINT, kind STRING, {TERMS}")
+    found = map_rows(spread(pick(df, **cols)), run, f"page_id BIGINT, kind STRING, {TERMS}")
     found = save_point(found.withColumn("row", F.monotonically_increasing_id()))
     low = found.where(F.col("kind") == UNSURE).join(low_pmi(found, df, text_col, pairs), "row", "left_semi")
     return found.where(F.col("kind") != UNSURE).select("page_id", "kind").unionAll(low.select("page_id", F.lit("keywords").alias("kind")))
