@@ -20,8 +20,8 @@ Method: a positive-unlabelled naive Bayes fitted by expectation-maximization.
   decide the record, so that a notice beside real content reports none.
 
 The model is fitted on a bounded sample of records (``SAMPLE_RECORDS`` by hash of
-the id and as many of those with an error status, at most ``SAMPLE_PASSAGES``
-passages of each, evenly spaced); the decision covers every record and all of its passages.  Null, empty and blank texts are
+the id and ``ERROR_RECORDS`` of those with an error status, at most
+``SAMPLE_PASSAGES`` passages of each, evenly spaced); the decision covers every record and all of its passages.  Null, empty and blank texts are
 never reported; repeated rows get the same verdict.
 """
 
@@ -42,6 +42,7 @@ from .profile import Profile, profile, quality_kind
 
 KINDS = ("content", "placeholder", "filler", "error_page", "script_notice")
 SAMPLE_RECORDS = 6000
+ERROR_RECORDS = 2000  # with an error status
 SAMPLE_PASSAGES = 20  # of one record, in the fit only
 EM_ROUNDS = 5
 SMOOTH = 0.01  # pseudo-counts of each kind for each word of the vocabulary, spread by the background
@@ -53,7 +54,7 @@ WIDE = 3
 SHORT = -2
 SURE_PASSAGE = 0.99  # posterior of a passage that makes a short unlabelled record trusted in the second fit
 SEED_WEIGHT = 3.0  # records that a seed phrase stands for (its words, not the prior)
-PRIOR = (90.0, 2.5, 2.5, 2.5, 2.5)  # pseudo-passages of each kind
+PRIOR = (16.0, 1.0, 1.0, 1.0, 1.0)  # pseudo-passages of each kind
 
 _NAMED = r"\s*=?\s*[A-Za-z_]"  # what a field begins with
 FIELD = re.compile(
@@ -241,6 +242,7 @@ def fit(labelled: list[tuple[int, list[str]]]) -> Residue:
         known = np.where(given > 0, given, 0)
         post = np.zeros((n, c))
         post[np.arange(n), known] = 1.0
+        post[given == SHORT] = 0.0  # undecided at first: they don't count
         # trusted records keep a prior of their own, unlabelled ones share the learned one, reliable content stays
         held = np.full((n, c), (1 - TRUST) / (c - 1))
         held[np.arange(n), known] = TRUST
@@ -275,7 +277,7 @@ def fit_residue(df: DataFrame, id_col: str, text_col: str, status_col: str | Non
     cols = {"i": id_col, "t": text_col} | ({"s": status_col} if status_col else {})
     few = sample(df, SAMPLE_RECORDS, id_col, **cols).where(F.length("t") > 0)
     if status_col:  # records with an error status are rare: a sample of their own, the filter reaches the scan
-        errors = sample(df.where(F.col(status_col) >= ERROR_STATUS), SAMPLE_RECORDS, id_col, **cols).where(F.length("t") > 0)
+        errors = sample(df.where(F.col(status_col) >= ERROR_STATUS), ERROR_RECORDS, id_col, **cols).where(F.length("t") > 0)
         few = few.where(f"s IS NULL OR s < {ERROR_STATUS}").unionAll(errors)
 
     def run(b: dict[str, list]) -> dict[str, list]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from pagelake.llm.boilerplate import boilerplate_lines, main_text
 from pagelake.llm.language import NAMES, detect_languages, fit_languages, label_of, language_found, read_languages, train, training_blocks
 from pagelake.llm.markup import clean_documents
-from pagelake.llm.quality import quality_found, quality_statistics, statistics
+from pagelake.llm.quality import quality_found, quality_statistics
 from pagelake.llm.residue import fit_residue, residue_records, without_residue
 from pagelake.llm.spam import pair_counts, spam_records
 from pagelake.llm.truncation import hidden_limits, text_endings, truncated, truncation_rates
@@ -68,13 +70,30 @@ def test_spam(docs):
 
 
 def test_quality(docs):
-    got = collect(quality_found(docs, "page_id", "markdown", "word_count"))
+    got = [(i, k) for i, k, _ in collect(quality_found(docs, "page_id", "markdown", "word_count"))]
     kinds = {i: k for i, k in got if k != "word_count"}
     wrong = {i for i, k in got if k == "word_count"}
     assert kinds[10] == "list" and 0 not in wrong and 1 in wrong and not {2, 3, 4, 11} & wrong
     stats = {r.row_id: r for r in quality_statistics(docs, "page_id", "markdown").collect()}
     assert stats[3].words is None and stats[4].words == 0 and "words<50" in stats[6].reasons
-    assert statistics("a b\n- c.")[0] == 4
+    assert {r for *_, r in collect(quality_found(docs, "page_id", "markdown", "word_count"))} <= {"stated!=counted", "bullet_line_share>=0.6", "cell_line_share>=0.6", "word_share<0.55"}
+
+
+def test_text_statistics_are_those_of_plain_python(spark):
+    texts = ["a b\n- c.", "", None, " \n\t", "The cat # sat… on\u00a0the\u3000mat!\r\n* one\n2) two:\n\n\"End.\"", "{x} <y> | zz"]
+    got = [r.asDict() for r in quality_statistics(spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING"), "i", "t").sort("row_id").collect()]
+    for t, r in zip(texts, got, strict=True):
+        if t is None:
+            assert all(r[k] is None for k in r if k != "row_id")
+            continue
+        words, lines = t.split(), [x for x in t.split("\n") if x.strip()]
+        n, rows = len(words), len(lines)
+        assert r["words"] == n
+        assert r["mean_word_length"] == round(sum(map(len, words)) / n if n else 0, 6)
+        assert r["symbol_ratio"] == round(len(re.findall(r"#|\.\.\.|…|[{}\\<>|~^]", t)) / n if n else 0, 6)
+        assert r["bullet_lines"] == round(sum(bool(re.match(r"\s*(?:[-*+•]|\d{1,3}[.)])\s", x)) for x in lines) / rows if rows else 0, 6)
+        assert r["punctuated_lines"] == round(sum(bool(re.search(r"[.!?…:;][\"')*_]*\s*$", x)) for x in lines) / rows if rows else 0, 6)
+    assert "common_words<0.05" in got[5]["reasons"] and "common_words<0.05" not in got[4]["reasons"]
 
 
 def test_language(docs):
