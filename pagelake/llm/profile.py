@@ -8,6 +8,7 @@ characters that form no words.  Pure Python, no Spark.
 from __future__ import annotations
 
 import re
+from collections import namedtuple
 from dataclasses import dataclass, field
 
 from .lexicon import ALL_STOP
@@ -152,21 +153,12 @@ def profile(markdown: str) -> Profile:
 _ENTRY = re.compile(r"^[^.!?。]{1,48}?(?: \(\d+\)| ?x ?\d+|, \d+ ?\w{1,3})+$")
 
 
-def quality_kind(p: Profile) -> tuple[str | None, str | None]:
-    """(kind, reason) for a body that isn't prose, by fixed thresholds.
-
-    junk: less than 55 % of the characters of its tokens belong to words (and
-    the rest isn't cells).  table: cells and numbers make up most of the lines
-    and sentences at most a quarter of the characters.  list: the same of
-    entries without sentences.  (Thresholds in the manner of the published
-    symbol, bullet and word rules for web text.)
-    """
-    rows = p.rows
-    if not rows:
-        return None, None
-    other = p.chars - p.prose_chars
-    if p.cells < rows / 2 and p.plain_words >= 4 and p.links < rows / 2 and p.wordlike < (0.55 if p.items < rows / 2 else 0.35):
-        return "junk", "word_share<0.55"
+MEASURES = ("rows", "prose", "sentences", "prose_chars", "entries", "items", "cells", "links", "chars", "words", "size", "word_share")
+
+
+def measures(p: Profile) -> tuple[float, ...]:
+    """What the quality rules read of a body, in the order of MEASURES: lines by
+    kind, characters, words, and the share of its characters in words."""
     entries = p.items
     if p.other >= 3:
         short = marked = width = 0
@@ -177,9 +169,31 @@ def quality_kind(p: Profile) -> tuple[str | None, str | None]:
                 marked += bool(_ENTRY.match(s))
         if marked >= 0.3 * short or short >= 8 and width <= 5 * short:  # entries without a bullet, told by their counts and measures
             entries += short
-    few = p.prose <= 1 and p.sentences <= 2 or p.prose_chars <= 0.25 * p.chars
-    if few and p.cells >= 3 and p.cells >= 0.6 * rows and p.prose_chars <= 0.45 * p.chars:
-        return "table", "cell_line_share>=0.6"
-    if few and entries >= 6 and entries >= 0.6 * rows and other > 0 and p.prose_chars <= 0.55 * p.chars:
-        return "list", "bullet_line_share>=0.6"
+    return (p.rows, p.prose, p.sentences, p.prose_chars, entries, p.items, p.cells, p.links, p.chars, p.plain_words, len(p.text), p.wordlike)
+
+
+def _few(m) -> bool:
+    return (m.prose <= 1) & (m.sentences <= 2) | (m.prose_chars <= 0.25 * m.chars)
+
+
+# Fixed thresholds in the manner of the published symbol, bullet and word rules
+# for web text: (kind, reason, fails).  ``m`` holds MEASURES, as numbers or arrays.
+QUALITY_RULES = (
+    (
+        "junk", "word_share<0.55",
+        lambda m: (m.rows > 0) & (m.cells < m.rows / 2) & ((m.words >= 4) | (m.size >= 60)) & (m.links < m.rows / 2) & (m.word_share < 0.55) & ((m.items < m.rows / 2) | (m.word_share < 0.35)),
+    ),
+    ("table", "cell_line_share>=0.6", lambda m: _few(m) & (m.cells >= 3) & (m.cells >= 0.6 * m.rows) & (m.prose_chars <= 0.45 * m.chars)),
+    ("list", "bullet_line_share>=0.6", lambda m: _few(m) & (m.entries >= 6) & (m.entries >= 0.6 * m.rows) & (m.chars > m.prose_chars) & (m.prose_chars <= 0.55 * m.chars)),
+)
+Measures = namedtuple("Measures", MEASURES)
+
+
+def quality_kind(p: Profile) -> tuple[str | None, str | None]:
+    """(kind, reason) of the first rule of QUALITY_RULES that a body fails."""
+    if p.rows:
+        m = Measures(*measures(p))
+        for kind, reason, fails in QUALITY_RULES:
+            if fails(m):
+                return kind, reason
     return None, None
