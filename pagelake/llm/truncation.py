@@ -5,13 +5,18 @@ Method: the length of every text is recomputed as a field might have held it
 \\r\\n line ends); grouped by source and measure, lengths that far more texts
 have than their neighbours are hidden storage limits.  Then the ending is
 inspected: closed (a complete sentence, entry, row, code block, address or
-closing mark), open (inside a word, sentence, code, row or link), marked (an
-ellipsis or "more" put where something is missing), plain (could be either, as
-a list entry) or form (an address, signature or code, which seldom ends a cut).
-Open texts are cut; plain ones are if they stand at a limit, if more bytes were
-declared than came, or if their last word is unknown to the corpus (counted
-exactly, against a bar that grows with the corpus); forms at a limit with such a word, or if bytes are missing; marked ones if the mark follows an unfinished phrase or stands at a
-limit of its source.
+closing mark), open (inside code, a row or link, or inside a sentence of a text
+that closes its sentences otherwise), marked (an ellipsis or "more" put where
+something is missing), plain (could be either: a list entry, a title, a line of
+a text that never closes one) or form (an address, signature or code, which
+seldom ends a cut).
+
+The verdict gives its reason.  ``limit``: the text stands at a limit of its
+source and isn't closed (a form only if its last word is unknown).  ``declared``:
+more bytes were declared than came, and it isn't closed.  ``ending``: neither,
+but it is open, marked after an unfinished phrase, or plain with a last word
+unknown to the corpus (counted exactly, against a bar that grows with the
+corpus).  ``marks``: marked where many marks of its source stand.
 
 Null, empty and blank texts are never reported.  A copy is judged like its
 original.  Counts cover all rows and are pre-aggregated by source, measure and
@@ -42,6 +47,8 @@ KNOWN_SHARE = 1e-6  # a word is known if this share of the texts has it, and one
 _FLUSH = 200_000
 
 _TERMINAL = ".!?。！？"
+_TERMINALS = tuple(_TERMINAL)
+_SENTENCE_END = re.compile(r"[.!?][\"'”’»)*_]*\s+\S|[。！？]\S")
 _CLOSERS = "\"'”’»)]}*_`>」』"
 _ABBREVIATION = re.compile(r"(?:^|[\s(\"“])(?:e\.g|i\.e|dr|mr|mrs|ms|st|prof|vs|cf|z\.b|d\.h|bzw|p\.ex|np|bijv|t\.ex|т\.е)\.$", re.I)
 _MARK = re.compile(r"(?:\s?(?:…|\.\.\.)|\s*\[(?:…|\.\.\.)\]|\s*\((?:more|continued|\.\.\.|…)\)|\s+(?:read more|continue reading)(?:…|\.\.\.)?)$", re.I)
@@ -118,8 +125,8 @@ def ending(text: str) -> int:
         return CLOSED
     if item:
         body = _ITEM.sub("", line)
-        if len(body.split()) > 5 or len(body) > 48:  # a sentence as an entry
-            return OPEN
+        if len(body.split()) > 5 or len(body) > 48:  # a sentence as an entry, if others end as such
+            return OPEN if closes_sentences(before, line, True) else PLAIN
         return PLAIN
     if _SIGN.match(line) or _CODE_LINE.match(line):
         return FORM
@@ -131,7 +138,24 @@ def ending(text: str) -> int:
         return FORM
     if alone and len(words) <= 6 and _KEY_VALUE.match(line):
         return FORM
-    return OPEN
+    return OPEN if line[-1] in ",;-–" or closes_sentences(before, line, False) else PLAIN
+
+
+def closes_sentences(before: str, line: str, item: bool) -> bool:
+    """Whether a text closes its sentences: one in its last line, or the greater
+    part of its other lines of several words (of its entries, for an entry)."""
+    if _SENTENCE_END.search(line):
+        return True
+    closed = loose = 0
+    for x in before.split("\n"):
+        x = x.strip()
+        if not x or x[0] in "#|" or x[:3] in ("```", "~~~") or bool(_ITEM.match(x)) != item or _LINK_END.search(x):
+            continue
+        if x.rstrip(_CLOSERS)[-1:] in _TERMINALS:
+            closed += 1
+        elif len(x.split()) > 5 and x[0] not in " \t":
+            loose += 1
+    return closed > loose or not item and closed > 0 and closed == loose
 
 
 def last_word(text: str) -> str:
@@ -229,7 +253,7 @@ def text_endings(df: DataFrame, id_col: str, text_col: str, source_col: str, dec
 
 
 def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str, declared_col: str | None = None) -> DataFrame:
-    """(doc_id, source, ending, at_limit, cut) of every text that isn't blank."""
+    """(doc_id, source, ending, at_limit, reason, cut) of every text that isn't blank."""
     ends = save_point(text_endings(df, id_col, text_col, source_col, declared_col))
     limits = hidden_limits(ends)
     bar = max(1, math.ceil(KNOWN_SHARE * ends.count()))
@@ -250,15 +274,16 @@ def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str, declar
     b = (F.element_at("m", 1) / F.lit(MARK_WINDOW)).cast("int")
     in_bins = F.coalesce(F.array_contains("bins", b), F.lit(False))
     short = F.coalesce(F.col("declared") > F.col("bytes") * 1.02 + 8, F.lit(False))
-    cut = (
-        F.when(F.col("e").isin(OPEN, SURE), True)
-        .when(F.col("e") == MARKED, in_bins | at_limit)
-        .when(F.col("e") == PLAIN, at_limit | short | ~F.col("known"))
-        .when(F.col("e") == FORM, (at_limit & ~F.col("known")) | short)
-        .otherwise(False)
+    e, known = F.col("e"), F.col("known")
+    unfinished = e.isin(OPEN, SURE, PLAIN, MARKED)
+    reason = (
+        F.when(at_limit & (unfinished | (e == FORM) & ~known), "limit")
+        .when(short & e.isin(OPEN, SURE, PLAIN, FORM), "declared")
+        .when(e.isin(OPEN, SURE) | (e == PLAIN) & ~known, "ending")
+        .when((e == MARKED) & in_bins, "marks")
     )
     name = F.element_at(F.array(*[F.lit(x) for x in ("closed", "open", "marked", "cut mark", "plain", "form")]), F.col("e") + 1)
-    return out.select("doc_id", "source", name.alias("ending"), at_limit.alias("at_limit"), cut.alias("cut"))
+    return out.select("doc_id", "source", name.alias("ending"), at_limit.alias("at_limit"), reason.alias("reason"), reason.isNotNull().alias("cut"))
 
 
 def truncation_rates(verdicts: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def test_residue_model_from_seeds_alone():
         ("First one. The next is the…", SURE), ("First. And then (more)", SURE), ("Text.\n\nNobody ever found out what happened next…", MARKED), ("- stone bridge", PLAIN),
         ("| a | b |\n| 1 | 2 |", CLOSED), ("| a | b |\n| 1 |", OPEN), ("| a | b |\n| 1", OPEN), ("```\ncode\n```", CLOSED), ("```\ncode", OPEN), ("[a b](https://x.example/y).", CLOSED),
         ("see [a b](https://x.exa", OPEN), ("Text.\n\nhttps://a.example/x", FORM), ("Text.\n\n— Ada Stone", FORM), ("Text.\n\nTHE END", CLOSED), ("Text.\n\n* * *", CLOSED),
-        ("Text.\n\n(to be continued)", CLOSED), ("Text.\n\n## A heading", OPEN), ("終わりました。", CLOSED), ("これは途中", OPEN), ("", CLOSED), ("   ", CLOSED), ("Text.\n\nThanks,\nAda", FORM), ("Text.\n\nv6.23", FORM), ("broken �", OPEN),
+        ("Text.\n\n(to be continued)", CLOSED), ("Text.\n\n## A heading", OPEN), ("終わりました。", CLOSED), ("これは途中", PLAIN), ("終わりました。これは途中", OPEN), ("lol that was so good", PLAIN), ("We bake.\n\n- Fresh bread from the corner bakery", PLAIN), ("- One ends as it should here.\n- The other one ends without any", OPEN), ("It rains. The others went", OPEN), ("", CLOSED), ("   ", CLOSED), ("Text.\n\nThanks,\nAda", FORM), ("Text.\n\nv6.23", FORM), ("broken �", OPEN),
     ],
 )
 def test_endings(text, kind):

@@ -141,6 +141,11 @@ def test_truncation(spark):
     assert sum(got[k].cut for k in range(1, 60, 2)) >= 20
     limits = {(r.source, r.len) for r in hidden_limits(text_endings(df, "doc_id", "text", "source", "content_length")).where("measure = 0").collect()}
     assert ("a", 200) in limits
+    assert all(got[k].reason == "limit" for k in range(1, 60, 2) if got[k].cut) and got[904].reason == "declared" and got[905].reason is None
+    # a plain ending is cut at a limit of its source only
+    titles = [(k, ("Title " + "abcdefghij"[k % 10] + " of things and more things " * 4)[:80].rstrip() if k < 40 else "Title " + "of things " * (k % 9 + 2), "t" if k < 40 else "u", None, None) for k in range(80)]
+    names = {r.doc_id: r for r in truncated(spark.createDataFrame(titles, df.schema), "doc_id", "text", "source").collect()}
+    assert not any(names[k].cut for k in range(40, 80))
     rates = {r.source: r.rate for r in truncation_rates(truncated(df, "doc_id", "text", "source")).collect()}
     assert rates["a"] > 0.3 and rates["b"] < 0.1
     assert truncated(df.limit(0), "doc_id", "text", "source").count() == 0
