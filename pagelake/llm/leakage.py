@@ -7,15 +7,22 @@ the pattern's last block names the patterns that may end there, and direct
 comparison confirms the occurrence.  A text whose words are foreign to the test
 items is read at one look every twelve words.
 
-The test items are a stated query set: they are searched in blocks of
-``ITEMS_A_PASS`` items, each block's tables being broadcast (a bounded size).
-Null and empty texts, and items shorter than the window, give no row; an item
-found several times in a text gives one row.
+The test items are a stated query set: their words are held once, with a
+position for every window, and broadcast; a scan takes items of up to
+``WORDS_A_PASS`` words in all (about 150 MB of tables, however long each item
+is), further ones a scan of their own.
+
+Null and empty texts give no row; an item found several times in a text gives
+one row.  Items of fewer words than the window give none, as the case is defined
+by that many words; a text without spaces is one word, so that a Japanese item
+has few words and is found only by whole runs.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterable
 from functools import reduce
 
@@ -25,7 +32,7 @@ from pyspark.sql import functions as F
 from .engine import map_rows, pick, spread
 
 WORDS = 13
-ITEMS_A_PASS = 5000
+WORDS_A_PASS = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -41,25 +48,28 @@ class Patterns:
         self.size = size
         self.ids: dict[str, int] = {}
         self.shift: dict[int, int] = {}
-        self.bucket: dict[int, dict[tuple[int, ...], set[int]]] = {}
+        self.bucket: dict[int, list[int]] = {}  # block -> where its patterns end in ``text``
+        self.text = array("I")
+        self.item: list[int] = []  # by order of the items
+        self.start: list[int] = []
         for item, text in items:
             ws = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text or "")]
-            for i in range(len(ws) - size + 1):
-                self._add(item, tuple(ws[i : i + size]))
-
-    def _add(self, item: int, p: tuple[int, ...]) -> None:
-        last = self.size - 1
-        for j in range(1, self.size):
-            b = p[j - 1] << 32 | p[j]
-            s = last - j
-            if s < self.shift.get(b, last):
-                self.shift[b] = s
-        self.bucket.setdefault(p[last - 1] << 32 | p[last], {}).setdefault(p, set()).add(item)
+            at = len(self.text)
+            self.item.append(item)
+            self.start.append(at)
+            self.text.extend(ws)
+            last = size - 1
+            for end in range(at + last, at + len(ws)):
+                for j in range(1, size):
+                    b = self.text[end - last + j - 1] << 32 | self.text[end - last + j]
+                    if last - j < self.shift.get(b, last):
+                        self.shift[b] = last - j
+                self.bucket.setdefault(self.text[end - 1] << 32 | self.text[end], []).append(end)
 
     def search(self, text: str) -> set[int]:
         """Items of which a pattern stands in the text."""
         get = self.ids.get
-        ws = [get(w, 0) for w in words_of(text)]
+        ws = array("I", [get(w, 0) for w in words_of(text)])
         found: set[int] = set()
         n, size, shift, far = len(ws), self.size, self.shift, self.size - 1
         i = size - 1
@@ -69,9 +79,10 @@ class Patterns:
             if s:
                 i += s
                 continue
-            hit = self.bucket[b].get(tuple(ws[i - size + 1 : i + 1]))
-            if hit:
-                found |= hit
+            window = ws[i - far : i + 1]
+            for end in self.bucket[b]:
+                if self.text[end - far : end + 1] == window:
+                    found.add(self.item[bisect_right(self.start, end) - 1])
             i += 1
         return found
 
@@ -98,11 +109,14 @@ def leaked_items(df: DataFrame, id_col: str, text_col: str, items: DataFrame, it
 
         passes.append(map_rows(source, run, "doc_id BIGINT, item_id BIGINT"))
 
+    size = 0
     for r in few.toLocalIterator():
-        block.append((r.i, r.t))
-        if len(block) == ITEMS_A_PASS:
+        n = len(words_of(r.t))
+        if block and size + n > WORDS_A_PASS:
             add()
-            block = []
+            block, size = [], 0
+        block.append((r.i, r.t))
+        size += n
     if block or not passes:
         add()
     return reduce(DataFrame.unionAll, passes).distinct() if len(passes) > 1 else passes[0]
