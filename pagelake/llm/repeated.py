@@ -1,13 +1,17 @@
 """Problem 6: lines repeated across one site's documents.
 
 Method: the line identifiers of a source's documents are concatenated and their
-suffix array is built by prefix doubling; intervals of suffixes with a common
-prefix are repeated blocks of 1, 2, 4 and 8 lines, and blocks that span enough
-documents are found.  A source of more than ``SHARD_DOCS`` documents is dealt
-out over shards by hash of the document: every shard builds its own array and
-sends its intervals of one line with their document counts, which are summed
+suffix array is built by prefix doubling, with the longest common prefixes of
+neighbouring suffixes read from the doubling ranks.  An interval of suffixes
+with a common prefix is a repeated block of that many lines; blocks of any length
+that span enough documents are found (``repeated_blocks`` lists them with their
+full length), and every line inside one is a repeated line.  A source of more
+than ``SHARD_DOCS`` documents is dealt out over shards by hash of the document:
+every shard builds its own suffix array and sends the intervals of each length
+asked for, by hash of the block, with their document counts, which are summed
 over the shards (exactly: all intervals are sent), so no task ever holds a whole
-large source.
+large source.  As a line of a repeated block is a repeated line itself, the lines
+of a large source need its intervals of one line only.
 
 Lines are the same if they differ only in case, white space, digits or edge
 characters.  Documents without a source, and null or empty texts, have no lines
@@ -31,7 +35,6 @@ SHARD_DOCS = 4000
 MIN_DOCS = 4
 MIN_SHARE = 0.1
 HOT_SOURCES = 20_000  # sources with shards that fit into a closure; beyond, they are joined
-LEVELS = (8, 4, 2, 1)
 SMALL_SETS = 4_000_000  # identifiers (8 bytes each) that may be broadcast
 
 _DIGITS = re.compile(r"\d+")
@@ -84,27 +87,40 @@ def line_ids(text: str) -> list[int]:
     return out
 
 
-def suffix_ranks(ids: np.ndarray) -> dict[int, np.ndarray]:
-    """Ranks of the suffixes by their first 1, 2, 4 and 8 identifiers (prefix
-    doubling): suffixes of equal rank at length L are one interval of the
-    suffix array whose common prefix is at least L."""
-    n = len(ids)
-    rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
-    out = {1: rank}
-    size = 1
-    while size < LEVELS[0]:
-        nxt = np.full(n, -1, dtype=np.int64)
-        nxt[: n - size] = rank[size:] if n > size else []
-        rank = np.unique(rank * (n + 1) + nxt + 1, return_inverse=True)[1].astype(np.int64)
-        size *= 2
-        out[size] = rank
-    return out
-
-
-def _distinct_docs(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Number of distinct documents of each rank."""
-    pairs = np.unique(rank * (int(doc.max()) + 1) + doc)
-    return np.bincount(pairs // (int(doc.max()) + 1), minlength=int(rank.max()) + 1)
+class SuffixArray:
+    """Suffixes of a sequence in order, and the common prefixes of neighbours."""
+
+    def __init__(self, ids: np.ndarray):
+        n = len(ids)
+        keys, rank = np.unique(ids, return_inverse=True)
+        rank = rank.astype(np.int64)
+        ranks, size = [rank], 1  # ranks by the first 1, 2, 4, ... identifiers
+        groups = len(keys)
+        while groups < n and size < n:
+            nxt = np.full(n, -1, dtype=np.int64)
+            nxt[: n - size] = rank[size:]
+            keys, rank = np.unique(rank * (n + 1) + nxt + 1, return_inverse=True)
+            rank = rank.astype(np.int64)
+            ranks.append(rank)
+            groups, size = len(keys), size * 2
+        self.order = np.argsort(rank, kind="stable")
+        # common prefix of each suffix with the one before it: from the widest rank that agrees down
+        a, b = self.order[:-1].copy(), self.order[1:].copy()
+        lcp = np.zeros(max(0, n - 1), dtype=np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            live = (a < n) & (b < n)
+            same = np.zeros(len(lcp), dtype=bool)
+            same[live] = ranks[k][a[live]] == ranks[k][b[live]]
+            step = np.where(same, 1 << k, 0)
+            lcp += step
+            a += step
+            b += step
+        self.lcp = np.concatenate([[0], lcp])
+
+    def intervals(self, length: int) -> np.ndarray:
+        """Number of the interval, of a common prefix of ``length`` at least, of
+        each suffix in order."""
+        return np.cumsum(self.lcp < length) - 1
 
 
 class Shard:
@@ -131,63 +147,109 @@ class Shard:
             at.append(-1)
         self.ids, self.doc, self.at = np.array(ids, dtype=np.int64), np.array(doc, dtype=np.int64), np.array(at, dtype=np.int64)
 
+        self.suffixes = SuffixArray(self.ids)
+
+    def _spans(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Interval of each suffix in order, documents of each interval."""
+        run = self.suffixes.intervals(length)
+        doc = self.doc[self.suffixes.order]
+        pairs = np.unique(run * (int(doc.max()) + 1) + doc)
+        return run, np.bincount(pairs // (int(doc.max()) + 1), minlength=int(run[-1]) + 1)
+
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """(identifier, documents) of the intervals of one line."""
-        ok = self.at >= 0
-        if not ok.any():
+        if not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, rank = np.unique(self.ids[ok], return_inverse=True)
-        return keys, _distinct_docs(rank, self.doc[ok])
+        run, docs = self._spans(1)
+        first = self.suffixes.order[np.flatnonzero(np.r_[True, run[1:] != run[:-1]])]
+        ok = self.at[first] >= 0
+        return self.ids[first[ok]], docs[ok]
+
+    def blocks(self, least: float) -> list[tuple[int, int, int]]:
+        """(first position, lines, documents) of the repeated blocks: for 1, 2, 4,
+        ... lines the intervals that span enough documents, in the full length of
+        their common prefix."""
+        got: dict[tuple[int, int], tuple[int, int, int]] = {}
+        if not len(self.ids):
+            return []
+        order, lcp = self.suffixes.order, self.suffixes.lcp
+        length = 1
+        while True:
+            run, docs = self._spans(length)
+            starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+            ends = np.r_[starts[1:], len(run)]
+            hits = np.flatnonzero((docs >= least) & (self.at[order[starts]] >= 0))
+            if not len(hits):
+                return list(got.values())
+            for k in hits.tolist():
+                i, j = int(starts[k]), int(ends[k])
+                full = int(lcp[i + 1 : j].min()) if j - i > 1 else length
+                got[i, j] = (int(order[i]), full, int(docs[k]))
+            length *= 2
 
     def found(self, least: float) -> tuple[list[int], list[int]]:
         """(page, line number) of every line inside a block of at least
         ``least`` documents."""
         if not len(self.ids):
             return [], []
-        covered = np.zeros(len(self.ids), dtype=bool)
-        ranks = suffix_ranks(self.ids)
-        for size in LEVELS:
-            rank = ranks[size]
-            starts = np.flatnonzero(_distinct_docs(rank, self.doc)[rank] >= least)
-            for k in range(size):
-                i = starts + k
-                covered[i[i < len(covered)]] = True
-        hit = np.flatnonzero(covered & (self.at >= 0))
+        covered = np.zeros(len(self.ids) + 1, dtype=np.int64)  # +1 where a block begins, -1 behind its end
+        order, lcp = self.suffixes.order, self.suffixes.lcp
+        length = 1
+        while True:
+            run, docs = self._spans(length)
+            wide = docs[run] >= least
+            if not wide.any():
+                break
+            begin = order[wide]
+            np.add.at(covered, begin, 1)
+            np.add.at(covered, np.minimum(begin + length, len(self.ids)), -1)
+            length *= 2
+        hit = np.flatnonzero((np.cumsum(covered[:-1]) > 0) & (self.at >= 0))
         return [self.pages[d] for d in self.doc[hit]], self.at[hit].tolist()
 
+    def found_ids(self, least: float) -> np.ndarray:
+        """Identifiers of the lines inside such blocks."""
+        page, line = self.found(least)
+        where = {(self.pages[d], n): i for d, n, i in zip(self.doc.tolist(), self.at.tolist(), self.ids.tolist(), strict=True)}
+        return np.unique(np.array([where[x] for x in zip(page, line, strict=True)], dtype=np.int64))
+
 
-STAGE = "kind INT, source STRING, key BIGINT, n BIGINT"  # kind 0: (page, line) found; 1: (line id, documents) of a shard
+STAGE = "kind INT, source STRING, key BIGINT, n BIGINT"  # kind 0: (page, line) found; 1: (line id, documents) of a shard; 2: line id found
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch], only_counts: bool = False) -> Iterator[pa.RecordBatch]:
+def _by_shard(batches: Iterator[pa.RecordBatch], only_ids: bool = False) -> Iterator[pa.RecordBatch]:
     """Groups of a partition sorted by source and shard, one after the other."""
     target = pa.schema([("kind", pa.int32()), ("source", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
-    key: tuple | None = None
-    pages: list[int] = []
-    lines: list[list[int]] = []
-
-    def close() -> pa.RecordBatch | None:
-        if key is None or not pages:
-            return None
+    for key, pages, lines in _groups(batches):
         s = Shard(pages, lines)
-        if key[2] == 1 and not only_counts:
-            page, line = s.found(max(MIN_DOCS, MIN_SHARE * len(pages)))
+        least = max(MIN_DOCS, MIN_SHARE * len(pages))
+        if key[2] == 1 and only_ids:
+            ids = s.found_ids(least)
+            cols = [[2] * len(ids), [key[0]] * len(ids), ids, [0] * len(ids)]
+        elif key[2] == 1:
+            page, line = s.found(least)
             cols = [[0] * len(page), [None] * len(page), page, line]
         else:
             ids, docs = s.counts()
             cols = [[1] * len(ids), [key[0]] * len(ids), ids, docs]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, target, strict=True)], schema=target)
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, target, strict=True)], schema=target)
+
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[int], list[list[int]]]]:
+    """((source, shard, shards), pages, lines) of a sorted partition, one after the other."""
+    key: tuple | None = None
+    pages: list[int] = []
+    lines: list[list[int]] = []
     for b in batches:
         for source, shard, shards, page, ids in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
             if key != (source, shard, shards):
-                if (got := close()) is not None:
-                    yield got
+                if pages:
+                    yield key, pages, lines
                 key, pages, lines = (source, shard, shards), [], []
             pages.append(page)
             lines.append(ids)
-    if (got := close()) is not None:
-        yield got
+    if pages:
+        yield key, pages, lines
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str, url_col: str, shard_docs: int) -> tuple[DataFrame, DataFrame, bool]:
@@ -245,10 +307,10 @@ def repeated_lines(df: DataFrame, id_col: str, text_col: str, url_col: str, shar
     found = stage.where("kind = 0").select(F.col("key").alias("page_id"), F.col("n").cast("int").alias("line_no"))
     if not any_hot:
         return found
-    often = _often(stage.where("kind = 1"), sizes)
+    often = save_point(_often(stage.where("kind = 1"), sizes))
+    few = (often.agg(F.sum(F.size("often")).alias("n")).collect()[0].n or 0) <= SMALL_SETS
     sharded = docs.where("shards > 1")
-    places = sharded.select("source", "shard").distinct().join(often, "source")
-    rest = sharded.join(places, ["source", "shard"]).select("page", "ids", "often")
+    rest = sharded.join(F.broadcast(often) if few else often.hint("merge"), "source").select("page", "ids", "often")
 
     def mark(b: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"page_id": [], "line_no": []}
@@ -264,16 +326,37 @@ def repeated_lines(df: DataFrame, id_col: str, text_col: str, url_col: str, shar
     return found.unionAll(map_rows(rest, mark, "page_id BIGINT, line_no INT"))
 
 
+BLOCKS = "source STRING, first_page BIGINT, first_line INT, lines INT, docs INT"
+
+
+def repeated_blocks(df: DataFrame, id_col: str, text_col: str, url_col: str, least_lines: int = 2, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """(source, first_page, first_line, lines, docs) of the blocks of ``least_lines``
+    or more lines that span enough documents of a source, each in the full length
+    of its common prefix and where it is found first.  A source of more than
+    ``shard_docs`` documents is read by shards, each with its own counts."""
+    docs, _, _ = _documents(df, id_col, text_col, url_col, shard_docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, pages, lines in _groups(batches):
+            s = Shard(pages, lines)
+            got = [x for x in s.blocks(max(MIN_DOCS, MIN_SHARE * len(pages))) if x[1] >= least_lines]
+            cols = [[key[0]] * len(got), [pages[s.doc[i]] for i, _, _ in got], [int(s.at[i]) for i, _, _ in got], [n for _, n, _ in got], [d for _, _, d in got]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["source", "first_page", "first_line", "lines", "docs"])
+
+    return _sorted(docs).mapInArrow(run, BLOCKS)
+
+
 def without_repeated_lines(df: DataFrame, id_col: str, text_col: str, url_col: str, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """(page_id, text): every text without its source's repeated lines.  The
     sources' lists are broadcast if they are small (``SMALL_SETS`` identifiers in
     all), so that no text is shuffled; larger ones are joined."""
     docs, sizes, _ = _documents(df, id_col, text_col, url_col, shard_docs)
-    counts = _sorted(docs).mapInArrow(lambda batches: _by_shard(batches, True), STAGE)
-    often = save_point(_often(counts, sizes))
+    stage = save_point(_sorted(docs).mapInArrow(lambda batches: _by_shard(batches, True), STAGE))
+    small = stage.where("kind = 2").groupBy("source").agg(F.collect_list("key").alias("often"))
+    often = save_point(small.unionByName(_often(stage.where("kind = 1"), sizes)))
     total = often.agg(F.sum(F.size("often")).alias("n")).collect()[0].n or 0
     few = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), host_column(url_col).alias("source"))
-    few = few.join(F.broadcast(often) if total <= SMALL_SETS else often, "source", "left")
+    few = few.join(F.broadcast(often) if total <= SMALL_SETS else often.hint("merge"), "source", "left")
 
     def clean(b: dict[str, list]) -> dict[str, list]:
         out: list[str | None] = []
