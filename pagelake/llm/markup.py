@@ -4,9 +4,9 @@
 headings, lists, code blocks, tables and formulas, and names the foreign markup
 each field still shows.  HTML goes through a small DOM: for every node the
 characters per tag are computed with link text taken off, the densities of the
-children are summed, and the subtree with the largest sum above the threshold
-of the path to the body is taken as the content.  The same walk yields the
-visible text outside code, in which leftover markup is looked for.
+children are summed, and in every subtree above the threshold of the path from
+the largest sum to the body the node with the largest sum is content.  Leftover
+markup is looked for in the visible text of these subtrees, outside code.
 
 Null and empty fields give no finding and a null text.  No shuffle.
 """
@@ -100,6 +100,7 @@ MAX_DEPTH = 200  # deeper elements become siblings
 class Node:
     tag: str
     parent: Node | None
+    attributes: str = ""
     depth: int = 0
     kids: list = field(default_factory=list)  # Node or str
     chars: int = 0
@@ -132,7 +133,7 @@ def parse(source: str) -> Node:
         else:
             if name in ("p", "li", "tr", "td", "th") and at.tag == name:
                 at = at.parent
-            node = Node(name, at, at.depth + 1)
+            node = Node(name, at, m.group(3), at.depth + 1)
             at.kids.append(node)
             if name not in VOID and not m.group(3).endswith("/") and node.depth < MAX_DEPTH:
                 at = node
@@ -175,61 +176,124 @@ def measure(body: Node) -> None:
         n.total = sum(k.density for k in n.kids if isinstance(k, Node))
 
 
-def content_node(body: Node) -> Node:
-    """The subtree with the largest density sum among the nodes at or above the
-    threshold: the least density on the path from the densest sum to the body."""
+def content_nodes(body: Node) -> list[Node]:
+    """The content subtrees, in order.  The threshold is the least density on the
+    path from the densest sum to the body; in every subtree that reaches it on
+    its own (its parent doesn't) the node with the largest sum is content."""
     nodes = list(_walk(body))
     best = max(nodes, key=lambda n: n.total)
     threshold, n = best.density, best
     while n is not body and n.parent is not None:
         n = n.parent
         threshold = min(threshold, n.density)
-    inside = [n for n in nodes if n.density >= threshold]
-    return max(inside, key=lambda n: n.total) if inside else body
+    if best.total <= 0:
+        return [body]
+    out: list[Node] = []
+    stack = [body]
+    while stack:
+        n = stack.pop()
+        if n.density >= threshold and n is not body:
+            top = max(_walk(n), key=lambda k: k.total)
+            out.append(top if top.total > 0 else n)
+        else:
+            stack += [k for k in reversed(n.kids) if isinstance(k, Node)]
+    return out or [best]
 
 
-def visible(node: Node) -> str:
-    """Text outside code; blocks on lines of their own, entities decoded once."""
+def text_of(n: Node, code: bool = False) -> str:
+    """All text below a node, entities decoded; spaces kept in code only."""
     out: list[str] = []
-
-    def go(n: Node) -> None:
-        if n.tag in ("pre", "code"):
-            return
-        block = n.tag in _BLOCK
-        if block:
-            out.append("\n")
-        for k in n.kids:
-            if isinstance(k, str):
-                out.append(k)
-            else:
-                go(k)
-        if block:
+    stack: list = [n]
+    while stack:
+        k = stack.pop()
+        if isinstance(k, str):
+            out.append(k)
+        elif k.tag == "br":
             out.append("\n")
+        elif not code and k is not n and k.tag in _INLINE_FORMS:
+            out.append(_inline(k))
+        else:
+            stack += reversed(k.kids)
+    text = _html.unescape("".join(out))
+    return text if code else re.sub(r"\s+", " ", text)
+
+
+_INLINE_FORMS = frozenset(("code", "sub", "sup", "math"))
 
-    go(node)
+
+def _inline(n: Node) -> str:
+    """Inline code, indices and formulas as text that keeps what they say."""
+    t = text_of(n, n.tag == "code") if n.tag == "code" else text_of(Node("", None, kids=n.kids))
+    if n.tag == "code":
+        return f"`{t}`" if "`" not in t else f"`` {t} ``"
+    if n.tag == "math":
+        tex = next((k for k in _walk(n) if k.tag == "annotation" and "tex" in k.attributes.lower()), None)
+        t = (text_of(tex) if tex else t).strip()
+        return f"${t}$" if t else ""
+    t = t.strip()
+    return ("_" if n.tag == "sub" else "^") + (t if len(t) == 1 else "{" + t + "}") if t else ""
+
+
+def visible(node: Node) -> str:
+    """Text outside code; blocks on lines of their own, entities decoded once."""
+    out: list[str] = []
+    stack: list = [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.tag not in ("pre", "code"):
+            if n.tag in _BLOCK:
+                out.append("\n")
+                stack.append("\n")
+            stack += reversed(n.kids)
     text = _html.unescape("".join(out))
     return re.sub(r"\n[ \t]+", "\n", text)
 
 
-def structured(node: Node) -> str:
-    """Clean text of a subtree: headings as ``#`` lines, list entries as ``-``
-    lines, table rows with `` | ``, code fenced, everything else plain."""
+def structured(nodes: list[Node]) -> str:
+    """Clean text of subtrees: headings as ``#`` lines, list entries as ``-`` or
+    numbered lines, indented by level, table rows with `` | ``, code fenced or in
+    backticks, formulas in dollars, everything else plain."""
     out: list[str] = []
 
-    def text_of(n: Node) -> str:
-        return re.sub(r"\s+", " ", _html.unescape("".join(k if isinstance(k, str) else text_of(k) for k in n.kids)))
+    def entries(n: Node, level: int) -> None:
+        number = 0
+        for k in n.kids:
+            if not isinstance(k, Node):
+                continue
+            if k.tag in ("ul", "ol"):
+                entries(k, level + 1)
+            elif k.tag == "li":
+                number += 1
+                own = Node("li", None, kids=[x for x in k.kids if isinstance(x, str) or x.tag not in ("ul", "ol", "pre", "table")])
+                mark = f"{number}." if n.tag == "ol" else "-"
+                out.append(f"\n{_INDENT * level}{mark} {clean_markdown(text_of(own).strip())}")
+                for x in k.kids:
+                    if isinstance(x, Node) and x.tag in ("ul", "ol"):
+                        entries(x, level + 1)
+                    elif isinstance(x, Node) and x.tag in ("pre", "table"):
+                        go(x)
+            else:
+                go(k)
 
     def go(n: Node) -> None:
         t = n.tag
         if t == "pre":
-            code = _html.unescape("".join(k if isinstance(k, str) else "".join(x for x in k.kids if isinstance(x, str)) for k in n.kids)).strip("\n")
-            out.append(f"\n\n```\n{code}\n```\n\n")
+            code = text_of(n, True).strip("\n")
+            mark = "```" if "```" not in code else "~~~~"
+            out.append(f"\n\n{mark}\n{code.replace(chr(10), _CODE_END)}\n{mark}\n\n")
         elif len(t) == 2 and t[0] == "h" and t[1].isdigit():
             out.append(f"\n\n{'#' * int(t[1])} {text_of(n).strip()}\n\n")
+        elif t in ("ul", "ol"):
+            entries(n, 0)
+            out.append("\n\n")
         elif t == "li":
-            out.append(f"\n- {clean_markdown(text_of(n).strip())}")
+            entries(Node("ul", None, kids=[n]), 0)
         elif t == "tr":
             out.append("\n" + " | ".join(text_of(k).strip() for k in n.kids if isinstance(k, Node)))
+        elif t in _INLINE_FORMS:
+            out.append(_inline(n))
         else:
             for k in n.kids:
                 if isinstance(k, str):
@@ -239,9 +303,15 @@ def structured(node: Node) -> str:
             if t in _BLOCK:
                 out.append("\n\n" if t not in ("br",) else "\n")
 
-    go(node)
+    for node in nodes:
+        go(node)
     text = "".join(out)
-    return clean_markdown(re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", text)).strip())
+    text = re.sub(r"\n[ \t]+(?![ \t]|(?:-|\d+\.) )", "\n", re.sub(r"[ \t]+\n", "\n", text))
+    text = clean_markdown(re.sub(r"\n{3,}", "\n\n", text).strip("\n "))
+    return text.replace(_CODE_END, "\n")
+
+
+_INDENT, _CODE_END = "  ", "\ue000"  # a private character stands for line ends of code until the text is cleaned
 
 
 # ---- clean text -----------------------------------------------------------
@@ -291,23 +361,39 @@ def _clean_piece(s: str) -> str:
 
 
 def clean_markdown(text: str) -> str:
-    """Markdown with foreign markup to clean text; fenced code and formulas stay."""
+    """Markdown with foreign markup to clean text; fenced code, inline code and
+    formulas stay as they are."""
     out, pos = [], 0
     for m in _FENCE.finditer(text):
-        out += [_clean_piece(text[pos : m.start()]), m.group(0)]
+        out += [_clean_around_code(text[pos : m.start()]), m.group(0)]
         pos = m.end()
-    out.append(_clean_piece(text[pos:]))
-    return re.sub(r"\n{3,}", "\n\n", "".join(out)).strip()
+    out.append(_clean_around_code(text[pos:]))
+    return re.sub(r"\n{3,}", "\n\n", "".join(out)).strip("\n ")
+
+
+def _clean_around_code(s: str) -> str:
+    """Inline code waits behind a private character while its line is cleaned."""
+    if "`" not in s:
+        return _clean_piece(s)
+    held: list[str] = []
+
+    def hold(m: re.Match) -> str:
+        held.append(m.group(0))
+        return "\ue001"
+
+    s = _INLINE.sub(hold, s.replace("\ue001", ""))
+    parts = iter(held)
+    return re.sub("\ue001", lambda _: next(parts, ""), _clean_piece(s))
 
 
-def html_findings(source: str) -> tuple[list[str], Node, Node]:
-    """(kinds of markup the visible text shows, body, content subtree)."""
+def html_findings(source: str) -> tuple[list[str], list[Node]]:
+    """(kinds of markup the content subtrees show, the subtrees)."""
     body = parse(source)
     measure(body)
-    text = visible(body)
+    nodes = content_nodes(body)
+    text = "\n".join(visible(n) for n in nodes)
     found = ["markdown"] if MARKDOWN.search(text) or any(x[2] and x[3] for x in find_links(text)) else []
-    bare = without_code(text)
-    return leftovers(bare) + found, body, content_node(body)
+    return leftovers(without_code(text)) + found, nodes
 
 
 SCHEMA = "page_id BIGINT, field STRING, text STRING, markup ARRAY<STRING>"
@@ -330,21 +416,21 @@ def clean_documents(df: DataFrame, id_col: str, markdown_col: str, html_col: str
 
         for i, md, source in zip(b["i"], b["m"], b["h"], strict=True):
             md_marks = leftovers(without_code(md)) if md else []
-            html_marks, node = [], None
+            html_marks, nodes = [], []
             if source:
-                html_marks, _, node = html_findings(source)
+                html_marks, nodes = html_findings(source)
             if (md_marks or html_marks) and md:
                 p = profile(md)
                 if quality_kind(p)[0] == "junk" or model.kind(p):
                     md_marks = html_marks = []
             elif html_marks:  # no Markdown to judge by: the visible text stands in
-                p = profile(visible(node))
+                p = profile("\n".join(map(visible, nodes)))
                 if quality_kind(p)[0] == "junk" or model.kind(p):
                     html_marks = []
             if md:
                 add(i, "markdown", clean_markdown(md) if with_text else None, md_marks)
             if source:
-                add(i, "html", structured(node) if with_text else None, html_marks)
+                add(i, "html", structured(nodes) if with_text else None, html_marks)
         return out
 
     return map_rows(spread(pick(df, i=id_col, m=markdown_col, h=html_col)), run, SCHEMA)

@@ -9,7 +9,7 @@ import pytest
 
 from pagelake.llm.language import blocks, label_of
 from pagelake.llm.lines import html_kinds, main_body, main_flags
-from pagelake.llm.markup import MARKDOWN, clean_markdown, html_findings, leftovers, structured, visible, without_code
+from pagelake.llm.markup import MARKDOWN, clean_markdown, html_findings, leftovers, parse, structured, visible, without_code
 from pagelake.llm.profile import profile, quality_kind
 from pagelake.llm.residue import SHORT, fit, passages, tokens, trusted_kind
 from pagelake.llm.truncation import CLOSED, FORM, MARKED, OPEN, PLAIN, SURE, ending, lengths
@@ -88,9 +88,9 @@ def test_leftover_markup(text, marks):
 
 
 def test_markdown_shown_by_html():
-    found, body_, content = html_findings("<body><div><h1>T</h1><p>" + PROSE + "</p><p>**bold words** and [x](/y)</p><pre>**no**</pre></div></body>")
+    found, content = html_findings("<body><div><h1>T</h1><p>" + PROSE + "</p><p>**bold words** and [x](/y)</p><pre>**no**</pre></div></body>")
     assert found == ["markdown"]
-    assert not MARKDOWN.search(visible(html_findings("<body><p>" + PROSE + "</p><pre>## no</pre></body>")[1]))
+    assert not MARKDOWN.search("\n".join(map(visible, html_findings("<body><p>" + PROSE + "</p><pre>## no</pre></body>")[1])))
     assert "# T" in structured(content) and "bold words" in structured(content)
     assert "html" in html_findings("<body><p>" + PROSE + " &lt;em&gt;x&lt;/em&gt;</p></body>")[0]
 
@@ -205,3 +205,39 @@ def test_residue_wording_is_learned_from_the_status():
     assert fit(real + odd).kind(notice) == "error_page"
     assert fit(real + [(0, passages(notice))] * 4).kind(notice) is None
     assert fit(real + odd).kind(profile("aGxq xq qrst zzq\n\nKqx qqw vx xk")) is None
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<pre><code><span>def</span> <span>f</span>(x):\n    return x\n\n# **a** [[b]]</code></pre>", "```\ndef f(x):\n    return x\n\n# **a** [[b]]\n```"),
+        ("<ul><li>a<ul><li>b<li>c</ul><li>d <b>e</b> <code>x_{1}</code></ul><ol><li>one<li>two</ol>", "- a\n  - b\n  - c\n- d e `x_{1}`\n\n1. one\n2. two"),
+        ("<p>H<sub>2</sub>O, x<sup>10</sup></p>", "H_2O, x^{10}"),
+        ('<p><math><mi>x</mi><annotation encoding="application/x-tex">\\frac{1}{2}</annotation></math></p>', "$\\frac{1}{2}$"),
+        ("<h2>T</h2><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table><p>Use <code>&lt;div&gt;</code></p>", "## T\n\na | b\n1 | 2\n\nUse `<div>`"),
+        ("", ""),
+    ],
+)
+def test_structure_is_kept(html, text):
+    assert structured([parse(html)]) == text
+
+
+@pytest.mark.parametrize(
+    "markdown, text",
+    [
+        ("Use `<div>` and `[[a]]` but [[b|c]] <b>x</b>", "Use `<div>` and `[[a]]` but c x"),
+        ("```\n<b>\n```\n\n`` a`b `` <i>y</i> `open <u>z</u>", "```\n<b>\n```\n\n`` a`b `` y `open z"),
+    ],
+)
+def test_code_is_left_alone(markdown, text):
+    assert clean_markdown(markdown) == text
+
+
+def test_findings_come_from_the_content_subtrees():
+    """Prose and lists of links: the threshold keeps every dense part, and what
+    a link list shows is no finding."""
+    menu = "<ul>" + "<li><a href='x'>**menu** entry</a></li>" * 12 + "</ul>"
+    prose = "<div>" + f"<p>{PROSE} {PROSE}</p>" * 3 + "</div>"
+    assert html_findings(f"<body>{menu}{prose}{menu}</body>")[0] == []
+    marks, nodes = html_findings(f"<body>{menu}{prose}<div><p>{PROSE} **bold** {PROSE}</p><p>{PROSE}</p></div></body>")
+    assert marks == ["markdown"] and all(n.tag != "ul" for n in nodes)
