@@ -3,9 +3,11 @@
 Method: a linear-chain conditional random field labels every word with one of
 eleven languages.  Features of a word: the word itself, affixes, character
 trigrams, its script and the lexica of function words; transitions between the
-languages of neighbouring words are learned.  Forward-backward gives each
-word's marginals; their sums give a block or a record its language, their mean
-the confidence.
+languages of neighbouring words are learned.  Forward-backward over whole blocks
+gives each word's marginals; their sums give a block or a record its language,
+their mean the confidence, and runs of words that lean to one language the
+segments of a block.  A text no language reaches ``LEAST_CONFIDENCE`` for is in
+another one (``OTHER``) and neither mixed nor wrongly labelled.
 
 The field is trained here on a bounded sample (``SAMPLE_RECORDS`` records by
 hash of the id, ``BLOCKS`` blocks a language) of blocks whose label agrees with
@@ -17,6 +19,7 @@ block has no language.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -24,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .engine import map_rows, pick, save_point, spread
+from .engine import map_rows, pick, sample, save_point, spread
 from .lexicon import LANGS, STOPWORDS
 from .lines import find_links
 from .profile import profile
@@ -34,7 +37,13 @@ from .spam import TERMS, UNSURE, Pairs, low_pmi, pmi_terms, terms_row
 
 SAMPLE_RECORDS = 6000
 BLOCKS = 160
-CHUNK = 64
+CHUNK = 64  # words of a training sequence, at most
+LEAST_CONFIDENCE = 0.4
+OTHER = "other"
+CELLS = 400_000  # words of the sequences that are read together
+LONG, OVERLAP = 100_000, 200  # a longer sequence is read in parts that overlap, by far more words than a message carries
+SWITCHED = 0.85  # share of a block's first language below which it is searched for segments
+SEGMENT_WORDS = 4  # of a segment, at least
 BITS = 16
 N = len(LANGS)
 MIN_LETTERS = 40
@@ -49,7 +58,9 @@ _BY_NAME = {n: k for k, v in NAMES.items() for n in v.split()}
 _NO_LANGUAGE = frozenset(("", "und", "unknown", "x-default", "mul", "mis", "zxx", "none", "null", "n/a", "xx"))
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_HAN, _KANA, MIN_HAN = re.compile(r"[一-鿿]"), re.compile(r"[ぁ-ヿ]"), 12  # so many Han characters without kana are no Japanese
+_SCRIPTS = re.compile(r"[ぁ-ヿ一-鿿々ー]+|[^ぁ-ヿ一-鿿々ー]+")
 _URL = re.compile(r"<?https?://\S+|\]\([^)\s]*\)")
 _TAG = re.compile(r"<[^<>]*>")
 _MARKED = re.compile(r"^\s*(?:[-*+•]\s|\d{1,3}[.)]\s|#{1,6}(?:\s|$))", re.M)
@@ -87,7 +98,7 @@ def blocks(markdown: str) -> list[Block]:
         nonlocal run, run_code
         if run:
             text = "\n".join(run)
-            letters = len(_LETTER.findall(text))
+            letters = sum(map(len, _LETTERS.findall(text)))
             plain = letters >= MIN_LETTERS and not run_code and not _MARKED.search(text) and not find_links(text)
             out.append(Block(len(out), text, letters, plain, run_code))
         run, run_code = [], fence
@@ -110,12 +121,15 @@ def words_of(text: str) -> list[str]:
         text = _URL.sub(" ", text)
     if "</" in text or "<br" in text:
         text = _TAG.sub(" ", text)
-    return _WORD.findall(text.lower())
+    words = _WORD.findall(text.lower())
+    if not text.isascii() and any(w[-1] > "぀" or w[0] > "぀" for w in words):  # runs end where the script changes
+        words = [x for w in words for x in (_SCRIPTS.findall(w) if w[-1] > "぀" or w[0] > "぀" else (w,))]
+    return words
 
 
 def features(word: str) -> list[int]:
     got = [crc32(f"w {word}".encode()), crc32(_script(word).encode())]
-    w = f"^{word[:24]}$"
+    w = f"^{word}$"
     for n in (2, 3, 4):
         got.append(crc32(f"p {w[:n]}".encode()))
         got.append(crc32(f"s {w[-n:]}".encode()))
@@ -162,30 +176,59 @@ class Crf:
         if len(self._ids) > 300_000:
             self._ids.clear()
 
-    def marginal_sums(self, seqs: list[list[str]]) -> np.ndarray:
-        """(len(seqs), N): the sum of the words' marginals of each sequence."""
+    def marginals(self, seqs: list[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the sequence, marginals of its words in order), a long
+        sequence in several parts."""
         self.reset()
-        owner, parts = [], []
+        parts: list[tuple[int, list[int], int, int]] = []  # sequence, words, those to keep
         for k, s in enumerate(seqs):
             ids = self.emission_ids(s)
-            for i in range(0, len(ids), CHUNK):
-                parts.append(ids[i : i + CHUNK])
-                owner.append(k)
-        out = np.zeros((len(seqs), N))
-        order = sorted(range(len(parts)), key=lambda j: -len(parts[j]))
+            for i in range(0, len(ids), LONG):
+                low, high = max(0, i - OVERLAP), i + LONG + OVERLAP
+                part = ids[low:high]
+                parts.append((k, part, i - low, min(i + LONG, len(ids)) - low))
+        order = sorted(range(len(parts)), key=lambda j: -len(parts[j][1]))
         a = np.exp(self.trans).astype(np.float32)
-        for start in range(0, len(order), 2048):
-            group = order[start : start + 2048]
-            lens = np.array([len(parts[j]) for j in group])
-            top = int(lens[0])
+        at = 0
+        while at < len(order):
+            top = len(parts[order[at]][1])
+            group = order[at : at + max(1, CELLS // top)]
+            at += len(group)
+            lens = np.array([len(parts[j][1]) for j in group])
             flat = np.zeros((len(group), top), dtype=np.int64)
             for r, j in enumerate(group):
-                flat[r, : lens[r]] = parts[j]
-            e = self._rows[flat]
-            sums = _forward_backward(e, lens, a)[0].sum(axis=1)
-            np.add.at(out, [owner[j] for j in group], sums)
+                flat[r, : lens[r]] = parts[j][1]
+            m = _forward_backward(self._rows[flat], lens, a)[0]
+            for r, j in enumerate(group):
+                k, _, low, high = parts[j]
+                yield k, m[r, low:high]
+
+    def marginal_sums(self, seqs: list[list[str]]) -> np.ndarray:
+        """(len(seqs), N): the sum of the words' marginals of each sequence."""
+        out = np.zeros((len(seqs), N))
+        for k, m in self.marginals(seqs):
+            out[k] += m.sum(axis=0)
         return out
 
+    def segments(self, words: list[str]) -> list[tuple[int, int, str, float]]:
+        """(first word, end, language, confidence): runs of words that lean to one
+        language; runs of fewer than SEGMENT_WORDS go to the one before."""
+        if not words:
+            return []
+        m = np.concatenate([x for i in range(0, len(words), LONG) for _, x in self.marginals([words[i : i + LONG]])])
+        best = m.argmax(axis=1)
+        cuts = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
+        runs = [[int(i), int(j), int(best[i])] for i, j in zip(cuts, np.r_[cuts[1:], len(best)], strict=True)]
+        out: list[list[int]] = []
+        for run in runs:
+            if out and (run[1] - run[0] < SEGMENT_WORDS or run[2] == out[-1][2]):
+                out[-1][1] = run[1]
+            elif out and out[-1][1] - out[-1][0] < SEGMENT_WORDS:  # a short first run
+                out[-1][1:] = run[1:]
+            else:
+                out.append(run)
+        return [(i, j, LANGS[k], float(m[i:j, k].mean())) for i, j, k in out]
+
 
 def _forward_backward(e: np.ndarray, lens: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Marginals (B, T, N) of sequences sorted by falling length, zero behind
@@ -306,10 +349,7 @@ def training_blocks(text: str, lang: str) -> list[list[str]]:
 
 
 def fit_languages(df: DataFrame, id_col: str, text_col: str, label_col: str) -> Crf:
-    n = df.select(id_col).count()
-    few = pick(df, i=id_col, t=text_col, l=label_col).where(F.col("t").isNotNull() & (F.length("t") > 0))
-    if n > SAMPLE_RECORDS:
-        few = few.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE_RECORDS / n))
+    few = sample(df, SAMPLE_RECORDS, id_col, i=id_col, t=text_col, l=label_col).where(F.length("t") > 0)
 
     def run(b: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"i": [], "lang": [], "words": []}
@@ -332,6 +372,12 @@ class Reading:
     parts: list[tuple[int, str, float, bool]]  # block number, language, confidence, may give a row
 
 
+def _named(share: np.ndarray) -> tuple[str, float]:
+    best = int(share.argmax())
+    sure = float(share[best])
+    return (LANGS[best] if sure >= LEAST_CONFIDENCE else OTHER), sure
+
+
 def read_languages(texts: list[str], crf: Crf) -> list[Reading | None]:
     """Languages of records and of their blocks; None without letters."""
     seqs: list[list[str]] = []
@@ -349,37 +395,48 @@ def read_languages(texts: list[str], crf: Crf) -> list[Reading | None]:
         if not mine:
             out.append(None)
             continue
-        total = np.zeros(N)
+        total, foreign = np.zeros(N), 0
         parts = []
         for x, k in mine:
             s = sums[k]
             share = s / max(s.sum(), 1e-9)
             total += share * x.letters
-            best = int(share.argmax())
-            parts.append((x.number, LANGS[best], float(share[best]), x.plain))
-        best = int(total.argmax())
-        out.append(Reading(LANGS[best], float(total[best] / max(total.sum(), 1e-9)), parts))
+            lang, sure = _named(share)
+            if lang == "ja" and len(_HAN.findall(x.text)) >= MIN_HAN and not _KANA.search(x.text):
+                lang, foreign = OTHER, foreign + x.letters  # Chinese
+            parts.append((x.number, lang, sure, x.plain))
+        lang, sure = _named(total / max(total.sum(), 1e-9))
+        out.append(Reading(OTHER if lang == "ja" and 2 * foreign > total.sum() else lang, sure, parts))
     return out
 
 
-SCHEMA = "page_id BIGINT, block_no INT, lang STRING, confidence DOUBLE, plain BOOLEAN"
+SCHEMA = "page_id BIGINT, block_no INT, segment_no INT, lang STRING, confidence DOUBLE, plain BOOLEAN"
 
 
 def detect_languages(df: DataFrame, id_col: str, text_col: str, crf: Crf) -> DataFrame:
-    """Language and confidence of every record (block_no -1) and block."""
+    """Language and confidence of every record (block_no -1), block (segment_no
+    -1) and, in blocks that switch language, segment."""
     held = df.sparkSession.sparkContext.broadcast(crf)
 
     def run(b: dict[str, list]) -> dict[str, list]:
-        cols: list[list] = [[] for _ in range(5)]
+        cols: list[list] = [[] for _ in range(6)]
         keep = [(i, t) for i, t in zip(b["i"], b["t"], strict=True) if t]
         for start in range(0, len(keep), 400):
             some = keep[start : start + 400]
-            for (i, _), r in zip(some, read_languages([t for _, t in some], held.value), strict=True):
-                if r:
-                    for row in [(i, -1, r.whole, r.confidence, True)] + [(i, *x) for x in r.parts]:
-                        for c, v in zip(cols, row, strict=True):
-                            c.append(v)
-        return dict(zip(("page_id", "block_no", "lang", "confidence", "plain"), cols, strict=True))
+            for (i, t), r in zip(some, read_languages([t for _, t in some], held.value), strict=True):
+                if not r:
+                    continue
+                rows = [(i, -1, -1, r.whole, r.confidence, True)] + [(i, n, -1, *x) for n, *x in r.parts]
+                unsure = {n for n, _, sure, _ in r.parts if sure < SWITCHED}
+                for x in blocks(t) if unsure else ():
+                    if x.number in unsure:
+                        found = held.value.segments(words_of(x.text))
+                        if len(found) > 1:
+                            rows += [(i, x.number, k, lang, sure, False) for k, (_, _, lang, sure) in enumerate(found)]
+                for row in rows:
+                    for c, v in zip(cols, row, strict=True):
+                        c.append(v)
+        return dict(zip(("page_id", "block_no", "segment_no", "lang", "confidence", "plain"), cols, strict=True))
 
     return map_rows(spread(pick(df, i=id_col, t=text_col)), run, SCHEMA)
 
@@ -402,9 +459,9 @@ def language_found(
             for (i, t, raw), r in zip(some, read_languages([x[1] for x in some], crf_), strict=True):
                 if r is None:
                     continue
-                rows = [(n, lang) for n, lang, _, plain in r.parts if plain]
+                rows = [(n, lang) for n, lang, _, plain in r.parts if plain and lang != OTHER]
                 mixed = len({lang for _, lang in rows}) > 1
-                if not mixed and label_of(raw) == r.whole:
+                if r.whole == OTHER or not mixed and label_of(raw) == r.whole:
                     continue
                 p = profile(t)
                 kinds = verdicts(p, residue_)

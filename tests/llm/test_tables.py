@@ -7,7 +7,7 @@ import re
 import pytest
 
 from pagelake.llm.boilerplate import boilerplate_lines, main_text
-from pagelake.llm.language import NAMES, detect_languages, fit_languages, label_of, language_found, read_languages, train, training_blocks
+from pagelake.llm.language import NAMES, detect_languages, fit_languages, label_of, language_found, read_languages, train, training_blocks, words_of
 from pagelake.llm.markup import clean_documents
 from pagelake.llm.quality import quality_found, quality_statistics
 from pagelake.llm.residue import fit_residue, residue_records, without_residue
@@ -103,7 +103,24 @@ def test_language(docs):
     assert not {3, 4, 5, 6, 8, 9, 10} & {i for i, _, _ in got}
     crf = fit_languages(docs, "page_id", "markdown", "language")
     all_ = collect(detect_languages(docs, "page_id", "markdown", crf))
-    assert all(0 <= c <= 1 for _, _, _, c, _ in all_)
+    assert all(0 <= c <= 1 for *_, c, _ in all_)
+    # a switch inside a block, which the learned transitions place
+    words = words_of(f"{EN} {DE} {EN}")
+    n, k = len(words_of(EN)), len(words_of(DE))
+    parts = crf.segments(words)
+    assert [x[2] for x in parts] == ["en", "de", "en"] and abs(parts[0][1] - n) <= 9 and abs(parts[1][1] - n - k) <= 9, parts
+    assert crf.segments([]) == [] and crf.segments(words[:2])[0][2] == "en"
+    # the messages run over whole blocks, and long ones are read in parts
+    import pagelake.llm.language as module
+
+    whole = crf.marginal_sums([words * 40])
+    module.LONG, module.OVERLAP, kept = 300, 50, (module.LONG, module.OVERLAP)
+    try:
+        assert abs(crf.marginal_sums([words * 40]) - whole).max() < 0.5
+    finally:
+        module.LONG, module.OVERLAP = kept
+    for foreign in ("今天早上我们和朋友一起去城里买面包和牛奶做晚饭", "오늘 아침 우리는 친구들과 함께 빵과 우유를 사러 시내에 갔습니다"):
+        assert read_languages([foreign], crf)[0].whole == "other", foreign
     assert language_found(docs.limit(0), "page_id", "markdown", "language").count() == 0
 
 
