@@ -241,3 +241,8 @@ def quality_error(html: Column, markdown: Column, status: Column) -> Column:
         .when((text_density(html) < 0.05) & ~good, F.lit("low_quality"))
         .when(is_error_page(html, status), F.lit("error_page"))
     )
+
+
+def is_thin(html: Column, least: int = 100) -> Column:
+    """Whether a page shows so little text that a browser should read it again."""
+    return F.coalesce(F.octet_length(plain_text(html)), F.lit(0)) < least

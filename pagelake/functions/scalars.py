@@ -169,6 +169,21 @@ def markdown_quality(success: Column, words: Column, title: Column, description:
     return F.when(F.coalesce(success, F.lit(False)) & (size > 0), F.greatest(F.least(score, F.lit(10.0)), F.lit(0.0))).otherwise(0.0)
 
 
+def reliability_score(success: Column) -> Column:
+    return F.when(F.coalesce(success, F.lit(False)), 10.0).otherwise(0.0)
+
+
+# User agents to choose from: every system with every browser.
+_SYSTEMS = ("Windows NT 10.0; Win64; x64", "Macintosh; Intel Mac OS X 10_15_7", "X11; Linux x86_64")
+_BROWSERS = tuple(f"AppleWebKit/537.36 (KHTML, like Gecko) Chrome/{v}.0.0.0 Safari/537.36" for v in (119, 120)) + tuple(f"Gecko/20100101 Firefox/{v}.0" for v in (120, 121))
+USER_AGENTS = tuple(f"Mozilla/5.0 ({s}) {b}" for s in _SYSTEMS for b in _BROWSERS)
+
+
+def user_agent(seed: Column) -> Column:
+    """One of USER_AGENTS, the same for the same seed."""
+    return F.element_at(F.array(*[F.lit(a) for a in USER_AGENTS]), (F.pmod(F.crc32(seed.cast("binary")), F.lit(len(USER_AGENTS))) + 1).cast("int"))
+
+
 # ---- replies of a language model -----------------------------------------------
 
 
@@ -177,6 +192,16 @@ def strip_fence(reply: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"\n?[ \t]*```[ \t\r\n]*$", ""), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
 
 
+def judge_result(reply: Column) -> Column:
+    """The result of a judge's output: of an array of events the last one of type
+    result (the last of all, if there is none), of an object the object itself;
+    then the text of its ``result`` field, or the object where it has none."""
+    events = F.from_json(reply, "array<string>")
+    kinds = F.filter(events, lambda x: F.get_json_object(x, "$.type") == "result")
+    one = F.when(reply.rlike(r"^\s*\["), F.coalesce(F.try_element_at(kinds, F.lit(-1)), F.try_element_at(events, F.lit(-1)))).otherwise(reply)
+    return F.coalesce(F.get_json_object(one, "$.result"), one)
+
+
 def description_of_reply(reply: Column, limit: int = 100) -> Column:
     """The description in a model's reply: a JSON field, a quoted field or the
     first line; at most ``limit`` characters."""

@@ -161,7 +161,10 @@ def priority(
     long_ = F.when(p.isNotNull() & (size > 100), F.floor((size - 100) / 10)).otherwise(0)
     level = depth if isinstance(depth, Column) else F.lit(depth)
     score = F.lit(base) + F.coalesce(top, F.lit(0)) - level * per_level
-    score = score + F.when(_any(url, high), 50).otherwise(0) - F.when(_any(url, low), 50).otherwise(0) if low else score
+    if high:
+        score = score + F.when(_any(url, high), 50).otherwise(0)
+    if low:
+        score = score - F.when(_any(url, low), 50).otherwise(0)
     return F.when(url.isNotNull(), (score - F.coalesce(long_, F.lit(0))).cast("int"))
 
 
@@ -326,7 +329,17 @@ def cache_key(url: Column, headers: Column) -> Column:
     return F.sha2(F.concat(url, F.coalesce(F.array_join(flat, "\u0002"), F.lit(""))), 256)
 
 
+def percent_encode(text: Column) -> Column:
+    """Percent-encoded for a query, a space as %20."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def percent_decode(text: Column) -> Column:
+    """Percent-decoded, a plus stays one; null where the encoding is broken."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def search_target(url: Column) -> Column:
     """The address behind a search engine's redirect (parameter ``uddg``)."""
     wrapped = F.regexp_extract(url, r"[?&]uddg=([^&]*)", 1)
-    return F.when(wrapped != "", F.try_url_decode(F.replace(wrapped, F.lit("+"), F.lit("%2B")))).otherwise(url)
+    return F.when(wrapped != "", percent_decode(wrapped)).otherwise(url)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .ranks import numbered, with_previous
+from .ranks import numbered, running_sums, with_previous
 
 
 def nearest_rank(values: Column, p: float) -> Column:
@@ -18,9 +18,7 @@ def percentiles(df: DataFrame, value_col: str, points: dict[str, float], by: lis
     """Nearest-rank percentiles by group from counts of distinct values: values
     are pre-aggregated, so a group of any size is no more than its distinct values."""
     counts = df.where(F.col(value_col).isNotNull()).groupBy(*by, F.col(value_col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    run = w.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = counts.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(w))
+    c = running_sums(counts, by, "v", "n")
     aggs = []
     for name, p in points.items():
         rank = F.floor(F.lit(p) * (F.col("all") - 1) + 0.5) + 1
@@ -53,6 +51,22 @@ def latency_spread(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def latest_run_rates(df: DataFrame, run_col: str, by: str, won: Column) -> DataFrame:
+    """Share of won rows by group, of the latest run alone."""
+    last = df.agg(F.max(run_col).alias("__last"))  # one row
+    rows = df.join(F.broadcast(last), F.col(run_col) == F.col("__last"))
+    return rows.groupBy(by).agg(F.round(F.avg(won.cast("double")), 6).alias("win_rate"), F.count(F.lit(1)).alias("n"))
+
+
+def improvement_targets(winners: DataFrame, dimensions: list[str], adv: Column) -> DataFrame:
+    """The losers of ``winners`` (url, category and a winner a dimension): their
+    weak dimensions and a priority by the advantage of the other side."""
+    weak = F.filter(F.array(*[F.when(F.col(x) == "b", F.lit(x)) for x in dimensions]), lambda x: x.isNotNull())
+    d = winners.withColumn("advantage", adv).where(S.overall_winner(F.col("advantage")) == "b")
+    rank = F.when(F.col("advantage") < -0.3, "high").when(F.col("advantage") < -0.1, "medium").otherwise("low")
+    return d.select("url", "category", F.round("advantage", 6).alias("advantage"), weak.alias("weak_dimensions"), rank.alias("priority"))
+
+
 def content_drift(df: DataFrame) -> DataFrame:
     """Addresses with more than one run and more than one content."""
     return df.where("url IS NOT NULL").groupBy("url").agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("content_hash").alias("contents")).where("runs > 1 AND contents > 1")

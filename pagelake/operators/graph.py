@@ -36,15 +36,20 @@ def degrees(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return both.agg(F.sum(F.when(F.col("k") == 1, F.col("n")).otherwise(0)).alias("n_in"), F.sum(F.when(F.col("k") == 0, F.col("n")).otherwise(0)).alias("n_out"))
 
 
-def follow_chain(edges: DataFrame, seeds: DataFrame, max_pages: int = 50) -> DataFrame:
-    """(seed, url, pos): pages reached one by one along single next edges; a
-    page that comes again ends its chain, as ``max_pages`` does."""
-    nxt = edges.select(F.col("src").alias("s"), F.col("dst").alias("d")).where("s IS NOT NULL AND d IS NOT NULL").groupBy("s").agg(F.min("d").alias("d"))
-    nxt = save_point(nxt)
+def follow_chain(edges: DataFrame, seeds: DataFrame, max_pages: int | None = 50, max_depth: int = 10) -> DataFrame:
+    """(seed, url, pos): pages reached along next edges, all of a page's, with the
+    least number of steps.  A page that comes again is not followed again; a seed
+    that has ``max_pages`` pages (None: no bound) is followed no further, and no
+    chain beyond ``max_depth`` steps."""
+    nxt = save_point(edges.select(F.col("src").alias("s"), F.col("dst").alias("d")).where("s IS NOT NULL AND d IS NOT NULL").distinct())
     level = save_point(seeds.select(F.col("url").alias("seed"), F.col("url")).where("url IS NOT NULL").distinct().withColumn("pos", F.lit(0)))
     out = level
-    for pos in range(1, max_pages):
-        step = level.join(nxt, level["url"] == nxt["s"]).select("seed", F.col("d").alias("url"))
+    for pos in range(1, max_depth + 1):
+        open_ = level
+        if max_pages is not None:
+            full = out.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max_pages)
+            open_ = level.join(full, "seed", "left_anti")
+        step = open_.join(nxt, open_["url"] == nxt["s"]).select("seed", F.col("d").alias("url")).distinct()
         level = save_point(step.join(out.select("seed", "url"), ["seed", "url"], "left_anti").withColumn("pos", F.lit(pos)))
         if level.isEmpty():
             break

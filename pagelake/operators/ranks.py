@@ -31,6 +31,26 @@ def numbered(df: DataFrame, key_cols: list[str], order_cols: list[str], name: st
     return out.withColumn(name, F.col("__inside") + F.col("__before")).drop("__inside", "__before", "__chunk")
 
 
+def running_sums(df: DataFrame, key_cols: list[str], order_col: str, value_col: str) -> DataFrame:
+    """``df`` with the sum of a value up to each row (``upto``) and in all (``all``)
+    within its key; without keys, over the whole table."""
+    c = chunked(df, key_cols, [order_col])
+    inside = Window.partitionBy(*key_cols, "__chunk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = c.groupBy(*key_cols, "__chunk").agg(F.sum(value_col).alias("__sum"))
+    every = Window.partitionBy(*key_cols)  # one row a chunk
+    before = every.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sums.select(*key_cols, "__chunk", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"), F.sum("__sum").over(every).alias("all"))
+    out = c.withColumn("__inside", F.sum(value_col).over(inside))
+    if key_cols:  # null keys are keys too
+        same = F.lit(True)
+        for k in [*key_cols, "__chunk"]:
+            same = same & out[k].eqNullSafe(shift[k])
+        out = out.join(shift, same).drop(*[shift[k] for k in [*key_cols, "__chunk"]])
+    else:
+        out = out.join(shift, "__chunk")
+    return out.withColumn("upto", F.col("__inside") + F.col("__before")).drop("__inside", "__before", "__chunk")
+
+
 def with_previous(df: DataFrame, key_cols: list[str], order_cols: list[str], value: Column, name: str) -> DataFrame:
     """``df`` with the value of the row before within its key; null for the first."""
     c = chunked(df.withColumn("__value", value), key_cols, order_cols)

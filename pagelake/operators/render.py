@@ -10,6 +10,7 @@ import re
 from urllib.parse import urljoin
 
 from .htmltree import BLOCK, Element, matches, parse, select, select_first
+from .residual import drop_bloating_tables, thin_out_tables
 
 # Places of main content, best first (fixed values).
 MAIN_SELECTORS = (
@@ -360,6 +361,9 @@ def to_markdown(
             return f"# JSON Response\n\n```json\n{s}\n```"
     if "<" not in s:
         return s
+    thin = thin_out_tables(source)
+    if thin is not source and thin != source:
+        source, tree = thin, None
     root = tree if tree is not None else parse(source)
     title = select_first(root, "title")
     prepare_images(root)
@@ -367,6 +371,14 @@ def to_markdown(
     if include or exclude:
         root = keep_tags(root, include or [], exclude or [])
     out = _render(main_content(root, len(source)) if only_main else root, base)
+    lean = drop_bloating_tables(source, out)
+    if lean is not None:
+        whole = parse(lean)
+        prepare_images(whole)
+        flatten_layout_tables(whole)
+        if include or exclude:
+            whole = keep_tags(whole, include or [], exclude or [])
+        out = _render(main_content(whole, len(lean)) if only_main else whole, base)
     if only_main and len(out.encode()) < 50:
         whole = parse(source)
         prepare_images(whole)
@@ -548,32 +560,52 @@ def page_number(url: str) -> int | None:
     return int(m.group(1)) if m and int(m.group(1)) < 1 << 32 else None
 
 
-def pagination_links(source: str | None, url: str) -> list[str]:
-    """Next pages: a rel=next link, links whose text or class says next, links
-    numbered above the current page, and the address with its number raised.
-    None where a disabled next button shows the last page."""
+# Marks of a link to the next page, and of a next button that leads nowhere (fixed values).
+NEXT_TEXT = ("next", "→", "»", "›")
+LAST_PAGE = (
+    "a[rel='next'][disabled], button.next[disabled], .next[disabled]",
+    ".next.disabled, .pager-next.disabled, .pagination-next.disabled",
+)
+
+
+def is_last_page(root: Element) -> bool:
+    """Whether a disabled next button shows that no page follows."""
+    if any(select(root, s) for s in LAST_PAGE):
+        return True
+    return any("next" in e.attrs.get("aria-label", "").lower() and (e.attrs.get("aria-disabled") == "true" or "disabled" in e.attrs) for e in select(root, "[aria-label]"))
+
+
+def pagination_links(source: str | None, url: str, circular: bool = False) -> list[str]:
+    """Next pages: the first rel=next link, links whose text or class says next,
+    links whose text is a number above the current page, and the address with its
+    number raised.  None on a last page; pages numbered no higher than the
+    current one only if ``circular``."""
     root = parse(source or "")
-    r = Renderer(url)
-    if select(root, ".next.disabled, .disabled .next, [aria-label='Next'][aria-disabled='true'], button.next[disabled], .pagination-next.disabled"):
+    if is_last_page(root):
         return []
+    r = Renderer(url)
     found: list[str] = []
-    for e in select(root, "link[rel='next'], a[rel='next']"):
-        if e.attrs.get("href"):
-            found.append(r.url(e.attrs["href"]))
+    first = next((e for e in select(root, "link[rel='next'], a[rel='next']") if e.attrs.get("href")), None)
+    if first is not None:
+        found.append(r.url(first.attrs["href"]))
     current = page_number(url)
+    numbered: list[str] = []
     for a in select(root, "a"):
         href = a.attrs.get("href")
-        if not href:
+        if href is None:
             continue
-        text, names = a.text().strip().lower(), a.attrs.get("class", "").lower()
-        if "next" in text or "next" in names or text in ("→", "»", ">"):
-            found.append(r.url(href))
-        elif text.isdigit() and (n := page_number(r.url(href))) is not None and n > (current or 1):
+        text, names = a.text().strip().lower(), a.attrs.get("class", "")
+        if (any(x in text for x in NEXT_TEXT) or "next" in names or "pager" in names) and not href.startswith("javascript:") and href != "#":
             found.append(r.url(href))
+        if text.isdigit() and int(text) < 1 << 32 and (current is None or int(text) > current):
+            numbered.append(r.url(href))
     if current is not None:
         m = _PAGE.search(url)
         found.append(url[: m.start(1)] + str(current + 1) + url[m.end(1) :])
-    return [u for u in dict.fromkeys(found) if u != url]
+    out = [u for u in dict.fromkeys(found + numbered) if u != url]
+    if circular or current is None:
+        return out
+    return [u for u in out if (n := page_number(u)) is None or n > current]
 
 
 def search_results(source: str | None) -> list[tuple[str, str, str]]:

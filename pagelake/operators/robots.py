@@ -23,6 +23,18 @@ def sitemap_directives(df: DataFrame, host_col: str, content_col: str) -> DataFr
     return robots_lines(df, host_col, content_col).where("name = 'sitemap' AND value <> ''").select("host", F.col("value").alias("sitemap"))
 
 
+# Where sitemaps usually lie (fixed values, in order).
+WELL_KNOWN = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap.xml.gz", "/sitemap.txt")
+
+
+def sitemap_locations(df: DataFrame, host_col: str, content_col: str) -> DataFrame:
+    """(host, pos, sitemap) of where to look for a site's sitemaps, in order: those
+    that its robots file names, else the usual places."""
+    named = F.filter(F.transform(lines(F.coalesce(F.col(content_col), F.lit(""))), lambda x: F.trim(F.regexp_replace(F.regexp_extract(x, r"(?i)^\s*sitemap\s*:(.*)$", 1), r"#.*$|\r", ""))), lambda x: x != "")
+    usual = F.array(*[F.concat(F.lit("https://"), F.col(host_col), F.lit(p)) for p in WELL_KNOWN])
+    return df.select(F.col(host_col).alias("host"), F.posexplode(F.when(F.size(named) > 0, named).otherwise(usual)).alias("pos", "sitemap"))
+
+
 def crawl_delay_column(content: Column, agent: str = "*") -> Column:
     """The last delay of a group for every agent or for ``agent``; null for none."""
     zero = F.struct(F.lit(False).alias("on"), F.lit(None).cast("double").alias("d"))

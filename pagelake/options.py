@@ -57,20 +57,25 @@ class ScrapeOptions:
 @dataclass(frozen=True)
 class CrawlOptions:
     max_depth: int = 2
-    limit: int = 100
+    limit: int | None = 100  # documents; None: all that are reached
     include_paths: tuple[str, ...] = ()
     exclude_paths: tuple[str, ...] = ()
     allow_backward_links: bool = False
     allow_external_links: bool = False
     detect_pagination: bool = True
-    max_pagination_pages: int = 50
+    max_pagination_pages: int | None = 50  # of one chain; None: no bound
+    max_pagination_depth: int = 10
     batch: int = 64  # addresses taken off the frontier a round
-    queue_size: int = 1000
+    queue_size: int | None = 1000  # of the frontier; None: no bound
+    backpressure: float = 0.8  # of the queue, above which pages of the last level aren't queued
+    retries: int = 2  # of a transient error
     breaker_threshold: int = 3
     robots_mode: str = "strict"  # strict, base or off
 
     def __post_init__(self) -> None:
-        check(1 <= self.limit <= 10_000, "limit is 1 to 10000")
+        check(self.limit is None or 1 <= self.limit <= 10_000, "limit is 1 to 10000, or none")
+        check(self.queue_size is None or self.queue_size >= 1, "a queue holds 1 or more")
+        check(0 < self.backpressure <= 1 and self.retries >= 0, "backpressure is a share, retries 0 or more")
         check(self.max_depth >= 0 and self.batch >= 1, "max_depth is 0 or more, batch 1 or more")
         check(self.robots_mode in ("strict", "base", "off"), f"unknown robots mode: {self.robots_mode!r}")
 
@@ -102,9 +107,9 @@ class ExtractOptions:
 
 @dataclass(frozen=True)
 class DigestOptions:
-    max_urls: int = 20
+    max_urls: int | None = 20  # None: all
     show_full_text: bool = True
     include_subdomains: bool = True
 
     def __post_init__(self) -> None:
-        check(1 <= self.max_urls <= 500, "max_urls is 1 to 500")
+        check(self.max_urls is None or 1 <= self.max_urls <= 500, "max_urls is 1 to 500, or none")

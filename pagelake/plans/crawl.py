@@ -23,7 +23,10 @@ def crawl(pages: DataFrame, edges: DataFrame, seeds: list[str], options: CrawlOp
     """(url, depth, priority, crawl_order, status_code, is_duplicate, error) of
     the visited pages.  ``pages``: url, markdown, status_code; ``edges``: src,
     dst, kind.  A page that isn't in the snapshot is an error row.  Documents
-    count toward ``limit``; errors and duplicates don't."""
+    count toward ``limit``; errors and duplicates don't.  robots_mode: strict asks
+    for every address, base for the seeds alone, off for none.  The snapshot
+    answers at once, so that a transient error has nothing to be tried again
+    against; ``sources.tables.PageSource`` is where ``retries`` apply."""
     from ..operators.robots import robots_gate
 
     o = options or CrawlOptions()
@@ -42,19 +45,22 @@ def crawl(pages: DataFrame, edges: DataFrame, seeds: list[str], options: CrawlOp
     links = links.where(ok)
     start = spark.createDataFrame([(s,) for s in seeds], "u STRING").select(U.canonical(F.col("u")).alias("url")).distinct()
     frontier = save_point(start.withColumn("depth", F.lit(0)).withColumn("priority", U.priority(F.col("url"), F.col("depth"))))
+    if robots is not None and o.robots_mode == "base":  # a seed that may be fetched opens its site, one that may not closes it
+        judged = robots_gate(frontier, robots)
+        frontier = save_point(judged.where("robots_allowed").drop("robots_allowed").select(*frontier.columns))
     done: DataFrame | None = None
     queued = frontier.select("url")
-    emitted = order = 0
-    while emitted < o.limit:
+    emitted = order = waiting = 0
+    while o.limit is None or emitted < o.limit:
         best = Window.orderBy(F.desc("priority"), "depth", "url")
-        take = frontier.orderBy(F.desc("priority"), "depth", "url").limit(min(o.batch, o.limit - emitted))  # at most batch rows
+        take = frontier.orderBy(F.desc("priority"), "depth", "url").limit(o.batch if o.limit is None else min(o.batch, o.limit - emitted))  # at most batch rows
         take = save_point(take.withColumn("crawl_order", (F.row_number().over(best) + order).cast("long")))
         n = take.count()
         if not n:
             break
         order += n
         got = take.join(snap, "url", "left")
-        if robots is not None and o.robots_mode != "off":
+        if robots is not None and o.robots_mode == "strict":
             got = robots_gate(got, robots)
         else:
             got = got.withColumn("robots_allowed", F.lit(True))
@@ -75,12 +81,17 @@ def crawl(pages: DataFrame, edges: DataFrame, seeds: list[str], options: CrawlOp
         parents = got.where(F.col("error").isNull() & (F.col("depth") < o.max_depth)).select(F.col("url").alias("src"), "depth")
         found = links.join(parents, "src")
         depth = F.min(F.when(F.col("kind") == "pagination", F.col("depth")).otherwise(F.col("depth") + 1))
+        if o.queue_size is not None and waiting >= o.backpressure * o.queue_size:  # a queue that is nearly full takes no leaves
+            found = found.where((F.col("kind") == "pagination") | (F.col("depth") + 1 < o.max_depth))
         fresh = found.groupBy(F.col("dst").alias("url")).agg(depth.alias("depth")).join(queued, "url", "left_anti")
         fresh = fresh.withColumn("priority", U.priority(F.col("url"), F.col("depth")))
         rest = frontier.join(take.select("url"), "url", "left_anti").unionByName(fresh)
         rest = _without_broken(rest, done, o.breaker_threshold)
-        frontier = save_point(rest.orderBy(F.desc("priority"), "depth", "url").limit(o.queue_size))
-        queued = save_point(queued.unionByName(fresh.select("url")).distinct())
+        kept = rest.orderBy(F.desc("priority"), "depth", "url").limit(o.queue_size) if o.queue_size is not None else rest
+        frontier = save_point(kept)
+        waiting = frontier.count()
+        # an address that the full queue refused may come again by another link
+        queued = save_point(queued.unionByName(frontier.join(fresh.select("url"), "url", "left_semi").select("url")).distinct())
     if done is None:
         return spark.createDataFrame([], "url STRING, depth INT, priority INT, crawl_order LONG, status_code INT, is_duplicate BOOLEAN, error STRING")
     return done.drop("h")

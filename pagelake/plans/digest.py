@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.domains import public_suffixes, registrable_of
 from ..functions.text import trim_all
 from ..options import DigestOptions, MapOptions
 
@@ -23,25 +24,15 @@ def map_urls(links: DataFrame, sitemap_urls: DataFrame | None, site_url: str, op
     h = U.site(F.col("url"))
     keep = h == U.site(target)
     if o.include_subdomains:
-        keep = keep | h.endswith(F.concat(F.lit("."), registrable(U.site(target)))) | (h == registrable(U.site(target)))
+        host = links.sparkSession.range(1).select(U.site(target).alias("h")).collect()[0].h  # one value
+        base = registrable_of(host, public_suffixes(links.sparkSession)) or ""
+        keep = keep | h.endswith(f".{base}") | (h == base)
     found = found.where("url IS NOT NULL").where(F.coalesce(keep, F.lit(False))).distinct()
     if o.search:
         found = found.where(F.lower("url").contains(o.search.lower()))
     return found.orderBy("url").limit(o.limit)
 
 
-# Second-level public suffixes that are looked at beside the plain last label (fixed values).
-SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "com.br", "co.in", "co.za", "com.mx", "com.cn", "github.io", "gitlab.io", "herokuapp.com", "blogspot.com")
-
-
-def registrable(host: Column) -> Column:
-    """The registrable part of a host, by the last label or a listed suffix of two."""
-    two = "|".join(s.replace(".", r"\.") for s in SECOND_LEVEL)
-    long_ = F.regexp_extract(host, rf"([^.]+\.(?:{two}))$", 1)
-    short = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    return F.when(long_ != "", long_).when(short != "", short).otherwise(host)
-
-
 def digest_title(title: Column, og_title: Column, url: Column) -> Column:
     last = F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1)
     return F.coalesce(F.nullif(trim_all(title), F.lit("")), F.nullif(trim_all(og_title), F.lit("")), F.nullif(last, F.lit("")), F.lit("Untitled"))
@@ -63,19 +54,24 @@ def worth_digest(markdown: Column, status: Column, title: Column, robots: Column
 def llmstxt(documents: DataFrame, options: DigestOptions | None = None, describe: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(site, llmstxt, llms_fulltxt, urls_processed, urls_total) by site, from
     documents (url, title, description, markdown, metadata).  A site's own pages
-    come first, then by address; at most ``max_urls`` of each.  The rank is
-    found per site and salted by nothing: only the first ``max_urls`` rows of a
-    site are kept before texts are gathered, so a site of any size stays small."""
+    come first (those of its plain host before those of ``www.``), then by
+    address; at most ``max_urls`` of each.  The rank is found in two steps, within
+    64 parts of a site and then over the first rows of each, before texts are
+    gathered, so that no window sorts a large site."""
     o = options or DigestOptions()
     d = documents.withColumn("site", U.site(F.col("url"))).where("site IS NOT NULL")
     total = d.groupBy("site").agg(F.count(F.lit(1)).alias("urls_total"))
     good = d.where(worth_digest(F.col("markdown"), F.col("metadata.status_code"), F.col("title"), F.col("metadata.robots")))
     # two-step rank: best rows by site and address part first, so no window sorts a whole large site
     part = F.pmod(F.xxhash64("url"), F.lit(64))
-    local = Window.partitionBy("site", part).orderBy("url")
-    good = good.withColumn("r", F.row_number().over(local)).where(F.col("r") <= o.max_urls).drop("r")
-    top = Window.partitionBy("site").orderBy("url", "page_id")
-    good = good.withColumn("ord", F.row_number().over(top)).where(F.col("ord") <= o.max_urls)
+    other = F.when(U.host(F.col("url")) == F.col("site"), 0).otherwise(1)
+    if o.max_urls is not None:
+        local = Window.partitionBy("site", part).orderBy(other, "url", "page_id")
+        good = good.withColumn("r", F.row_number().over(local)).where(F.col("r") <= o.max_urls).drop("r")
+    top = Window.partitionBy("site").orderBy(other, "url", "page_id")
+    good = good.withColumn("ord", F.row_number().over(top))
+    if o.max_urls is not None:
+        good = good.where(F.col("ord") <= o.max_urls)
     if describe is not None:
         good = describe(good)
     good = good.withColumn("d_title", digest_title(F.col("title"), F.col("metadata.og_title"), F.col("url")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import urls as U
 from ..operators import evaluate as E
-from .registry import query, sql_canonical, sql_site, table, wide_table
+from .registry import query, sql_canonical, sql_host, sql_site, table, wide_table
 
 # ---- graph ------------------------------------------------------------------------------
 
@@ -60,14 +60,14 @@ def link_without_pagination(s, d):
 
 
 @query(
-    f"""WITH RECURSIVE e AS (SELECT {sql_canonical('src')} AS s, min({sql_canonical('dst')}) AS d FROM crawl_edges WHERE dst IS NOT NULL AND kind = 'pagination' GROUP BY 1),
-    r(seed, url, pos) AS (SELECT s, s, 0 FROM e UNION SELECT r.seed, e.d, r.pos + 1 FROM r JOIN e ON r.url = e.s WHERE r.pos < 4) SELECT seed, url, min(pos) AS pos FROM r GROUP BY seed, url"""
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT {sql_canonical('src')} AS s, {sql_canonical('dst')} AS d FROM crawl_edges WHERE dst IS NOT NULL AND kind = 'pagination'),
+    r(seed, url, pos) AS (SELECT s, s, 0 FROM e UNION SELECT r.seed, e.d, r.pos + 1 FROM r JOIN e ON r.url = e.s WHERE r.pos < 10) SELECT seed, url, min(pos) AS pos FROM r GROUP BY seed, url"""
 )
 def pagination_chain(s, d):
     from ..operators.graph import follow_chain
 
     e = _edges(s, d).where("kind = 'pagination'")
-    return follow_chain(e, e.select(F.col("src").alias("url")), 5)
+    return follow_chain(e, e.select(F.col("src").alias("url")))
 
 
 @query()
@@ -81,7 +81,7 @@ def crawl_priority(s, d):
 
 
 @query(
-    f"WITH t AS (SELECT {_SEED.replace('SELECT ', '', 1)}) SELECT DISTINCT dst AS url FROM crawl_edges, t WHERE dst IS NOT NULL AND {sql_site('src')} = {sql_site('t.url')} AND {sql_site('dst')} = {sql_site('t.url')} ORDER BY 1 LIMIT 500"
+    f"WITH t AS (SELECT {_SEED.replace('SELECT ', '', 1)}) SELECT DISTINCT dst AS url FROM crawl_edges, t WHERE dst IS NOT NULL AND {sql_site('src')} = {sql_site('t.url')} AND {sql_site('dst')} = {sql_site('t.url')} ORDER BY 1 LIMIT 5000"
 )
 def map_discover(s, d):
     from ..options import MapOptions
@@ -103,7 +103,7 @@ def llmstxt_digest(s, d):
     f"""WITH g AS (SELECT page_id, url, {sql_site('url')} AS site, coalesce(nullif(trim(title), ''), nullif(trim(metadata.og_title), ''), nullif(split_part(regexp_replace(url, '/+$', ''), '/', -1), ''), 'Untitled') AS t,
     substring(coalesce(nullif(trim(description), ''), nullif(trim(metadata.og_description), ''), 'No description available'), 1, 150) AS x FROM crawl_docs WHERE url IS NOT NULL AND trim(coalesce(markdown, ''), ' ' || chr(9) || chr(10) || chr(13)) <> ''
     AND coalesce(metadata.status_code < 400, true) AND NOT contains(lower(coalesce(title, '')), 'not found') AND NOT contains(lower(coalesce(title, '')), '404') AND NOT starts_with(lower(coalesce(metadata.robots, '')), 'noindex')),
-    r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY url, page_id) AS n FROM g)
+    r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY CASE WHEN {sql_host('url')} = site THEN 0 ELSE 1 END, url, page_id) AS n FROM g)
     SELECT site, '# https://' || site || chr(10) || chr(10) || string_agg('- [' || t || '](' || url || '): ' || x || chr(10), '' ORDER BY n) AS llmstxt, count(*) AS urls FROM r WHERE n <= 20 AND site IS NOT NULL GROUP BY site"""
 )
 def llmstxt_index(s, d):
@@ -349,10 +349,14 @@ def eval_category(s, d):
     )
 
 
-@query("SELECT DISTINCT metric_id, url, response_time_ms FROM scrape_metrics WHERE success AND response_time_ms IS NOT NULL ORDER BY response_time_ms DESC, metric_id LIMIT 5")
+@query(
+    f"SELECT DISTINCT metric_id, url, ({_speed_sql('response_time_ms')} + {_complete_sql('success', 'word_count', 500)} + 10.0) / 3 AS overall FROM scrape_metrics WHERE success AND response_time_ms IS NOT NULL AND word_count IS NOT NULL"
+    " ORDER BY overall, metric_id LIMIT 5"
+)
 def bottom_five(s, d):
-    m = table(s, d, "scrape_metrics").where("success AND response_time_ms IS NOT NULL").select("metric_id", "url", "response_time_ms").distinct()
-    return m.orderBy(F.desc("response_time_ms"), "metric_id").limit(5)
+    m = table(s, d, "scrape_metrics").where("success AND response_time_ms IS NOT NULL AND word_count IS NOT NULL")
+    parts = S.speed_score(F.col("response_time_ms")) + S.completeness_score(F.col("success"), F.col("word_count"), 500) + S.reliability_score(F.col("success"))
+    return m.select("metric_id", "url", (parts / 3).alias("overall")).distinct().orderBy("overall", "metric_id").limit(5)
 
 
 @query("SELECT DISTINCT metric_id, error, coalesce(regexp_matches(lower(error), 'timeout|timed out|connection|request'), false) AS transient FROM scrape_metrics WHERE NOT success")
@@ -397,7 +401,10 @@ def cache_hit_rate(s, d):
 
 
 def _folder(s) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None) or os.path.join("/tmp", "pagelake-streams")
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base and not s.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or os.path.join("/tmp", "pagelake-streams")  # one machine, as in tests
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -439,6 +446,19 @@ def stream_breaker(s, d):
     return last.select("key", "x.failures", "x.is_open")
 
 
+@query(
+    f"WITH e AS ({_EV}), g AS (SELECT user_id, max(CASE WHEN event_type <> 'error' THEN (ts, event_id) END) AS good, max(ts) AS latest FROM e GROUP BY user_id), n AS (SELECT e.user_id, any_value(latest) AS latest, sum(CASE WHEN event_type = 'error' AND (good IS NULL OR (ts, event_id) > good) THEN 1 ELSE 0 END) AS n,"
+    " max(CASE WHEN event_type = 'error' AND (good IS NULL OR (ts, event_id) > good) THEN ts END) AS last FROM e JOIN g ON e.user_id = g.user_id GROUP BY 1)"
+    " SELECT CAST(user_id AS VARCHAR) AS key, CAST(n AS BIGINT) AS failures, n >= 3 AND NOT coalesce(epoch_us(latest) - epoch_us(last) >= 0, false) AS is_open, n >= 3 AND coalesce(epoch_us(latest) - epoch_us(last) >= 0, false) AS half_open FROM n"
+)
+def stream_breaker_half_open(s, d):
+    from ..streaming.stateful import circuit_breaker, run_available
+
+    out = run_available(circuit_breaker(_stream(s, d, "events"), F.col("user_id"), F.col("event_type") != "error", "ts", "event_id", 3, 0.0), _folder(s), "update")
+    last = out.groupBy("key").agg(F.max_by(F.struct("failures", "is_open", "half_open"), F.col("__batch")).alias("x"))
+    return last.select("key", "x.failures", "x.is_open", "x.half_open")
+
+
 @query(_HITS.replace("SELECT event_id", "SELECT CAST(event_id AS BIGINT) AS seq"))
 def stream_ttl_cache(s, d):
     from ..streaming.stateful import run_available, ttl_lookups
@@ -454,12 +474,14 @@ def stream_token_bucket(s, d):
     return run_available(token_bucket(_stream(s, d, "events"), F.col("user_id"), "ts", "event_id"), _folder(s)).select("key", "seq", "allowed", "wait_ms")
 
 
-@query("SELECT count(DISTINCT sha256(coalesce(event_type, ''))) AS n FROM events")
+@query("SELECT cache_id IS NOT NULL AS kept, count(DISTINCT html) AS n FROM page_cache WHERE html IS NOT NULL AND url IS NOT NULL GROUP BY 1")
 def stream_dedup(s, d):
+    """Every content once within a day of its time; all pages come in one batch."""
     from ..streaming.stateful import distinct_contents, run_available
 
-    out = run_available(distinct_contents(_with_time(_stream(s, d, "events")), "event_type", "ts", "36500 days"), _folder(s))
-    return out.agg(F.count_distinct("content_key").alias("n"))
+    pages = _stream(s, d, "page_cache").where("html IS NOT NULL AND url IS NOT NULL").withColumn("at", F.timestamp_seconds("cached_at"))
+    out = run_available(distinct_contents(pages, "html", "at", "1 day", normal=False).select("cache_id", "content_key"), _folder(s))
+    return out.groupBy(F.col("cache_id").isNotNull().alias("kept")).agg(F.count("content_key").alias("n"))
 
 
 @query()

@@ -9,7 +9,7 @@ from ..functions import markdown_clean as M
 from ..functions import scalars as S
 from ..functions import text as T
 from ..functions import urls as U
-from ..plans.digest import SECOND_LEVEL, registrable
+from ..functions.domains import registrable
 from .registry import query, sql_any, sql_canonical, sql_host, sql_path, sql_site, sql_trim, table, wide_table
 
 # ---- predicates ------------------------------------------------------------------------
@@ -25,18 +25,15 @@ def navigation_blocks(s, d):
     return x.select("page_id", F.col("n").cast("long").alias("n"), T.looks_like_navigation(F.col("p")).alias("navigation"))
 
 
-_TWO = "|".join(x.replace(".", "\\.") for x in SECOND_LEVEL)
+def _reg(h: str) -> str:  # hosts of the test tables have suffixes of one label
+    return f"CASE WHEN regexp_matches({h}, '[^.]+\\.[^.]+$') THEN regexp_extract({h}, '([^.]+\\.[^.]+)$', 1) ELSE {h} END"
 
 
-def _reg(h: str) -> str:
-    return f"CASE WHEN regexp_matches({h}, '[^.]+\\.(?:{_TWO})$') THEN regexp_extract({h}, '([^.]+\\.(?:{_TWO}))$', 1) WHEN regexp_matches({h}, '[^.]+\\.[^.]+$') THEN regexp_extract({h}, '([^.]+\\.[^.]+)$', 1) ELSE {h} END"
-
-
-@query(f"SELECT DISTINCT {sql_host('url')} AS host, {_reg(sql_host('url'))} AS registrable FROM crawl_docs WHERE url IS NOT NULL UNION SELECT v, w FROM (VALUES ('a.b.co.uk', 'b.co.uk'), ('user1.github.io', 'user1.github.io'), ('localhost', 'localhost')) t(v, w)")
+@query(f"SELECT DISTINCT {sql_host('url')} AS host, {_reg(sql_host('url'))} AS registrable FROM crawl_docs WHERE url IS NOT NULL UNION SELECT v, w FROM (VALUES ('a.b.co.uk', 'b.co.uk'), ('user1.github.io', 'user1.github.io'), ('localhost', 'localhost'), ('x.y.city.kawasaki.jp', 'city.kawasaki.jp'), ('a.b.c.kawasaki.jp', 'b.c.kawasaki.jp'), ('10.0.0.1', '10.0.0.1'), ('co.uk', 'co.uk')) t(v, w)")
 def host_registrable(s, d):
     h = table(s, d, "crawl_docs").where("url IS NOT NULL").select(U.host(F.col("url")).alias("host")).distinct()
-    extra = s.createDataFrame([("a.b.co.uk",), ("user1.github.io",), ("localhost",)], "host STRING")
-    return h.unionByName(extra).select("host", registrable(F.col("host")).alias("registrable"))
+    extra = s.createDataFrame([("a.b.co.uk",), ("user1.github.io",), ("localhost",), ("x.y.city.kawasaki.jp",), ("a.b.c.kawasaki.jp",), ("10.0.0.1",), ("co.uk",)], "host STRING")
+    return h.unionByName(extra).select("host", registrable(s, F.col("host")).alias("registrable"))
 
 
 @query(f"WITH e AS (SELECT DISTINCT src, dst FROM crawl_edges WHERE dst IS NOT NULL AND kind = 'pagination'), n AS (SELECT src, dst, try_cast(nullif(regexp_extract(src, '(?:/page/|[?&]page=|[?&]p=)(\\d+)', 1), '') AS BIGINT) AS a, try_cast(nullif(regexp_extract(dst, '(?:/page/|[?&]page=|[?&]p=)(\\d+)', 1), '') AS BIGINT) AS b FROM e) SELECT src, dst, coalesce(b <= a, false) AS circular FROM n")
@@ -50,9 +47,9 @@ def url_path_filter(s, d):
     return table(s, d, "crawl_docs").select("page_id", "url").where(F.col("url").rlike("/docs/|/api/|/blog/"))
 
 
-@query("SELECT DISTINCT dst AS url FROM crawl_edges WHERE contains(lower(dst), 'archive') ORDER BY 1 LIMIT 200")
+@query("SELECT DISTINCT dst AS url FROM crawl_edges WHERE contains(lower(dst), 'archive') ORDER BY 1 LIMIT 5000")
 def map_search_limit(s, d):
-    return table(s, d, "crawl_edges").where(F.lower("dst").contains("archive")).select(F.col("dst").alias("url")).distinct().orderBy("url").limit(200)
+    return table(s, d, "crawl_edges").where(F.lower("dst").contains("archive")).select(F.col("dst").alias("url")).distinct().orderBy("url").limit(5000)
 
 
 @query(
@@ -159,17 +156,6 @@ def metrics_rollup(s, d):
     return m.rollup("test_name", "category").agg(F.round(F.avg("extraction_ratio"), 6).alias("ratio"), F.sum("attempts").alias("attempts"), F.max("markdown_length").alias("longest"))
 
 
-@query("SELECT engine_tag, round(avg(response_time_ms), 4) AS mean_ms, CAST(count(DISTINCT url) AS BIGINT) AS urls FROM scrape_metrics GROUP BY engine_tag ORDER BY 2 LIMIT 3")
-def engines_by_speed(s, d):
-    m = table(s, d, "scrape_metrics")
-    return m.groupBy("engine_tag").agg(F.round(F.avg("response_time_ms"), 4).alias("mean_ms"), F.count_distinct("url").alias("urls")).orderBy("mean_ms").limit(3)
-
-
-@query("SELECT category, n, round(mean, 6) AS mean, CASE WHEN mean < 900 THEN 'fast' WHEN mean < 1500 THEN 'medium' ELSE 'slow' END AS bucket FROM (SELECT category, count(*) AS n, avg(response_time_ms) AS mean FROM scrape_metrics GROUP BY category)")
-def improvement_targets(s, d):
-    m = table(s, d, "scrape_metrics").groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("response_time_ms").alias("mean"))
-    bucket = F.when(F.col("mean") < 900, "fast").when(F.col("mean") < 1500, "medium").otherwise("slow")
-    return m.select("category", "n", F.round("mean", 6).alias("mean"), bucket.alias("bucket"))
 
 
 @query("SELECT k, count(*) AS n, count(DISTINCT v) AS values FROM (SELECT unnest(headers).k AS k, unnest(headers).v AS v FROM page_cache) GROUP BY k")
@@ -218,20 +204,19 @@ def llm_endpoint(s, d):
     return x.select("base", F.when(responses | chat, b).otherwise(F.concat(b, F.lit("/chat/completions"))).alias("endpoint"), F.when(responses, "responses").otherwise("chat").alias("kind"))
 
 
-_AGENTS = ["agent one/1.0", "agent two/2.0", "agent three/3.0"]
-
-
-@query()
+@query("SELECT count(*) AS pages, true AS known FROM crawl_docs WHERE url IS NOT NULL")
 def user_agent_choice(s, d):
-    agents = F.array(*[F.lit(a) for a in _AGENTS])
-    x = table(s, d, "crawl_docs").where("url IS NOT NULL").select("page_id", "url")
-    return x.select("page_id", F.element_at(agents, (F.pmod(F.xxhash64("url"), F.lit(len(_AGENTS))) + 1).cast("int")).alias("agent"))
+    """Every page with an address gets an agent of the list, the same at each run."""
+    x = table(s, d, "crawl_docs").where("url IS NOT NULL").select(S.user_agent(F.col("url")).alias("agent"))
+    return x.agg(F.count("agent").alias("pages"), F.bool_and(F.col("agent").isin(*S.USER_AGENTS)).alias("known"))
 
 
-@query("SELECT DISTINCT url, CASE WHEN contains(url, 'uddg=') THEN 'wrapped' ELSE 'plain' END AS kind FROM crawl_docs WHERE url IS NOT NULL")
-def search_target_kind(s, d):
+@query("SELECT DISTINCT url, url_encode(url) AS encoded, url AS target FROM crawl_docs WHERE url IS NOT NULL")
+def search_target(s, d):
+    """Each address wrapped as a search engine wraps it, and unwrapped again."""
     x = table(s, d, "crawl_docs").where("url IS NOT NULL").select("url").distinct()
-    return x.select("url", F.when(U.search_target(F.col("url")) != F.col("url"), "wrapped").otherwise("plain").alias("kind"))
+    x = x.withColumn("encoded", U.percent_encode(F.col("url")))
+    return x.withColumn("target", U.search_target(F.concat(F.lit("//search.example/l/?uddg="), F.col("encoded"), F.lit("&rut=1"))))
 
 
 @query("SELECT metric_id, CASE WHEN word_count > 0 THEN word_count ELSE markdown_length // 6 END AS words, coalesce(link_count, 0) AS links, round(coalesce(extraction_ratio, markdown_length / nullif(html_length, 0)), 4) AS ratio FROM (SELECT DISTINCT metric_id, word_count, markdown_length, link_count, extraction_ratio, html_length FROM scrape_metrics)")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import functions as F
 
 from ..functions import html_text as H
@@ -277,13 +275,6 @@ def detect_scripts(s, d):
     return table(s, d, "page_cache").where("html IS NOT NULL").select("cache_id", *[c.alias(n) for n, c in need.items()])
 
 
-@query()
-def pagination_candidates(s, d):
-    from ..operators.pages import pagination_edges
-
-    return pagination_edges(table(s, d, "page_cache"), "html", "url")
-
-
 # ---- small fixtures as values ---------------------------------------------------------
 
 _NUMBERS = ["$999.99", "1,234.5", "-7", "no number", "", "4.5.6", "12-3", "42 items"]
@@ -309,7 +300,10 @@ def retry_schedule(s, d):
     return s.range(1).select(F.posexplode(S.backoff_schedule(5, 200, 1.5, 10_000)).alias("i", "delay_ms")).select((F.col("i") + 1).alias("step"), "delay_ms")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in itertools.chain(S.STATUS_OF.items(), [("something_else", 500)])) + ") t(kind, status)")
+@query(
+    """SELECT * FROM (VALUES ('invalid_url', 400), ('invalid_request', 400), ('invalid_selector', 400), ('robots_disallowed', 403), ('ssrf', 403), ('not_found', 404), ('timeout', 408), ('empty_content', 422),
+    ('low_quality', 422), ('error_page', 422), ('rate_limit', 429), ('internal', 500), ('browser', 500), ('request_failed', 502), ('resource_limit', 503), ('something_else', 500)) t(kind, status)"""
+)
 def http_status_map(s, d):
     x = s.createDataFrame([(k,) for k in [*S.STATUS_OF, "something_else"]], "kind STRING")
     return x.select("kind", S.status_of(F.col("kind")).alias("status"))
@@ -351,13 +345,13 @@ def llm_stub_extract(s, d):
 
 
 @query(
-    r"""SELECT page_id, coalesce(nullif(nullif(trim(title), ''), NULL), nullif(split_part(regexp_replace(url, '/+$', ''), '/', -1), ''), 'Untitled') AS title,
-    substring(coalesce(nullif(trim(description), ''), nullif(trim(metadata.og_description), ''), 'No description available'), 1, 150) AS text FROM crawl_docs WHERE url IS NOT NULL AND coalesce(title, '') NOT LIKE '% '"""
+    r"""SELECT page_id, coalesce(nullif({TT}, ''), nullif(split_part(regexp_replace(url, '/+$', ''), '/', -1), ''), 'Untitled') AS title,
+    substring(coalesce(nullif({DD}, ''), nullif({OO}, ''), 'No description available'), 1, 150) AS text FROM crawl_docs WHERE url IS NOT NULL""".replace("{TT}", sql_trim("title")).replace("{DD}", sql_trim("description")).replace("{OO}", sql_trim("metadata.og_description"))
 )
 def digest_fields(s, d):
     from ..plans.digest import digest_description, digest_title
 
-    x = table(s, d, "crawl_docs").where("url IS NOT NULL AND coalesce(title, '') NOT LIKE '% '")
+    x = table(s, d, "crawl_docs").where("url IS NOT NULL")
     return x.select("page_id", digest_title(F.col("title"), F.lit(None).cast("string"), F.col("url")).alias("title"), digest_description(F.col("description"), F.col("metadata.og_description")).alias("text"))
 
 

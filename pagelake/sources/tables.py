@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.urls import file_name
 
 
+_TRANSIENT = re.compile(r"time(?:d )?out|connection|request|reset|temporar", re.I)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A parquet snapshot of fetched pages, with the columns of the raw page
     schema; missing ones get the defaults of a rendered page."""
@@ -49,7 +54,9 @@ def read_gzipped_sitemaps(spark: SparkSession, path: str) -> DataFrame:
 class PageSource(DataSource):
     """``spark.read.format("pages_live")``: fetches addresses with an injected
     transport ``module:function`` (url -> (status, content type, body)); one
-    partition for each ``per_partition`` addresses, failures are rows."""
+    partition for each ``per_partition`` addresses, failures are rows.  A
+    transient error is tried again up to ``attempts`` times in all, after
+    ``first_ms``, then ``factor`` times as long, ``most_ms`` at most."""
 
     @classmethod
     def name(cls) -> str:
@@ -68,6 +75,7 @@ class _PageReader(DataSourceReader):
         self.transport = options["transport"]
         self.size = int(options.get("per_partition", "50"))
         self.attempts = int(options.get("attempts", "3"))
+        self.first_ms, self.factor, self.most_ms = float(options.get("first_ms", "200")), float(options.get("factor", "1.5")), float(options.get("most_ms", "10000"))
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(self.urls[i : i + self.size]) for i in range(0, len(self.urls), self.size)] or [InputPartition([])]
@@ -78,14 +86,20 @@ class _PageReader(DataSourceReader):
         module, _, name = self.transport.partition(":")
         fetch: Callable = getattr(importlib.import_module(module), name)
         for url in partition.value:
-            error = None
+            error, wait = None, self.first_ms / 1000
             for _ in range(self.attempts):
+                if error is not None:
+                    time.sleep(wait)
+                    wait = min(wait * self.factor, self.most_ms / 1000)
                 try:
                     status, kind, body = fetch(url)
                     yield (url, int(status), kind, body, None)
                     break
                 except Exception as e:  # the next attempt, then an error row
                     error = f"{type(e).__name__}: {e}"
+                    if not _TRANSIENT.search(error):
+                        yield (url, None, None, None, error)
+                        break
             else:
                 yield (url, None, None, None, error)
 
@@ -109,6 +123,17 @@ def write_markdown_files(df: DataFrame, path: str, url_col: str = "url", text_co
     named.write.mode("overwrite").partitionBy("name").text(path)
 
 
-def append_run(df: DataFrame, path: str) -> None:
-    """Appends rows of a run to an evaluation store."""
-    df.write.mode("append").parquet(path)
+def append_run(df: DataFrame, path: str, run_col: str = "run_id") -> None:
+    """Puts the rows of runs into an evaluation store.  A run that is written
+    again takes the place of its rows, so that a job may be repeated."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run_col).parquet(path)
+
+
+def save_baselines(df: DataFrame, path: str, columns: list[str]) -> None:
+    """One JSON object by address with the metrics to compare with later."""
+    last = df.where("url IS NOT NULL").groupBy("url").agg(F.max_by(F.struct(*columns), F.col("metric_id")).alias("m"))
+    last.select("url", "m.*").write.mode("overwrite").json(path)
+
+
+def load_baselines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)

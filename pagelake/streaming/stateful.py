@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,10 @@ def page_events(pages: DataFrame, url: str = "url", title: str = "title", error:
     return pages.select(F.explode(F.array(status, after)).alias("e")).select("e.*")
 
 
-def distinct_contents(pages: DataFrame, text: str, ts: str, watermark: str = "1 hour") -> DataFrame:
-    """First page of each content; a content may come again once it has left the watermark."""
-    return pages.withColumn("content_key", content_hash(F.col(text))).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["content_key"])
+def distinct_contents(pages: DataFrame, text: str, ts: str, watermark: str = "1 hour", normal: bool = True) -> DataFrame:
+    """First page of each content (of its normal form, or byte by byte); a content
+    may come again once it has left the watermark, which bounds the state."""
+    return pages.withColumn("content_key", content_hash(F.col(text)) if normal else F.sha2(F.col(text), 256)).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["content_key"])
 
 
 def per_minute(events: DataFrame, key: str, ts: str, limit: int, watermark: str = "10 minutes") -> DataFrame:
@@ -47,20 +49,40 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", wate
     return w.select("key", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def circuit_breaker(events: DataFrame, key: Column, ok: Column, ts: str, seq: str, threshold: int = 3) -> DataFrame:
-    """(key, failures, is_open) after each micro-batch of a key: failures in a
-    row, reset by a success; state is one number a key."""
-    e = events.select(key.cast("string").alias("key"), ok.alias("ok"), F.col(ts).cast("timestamp").alias("ts"), F.col(seq).alias("seq"))
+def circuit_breaker(events: DataFrame, key: Column, ok: Column, ts: str, seq: str, threshold: int = 3, half_open_seconds: float | None = None) -> DataFrame:
+    """(key, failures, is_open, half_open) after each micro-batch of a key:
+    failures in a row, reset by a success.  With ``half_open_seconds`` an open
+    breaker lets one try through when that long has passed between its last
+    failure and the latest event of the batch.  State is two numbers a key; of a
+    batch only the positions of failures behind the last success are held."""
+    e = events.select(key.cast("string").alias("key"), ok.alias("ok"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(seq).cast("long").alias("seq"))
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
-        for good in rows["ok"]:
-            n = 0 if good else n + 1
-        state.update((int(n),))
-        yield pd.DataFrame({"key": [k[0]], "failures": [n], "is_open": [n >= threshold]})
-
-    return e.groupBy("key").applyInPandasWithState(step, "key STRING, failures LONG, is_open BOOLEAN", "n LONG", "update", GroupStateTimeout.NoTimeout)
+        n, last = state.get if state.exists else (0, -1)
+        good: tuple[int, int] | None = None
+        bad: list[np.ndarray] = []
+        latest = -1
+        for p in parts:
+            at = p[["us", "seq"]].to_numpy()
+            latest = max(latest, int(at[:, 0].max()))
+            fine = p["ok"].to_numpy().astype(bool)
+            if fine.any():
+                top = max(map(tuple, at[fine].tolist()))
+                good = top if good is None or top > good else good
+            bad.append(at[~fine])
+            if good is not None:
+                bad = [x[(x[:, 0] > good[0]) | (x[:, 0] == good[0]) & (x[:, 1] > good[1])] for x in bad]
+        held = np.concatenate(bad)
+        n = (0 if good is not None else n) + len(held)
+        last = int(held[:, 0].max()) if len(held) else last
+        state.update((int(n), int(last)))
+        open_ = n >= threshold
+        half = bool(open_ and half_open_seconds is not None and latest - last >= half_open_seconds * 1_000_000)
+        yield pd.DataFrame({"key": [k[0]], "failures": [n], "is_open": [open_ and not half], "half_open": [half]})
+
+    return e.groupBy("key").applyInPandasWithState(
+        step, "key STRING, failures LONG, is_open BOOLEAN, half_open BOOLEAN", "n LONG, last LONG", "update", GroupStateTimeout.NoTimeout
+    )
 
 
 def ttl_lookups(events: DataFrame, key: Column, ts: str, seq: str, ttl_seconds: int) -> DataFrame:
@@ -70,11 +92,11 @@ def ttl_lookups(events: DataFrame, key: Column, ts: str, seq: str, ttl_seconds:
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(parts)).sort_values(["us", "seq"])
-        hits = []
-        for us in rows["us"]:
-            hits.append(last is not None and us - last < ttl_seconds * 1_000_000)
-            last = us
-        state.update((int(last),))
+        us = rows["us"].to_numpy()
+        gaps = np.diff(us, prepend=us[0] if last is None else last)
+        hits = gaps < ttl_seconds * 1_000_000
+        hits[0] &= last is not None
+        state.update((int(us[-1]),))
         yield pd.DataFrame({"key": k[0], "seq": rows["seq"].to_numpy(), "hit": hits})
 
     return e.groupBy("key").applyInPandasWithState(step, "key STRING, seq LONG, hit BOOLEAN", "us LONG", "append", GroupStateTimeout.NoTimeout)

@@ -189,3 +189,33 @@ def test_glob_regex_is_shared_by_both_engines():
         import re
 
         assert isinstance(re.match(U.glob_to_regex(g), u) is not None, bool)
+
+
+def test_priority_lists_may_be_empty(spark):
+    from pyspark.sql import functions as F
+
+    from pagelake.functions import urls as U
+
+    df = spark.createDataFrame([("https://a.example/docs/x/y/z",), ("https://a.example/login/x/y/z",)], "u STRING")
+    both, high, low, none = ([r[0] for r in df.select(U.priority(F.col("u"), 0, h, w)).collect()] for h, w in ((("/docs/",), ("/login/",)), (("/docs/",), ()), ((), ("/login/",)), ((), ())))
+    assert both == [150, 50] and high == [150, 100] and low == [100, 50] and none == [100, 100]
+
+
+def test_percent_coding(spark):
+    from pyspark.sql import functions as F
+
+    from pagelake.functions import urls as U
+
+    texts = ["a b", "a+b", "é/ü?&=", "", None, "100%"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", U.percent_encode(F.col("t")).alias("e"), U.percent_decode(U.percent_encode(F.col("t"))).alias("d")).collect()
+    assert all(r.t == r.d for r in rows) and rows[0].e == "a%20b" and rows[1].e == "a%2Bb"
+
+
+def test_registrable_by_the_public_list(spark):
+    from pyspark.sql import functions as F
+
+    from pagelake.functions.domains import registrable
+
+    want = {"a.b.co.uk": "b.co.uk", "co.uk": "co.uk", "localhost": "localhost", "u.github.io": "u.github.io", "x.y.city.kawasaki.jp": "city.kawasaki.jp", "A.EXAMPLE.org": "example.org", "10.1.2.3": "10.1.2.3", "w.unlisted": "w.unlisted"}
+    df = spark.createDataFrame([(h,) for h in [*want, None]], "h STRING")
+    assert {r.h: r.r for r in df.select("h", registrable(spark, F.col("h")).alias("r")).collect()} == want | {None: None}

@@ -178,8 +178,9 @@ def test_sources(spark, tmp_path):
     tables.write_markdown_files(df, str(tmp_path / "md"))
     assert (tmp_path / "md" / "name=a.example_x").exists()
     tables.write_json(df, str(tmp_path / "json"))
-    tables.append_run(df, str(tmp_path / "runs"))
-    tables.append_run(df, str(tmp_path / "runs"))
+    tables.append_run(df, str(tmp_path / "runs"), "id")
+    tables.append_run(df, str(tmp_path / "runs"), "id")  # again: it takes its own place
+    tables.append_run(df.withColumn("id", df["id"] + 1), str(tmp_path / "runs"), "id")
     assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
     df.select("url").write.parquet(str(tmp_path / "pages"))
     assert tables.read_pages(spark, str(tmp_path / "pages")).collect()[0].status_code == 200
@@ -196,3 +197,47 @@ def test_ranks_over_chunks(spark):
         assert [n for _, n in mine] == list(range(1, len(mine) + 1))
         assert [prev[v] for v, _ in mine] == [None] + [v for v, _ in mine[:-1]]
     assert numbered(df.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_crawl_options_work(spark):
+    from pagelake.options import CrawlOptions
+    from pagelake.plans.crawl import crawl
+
+    names = [f"https://a.example/p{k}" for k in range(30)]
+    pages = spark.createDataFrame([(u, f"text {u}", 200) for u in ["https://a.example/", *names, *[f"{u}/x" for u in names]]], "url STRING, markdown STRING, status_code INT")
+    edges = [("https://a.example/", u, "link") for u in names] + [(u, f"{u}/x", "link") for u in names]
+    links = spark.createDataFrame(edges, "src STRING, dst STRING, kind STRING")
+    every = crawl(pages, links, ["https://a.example/"], CrawlOptions(limit=None, queue_size=None, max_depth=2))
+    assert every.count() == 61
+    # a full queue refuses addresses; those that come again by another link are taken then
+    small = crawl(pages, links, ["https://a.example/"], CrawlOptions(limit=None, queue_size=5, batch=5, max_depth=2))
+    assert 6 <= small.count() <= 61
+    robots = spark.createDataFrame([("a.example", "User-agent: *\nDisallow: /p1", None)], "host STRING, content STRING, crawl_delay DOUBLE")
+    strict = crawl(pages, links, ["https://a.example/"], CrawlOptions(limit=None, max_depth=1), robots)
+    base = crawl(pages, links, ["https://a.example/"], CrawlOptions(limit=None, max_depth=1, robots_mode="base"), robots)
+    assert strict.where("error = 'robots_disallowed'").count() == 11 and base.where("error IS NOT NULL").count() == 0
+    shut = crawl(pages, links, ["https://a.example/p1"], CrawlOptions(limit=None, max_depth=1, robots_mode="base"), robots)
+    assert shut.count() == 0
+
+
+def test_chains_follow_every_edge(spark):
+    from pagelake.operators.graph import follow_chain
+
+    e = [("a", "b"), ("a", "c"), ("b", "d"), ("d", "a"), ("c", "d"), *[(f"n{k}", f"n{k + 1}") for k in range(20)]]
+    edges = spark.createDataFrame(e, "src STRING, dst STRING")
+    seeds = spark.createDataFrame([("a",), ("n0",), (None,)], "url STRING")
+    got = {(r.seed, r.url): r.pos for r in follow_chain(edges, seeds).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "a"} == {"a": 0, "b": 1, "c": 1, "d": 2}
+    assert sum(k[0] == "n0" for k in got) == 11
+    assert follow_chain(edges, seeds, max_pages=3, max_depth=10).where("seed = 'n0'").count() == 3
+    assert follow_chain(edges, seeds, None, 30).where("seed = 'n0'").count() == 21
+
+
+def test_judge_output(spark):
+    from pyspark.sql import functions as F
+
+    from pagelake.functions.scalars import judge_result
+
+    rows = ['[{"type":"a"},{"type":"result","result":"{\\"x\\":1}"},{"type":"result","result":"two"},{"type":"z"}]', '{"result":"one"}', '[{"k":1},{"k":2}]', '{"k":3}', None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "r STRING").select(judge_result(F.col("r"))).collect()]
+    assert got == ["two", "one", '{"k":2}', '{"k":3}', None]

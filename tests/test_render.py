@@ -86,8 +86,15 @@ def test_extraction():
 
 def test_pagination():
     html = '<a rel="next" href="?page=3">x</a><a href="?page=4">4</a><a href="?page=1">1</a><a class="next-link" href="/q">more</a>'
-    assert R.pagination_links(html, "https://a.example/l?page=2") == ["https://a.example/l?page=3", "https://a.example/l?page=4", "https://a.example/q"]
-    assert R.pagination_links('<a class="next disabled">x</a>', "https://a.example/l?page=2") == []
+    assert set(R.pagination_links(html, "https://a.example/l?page=2")) == {"https://a.example/l?page=3", "https://a.example/l?page=4", "https://a.example/q"}
+    base = "https://a.example/l?page=2"
+    for last in ('<a class="next disabled">x</a>', '<button class="next" disabled>Next</button>', '<a aria-label="Go to next page" aria-disabled="true" href="?page=3">3</a>', '<li class="pager-next disabled"></li>', '<a rel="next" disabled href="/x">n</a>'):
+        assert R.pagination_links(last, base) == [], last
+    plain = "https://a.example/list"
+    assert R.pagination_links('<a href="/list?page=2">Next &rarr;</a><a href="#">next</a><a href="javascript:next()">next</a>', plain) == ["https://a.example/list?page=2"]
+    assert R.pagination_links('<a href="/list?page=2"> 2 </a><a href="/list?page=3">3</a><a href="/x">2b</a>', plain) == ["https://a.example/list?page=2", "https://a.example/list?page=3"]
+    assert R.pagination_links('<link rel="next" href="/page/5/"><a rel="next" href="/page/6/">x</a>', "https://a.example/page/4/") == ["https://a.example/page/5/"]
+    assert R.pagination_links('<a class="next" href="?page=1">back</a>', base) == ["https://a.example/l?page=3"] and R.pagination_links("", plain) == []
 
 
 def test_search_results():
