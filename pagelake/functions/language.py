@@ -17,12 +17,23 @@ COMMON = {
     "sv": "och att det som en på är av för inte",
     "pl": "się nie na że do jest przez oraz są co",
     "ru": "и в не на что с по это как для",
+    "uk": "і та що це як для від або є він",
+    "tr": "ve bir bu için ile çok olarak daha gibi olan",
+    "da": "og af det er ikke til som på med der",
+    "fi": "ja on ei se että oli hän mutta kun ovat",
+    "cs": "se je že na jsou které jako ale pro byl",
+    "ro": "și în cu pe din este care sunt mai pentru",
+    "hu": "az és hogy nem egy van volt csak még mint",
+    "vi": "và của là có trong cho được không các một",
 }
+# Languages with a script of their own, looked at in this order (fixed values).
+SCRIPTS = {"ja": "ぁ-ヿ", "ko": "가-힣", "zh": "一-鿿", "ar": "؀-ۿ", "hi": "ऀ-ॿ", "el": "Ͱ-Ͽ", "he": "֐-׿", "th": "฀-๿"}
 
 
 def guess(text: Column, least: int = 3) -> Column:
-    """Two-letter code by script (Japanese, Russian) or by the most common words
-    found; null for less than ``least`` of them, for null and empty texts."""
+    """Two-letter code of 26 languages: by script, where it makes up more than a
+    fifth of the text, else by the most common words found; null for less than
+    ``least`` of them, for null and empty texts."""
     words = F.split(F.lower(text), r"[^\p{L}]+")
 
     def hits(common: str) -> Column:
@@ -30,5 +41,8 @@ def guess(text: Column, least: int = 3) -> Column:
 
     scores = [F.struct(hits(v).alias("n"), F.lit(k).alias("lang")) for k, v in COMMON.items()]
     best = F.array_max(F.array(*scores))
-    kana = F.length(F.regexp_replace(text, r"[^ぁ-ヿ]", ""))
-    return F.when(kana * 5 > F.length(text), F.lit("ja")).when(best["n"] >= least, best["lang"])
+    out: Column | None = None
+    for code, letters in SCRIPTS.items():
+        found = F.length(F.regexp_replace(text, f"[^{letters}]", "")) * 5 > F.length(text)
+        out = F.when(found, F.lit(code)) if out is None else out.when(found, F.lit(code))
+    return out.when(best["n"] >= least, best["lang"])

@@ -165,7 +165,7 @@ def md_residual_plain(s, d):
     return x.join(plain, "page_id", "left_semi").select("page_id", "markdown")
 
 
-@query(f"SELECT DISTINCT {sql_site('dst')} AS host, regexp_extract({sql_site('dst')}, '([^.]+\.)?[^.]+$') AS registrable FROM crawl_edges WHERE {sql_site('dst')} IS NOT NULL")
+@query(f"SELECT DISTINCT {sql_site('dst')} AS host, regexp_extract({sql_site('dst')}, '([^.]+[.])?[^.]+$') AS registrable FROM crawl_edges WHERE {sql_site('dst')} IS NOT NULL")
 def hosts_registrable(s, d):
     """Registrable part of every host that is linked to, by the public list."""
     from ..functions.domains import registrable

@@ -263,12 +263,13 @@ def json_envelope(s, d):
 
 
 def _guess_sql() -> str:
-    from ..functions.language import COMMON
+    from ..functions.language import COMMON, SCRIPTS
 
     n = {k: f"len(list_filter(w, lambda x: x IN ({', '.join(chr(39) + v + chr(39) for v in words.split())})))" for k, words in COMMON.items()}
     best = "greatest(" + ", ".join(n.values()) + ")"
     ladder = " ".join(f"WHEN {n[k]} = {best} THEN '{k}'" for k in sorted(n, reverse=True))
-    return f"SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^ぁ-ヿ]', '', 'g')) * 5 > length(text) THEN 'ja' WHEN {best} >= 3 THEN CASE {ladder} END END AS lang FROM (SELECT doc_id, text, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM documents)"
+    scripts = " ".join(f"WHEN length(regexp_replace(text, '[^{r}]', '', 'g')) * 5 > length(text) THEN '{k}'" for k, r in SCRIPTS.items())
+    return f"SELECT doc_id, CASE {scripts} WHEN {best} >= 3 THEN CASE {ladder} END END AS lang FROM (SELECT doc_id, text, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM documents)"
 
 
 @query(_guess_sql())

@@ -219,3 +219,18 @@ def test_registrable_by_the_public_list(spark):
     want = {"a.b.co.uk": "b.co.uk", "co.uk": "co.uk", "localhost": "localhost", "u.github.io": "u.github.io", "x.y.city.kawasaki.jp": "city.kawasaki.jp", "A.EXAMPLE.org": "example.org", "10.1.2.3": "10.1.2.3", "w.unlisted": "w.unlisted"}
     df = spark.createDataFrame([(h,) for h in [*want, None]], "h STRING")
     assert {r.h: r.r for r in df.select("h", registrable(spark, F.col("h")).alias("r")).collect()} == want | {None: None}
+
+
+def test_language_guess_of_26_codes(spark):
+    from pyspark.sql import functions as F
+
+    from pagelake.functions.language import COMMON, SCRIPTS, guess
+
+    said = {
+        "en": "the cat and the dog of that house was here", "de": "der Hund und die Katze sind nicht mit dem Kind", "tr": "bu ev çok güzel ve bir bahçe için", "fi": "hän on täällä mutta se ei ole että", "cs": "že se to je jako pes ale jsou",
+        "ro": "casa este în oraș și cu pe care", "hu": "az és hogy nem egy ház van", "vi": "và của là có trong", "da": "det er ikke til som af", "uk": "це та що він як", "ja": "これはほんです", "ko": "안녕하세요 여러분", "zh": "今天天气很好", "ar": "مرحبا بالعالم", "hi": "नमस्ते दुनिया",
+        "el": "καλημέρα κόσμε", "he": "שלום עולם", "th": "สวัสดีชาวโลก",
+    }
+    assert len(COMMON) + len(SCRIPTS) == 26
+    got = {r.k: r.g for r in spark.createDataFrame([*said.items(), ("none", "xq zz"), ("empty", ""), ("null", None)], "k STRING, t STRING").select("k", guess(F.col("t")).alias("g")).collect()}
+    assert got == {k: k for k in said} | {"none": None, "empty": None, "null": None}
