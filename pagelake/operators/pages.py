@@ -15,6 +15,7 @@ from ..options import ExtractOptions, InvalidOption, ScrapeOptions
 from . import render
 from .arrow import map_rows, pick, spread
 from .htmltree import parse
+from .readability import article as readable
 
 _META = ("title", "description", "language", "keywords", "robots", "og_title", "og_description", "og_url", "og_image", "url", "canonical_url")
 
@@ -134,7 +135,8 @@ def engine_choice(pages: DataFrame, id_col: str = "page_id", threshold: int = 10
 
 
 def article(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(row_id, title, text) of the main part of each page, without markup."""
+    """(row_id, title, text) of the article of each page, found by the scores of
+    its paragraphs, without markup; the main part where no paragraph scores."""
 
     def one(h: str | None) -> tuple[str | None, str | None]:
         if not h:
@@ -142,7 +144,8 @@ def article(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
         root = parse(h)
         title = render.select_first(root, "h1") or render.select_first(root, "title")
         name = " ".join(title.text().split()) if title is not None else None
-        blocks = render.Renderer().blocks(render.main_content(root, len(h)))
+        found = readable(root)
+        blocks = [b for e in found for b in render.Renderer().blocks(e)] if found else render.Renderer().blocks(render.main_content(root, len(h)))
         text = "\n\n".join(b.lstrip("# ") for b in blocks)
         return name or None, text or None
 

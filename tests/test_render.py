@@ -114,3 +114,17 @@ def test_odd_pages(html):
     R.metadata(html)
     R.tables(html)
     R.content_quality(html)
+
+
+def test_article_by_scores():
+    from pagelake.operators.htmltree import parse
+    from pagelake.operators.readability import article
+
+    prose = "The bridge was measured by hand, compared with the plan, and found to be safe, which pleased the town."
+    menu = "<nav><ul>" + "".join(f"<li><a href='/{k}'>A long entry of the menu number {k}</a></li>" for k in range(20)) + "</ul></nav>"
+    side = f"<div class='sidebar'><p>{prose}</p></div>"
+    page = f"<body>{menu}{side}<div class='wrap'><div class='post-content'><h2>Bridge</h2>" + f"<p>{prose}</p>" * 5 + "</div></div><footer><p>" + prose + "</p></footer></body>"
+    got = article(parse(page))
+    text = " ".join(e.text() for e in got)
+    assert text.count("measured") == 5 and "menu" not in text
+    assert article(parse("<p>short</p>")) == [] and article(parse("")) == []
