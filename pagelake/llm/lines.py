@@ -1,9 +1,13 @@
 """Block rules that split a page into main body and boilerplate, line by line.
 
 Two passes.  Pass one classifies every line on its own from stop-word density,
-length, link density and cue words.  Pass two lets the ambiguous short lines
-(list items, link lines, small headings, labels) take the label of the nearest
-decided neighbour.  The same engine serves Markdown and HTML: both are reduced
+length and link density; cue words add what these can't tell, mostly bylines,
+dates and prompts in the middle of a body.  Pass two lets the ambiguous lines
+take a label from those around them: behind the last strong paragraph (several
+sentences, or one of ``STRONG_CHARS``) link lines, headings that lead to no text,
+short lines and single sentences after them are boilerplate; elsewhere list
+items, link lines, small headings and labels follow the nearest decided
+neighbour.  The same engine serves Markdown and HTML: both are reduced
 to the visible text of a line plus a few flags.  Pure Python, no Spark.
 """
 
@@ -14,8 +18,9 @@ import re
 
 from .lexicon import ALL_STOP, BYLINE_RE, CUE_RE, NAV_LABELS, RELATED_RE
 
-BLANK, PROSE, CUE, RELATED, NAV, LINKS, H1, HEAD, SHORT, SOLID, LABEL, ITEM, BREAK = range(13)
-GOOD_ANCHORS = frozenset((PROSE, H1, SOLID))
+BLANK, PROSE, CUE, RELATED, NAV, LINKS, H1, HEAD, SHORT, SOLID, LABEL, ITEM, BREAK, WEAK = range(14)
+STRONG_CHARS = 160
+GOOD_ANCHORS = frozenset((PROSE, WEAK, H1, SOLID))
 BAD_ANCHORS = frozenset((RELATED, NAV))
 CACHE_ROWS = 200_000
 
@@ -32,8 +37,10 @@ _HIDDEN_END = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "
 _A_OPEN = re.compile(r"<a\b[^<>]*>", re.I)
 _A_CLOSE = re.compile(r"</a\s*>", re.I)
 _URLLINE = re.compile(r"^<?https?://\S+>?$")
+_SENTENCE = re.compile(r"[.!?](?:[\"'”’»)*_]*\s|[\"'”’»)*_]*$)|[。！？]")
 _SEP = re.compile(r"\s*[|·•/]\s*")
 _EMPH = "*_ \t"
+_MARKUP = tuple("{}|[\\=!<>»`#-")
 
 
 def find_links(text: str) -> list[tuple[int, int, str, str]]:
@@ -123,7 +130,9 @@ def _kind(text: str, link_chars: int, n_links: int, level: int, item: bool, quot
     if item:
         return PROSE if len(core) > 60 and stop_density(core) > 0.2 else ITEM
     if len(core) >= 40 and density < 0.5 and stop_density(core) >= 0.15:
-        return PROSE
+        return PROSE if quote or item or len(core) >= STRONG_CHARS or len(_SENTENCE.findall(core)) > 1 else WEAK
+    if quote or core[:1] in _MARKUP or sum(map(core.count, ",;、")) > 2 and stop_density(core) < 0.1:
+        return ITEM  # quotations, enumerations and lines of other markup belong to what stands around them
     return SHORT
 
 
@@ -273,6 +282,29 @@ def html_kinds(text: str) -> tuple[list[str], list[int]]:
 _LISTY = frozenset((LINKS, LABEL, ITEM))
 
 
+def _tail(kinds: list[int]) -> set[int]:
+    """Boilerplate behind the last strong paragraph."""
+    strong = sum(k == PROSE for k in kinds)
+    if not strong:
+        return set()
+    last = max(i for i, k in enumerate(kinds) if k in (PROSE, SOLID, ITEM))
+    rest = [i for i in range(last + 1, len(kinds)) if kinds[i] not in (BLANK, BREAK)]
+    short = sum(kinds[i] == SHORT for i in rest)
+    room = short <= 2 * strong  # a body of short lines has few strong ones
+    out: set[int] = set()
+    left = False  # behind a line that leads away
+    for at, i in enumerate(rest):
+        k = kinds[i]
+        left = left or k in _LINKY and k != CUE
+        after = kinds[rest[at + 1]] if at + 1 < len(rest) else BLANK
+        if k in _LINKY or k == HEAD and after in (LINKS, SHORT, LABEL, CUE, WEAK) or k == SHORT and room or k == WEAK and left:
+            out.add(i)
+    return out
+
+
+_LINKY = frozenset((LINKS, NAV, LABEL, CUE, RELATED))
+
+
 def main_flags(kinds: list[int]) -> list[bool | None]:
     """Pass two.  True: main body, False: boilerplate, None: no text."""
     n = len(kinds)
@@ -282,8 +314,9 @@ def main_flags(kinds: list[int]) -> list[bool | None]:
         if k == H1:
             first_h1 = i
             break
-    if first_h1 >= 0 and sum(k == PROSE for k in kinds[:first_h1]) >= 3:
+    if first_h1 >= 0 and sum(k == PROSE or k == WEAK for k in kinds[:first_h1]) >= 3:
         first_h1 = -1
+    tail = _tail(kinds)
     anchor: list[int] = [0] * n  # 1 good, -1 bad, 0 undecided
     related = 0  # 1 after a related heading, 2 inside its list
     for i, k in enumerate(kinds):
@@ -291,9 +324,10 @@ def main_flags(kinds: list[int]) -> list[bool | None]:
             if related == 2:
                 related = 0
             continue
-        if i < first_h1:
-            anchor[i] = -1
+        if i < first_h1 or i in tail:
             out[i] = False
+            if i < first_h1 or k in _LINKY:
+                anchor[i] = -1
             continue
         if related:
             if k in _LISTY:
@@ -351,4 +385,4 @@ def main_flags(kinds: list[int]) -> list[bool | None]:
 
 def main_body(markdown: str) -> tuple[list[str], list[int], list[bool | None]]:
     lines, kinds = markdown_kinds(markdown)
-    return lines, kinds, main_flags(kinds)
+    return lines, [PROSE if k == WEAK else k for k in kinds], main_flags(kinds)

@@ -241,3 +241,17 @@ def test_findings_come_from_the_content_subtrees():
     assert html_findings(f"<body>{menu}{prose}{menu}</body>")[0] == []
     marks, nodes = html_findings(f"<body>{menu}{prose}<div><p>{PROSE} **bold** {PROSE}</p><p>{PROSE}</p></div></body>")
     assert marks == ["markdown"] and all(n.tag != "ul" for n in nodes)
+
+
+def test_block_rules_find_the_tail_without_cue_words():
+    """No list knows these words: the body ends with its last strong paragraph,
+    and what density and length tell apart behind it is boilerplate."""
+    body = f"# Bridges\n\n{PROSE} {PROSE}\n\n- one pipe\n- two pipes\n\n{PROSE} {PROSE}"
+    tail = "### Qorvat zil\n\n- [Bormu tal](https://a.example/1)\n- [Zelna kor](https://a.example/2)\n\nVebra dol nam\n\nThis is the place where all of the marks are held by those who made them."
+    lines, _, flags = main_body(f"{body}\n\n{tail}")
+    assert all(f is not False for f in flags[: body.count("\n") + 1])
+    assert all(f is False for x, f in list(zip(lines, flags))[body.count("\n") + 1 :] if x)
+    listy = "# Pipes\n\n" + f"{PROSE} {PROSE}\n\n" + "\n".join(f"pipe number {k} of iron" for k in range(9))
+    assert all(f is not False for f in main_body(listy)[2])
+    quoted = f"{body}\n\n> a short quotation\n\nred, green, blue, yellow, black"
+    assert all(f is not False for f in main_body(quoted)[2])
