@@ -234,13 +234,14 @@ def is_error_page(html: Column, status: Column) -> Column:
 
 def quality_error(html: Column, markdown: Column, status: Column) -> Column:
     """Why a page fails the quality gate; null where it passes."""
+    return quality_error_of(text_density(html) < 0.05, is_error_page(html, status), markdown, status)
+
+
+def quality_error_of(sparse: Column, error_page: Column, markdown: Column, status: Column) -> Column:
+    """The same from what was seen of the page before."""
     good = F.coalesce(((status >= 200) & (status < 300)) | (status == 304), F.lit(False))
     size = F.coalesce(F.octet_length(trim_all(markdown)), F.lit(0))
-    return (
-        F.when(size <= 100, F.lit("empty_content"))
-        .when((text_density(html) < 0.05) & ~good, F.lit("low_quality"))
-        .when(is_error_page(html, status), F.lit("error_page"))
-    )
+    return F.when(size <= 100, F.lit("empty_content")).when(sparse & ~good, F.lit("low_quality")).when(error_page, F.lit("error_page"))
 
 
 def is_thin(html: Column, least: int = 100) -> Column:

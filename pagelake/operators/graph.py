@@ -13,9 +13,22 @@ from pyspark.sql import functions as F
 from .arrow import save_point
 
 
+def _by_source(edges: DataFrame) -> DataFrame:
+    """Distinct edges, saved in the partitions that joins on the source want, so
+    that no round shuffles them again."""
+    conf = edges.sparkSession.conf
+    n, adaptive = int(conf.get("spark.sql.shuffle.partitions")), conf.get("spark.sql.adaptive.enabled")
+    distinct = save_point(edges.distinct())
+    conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan would forget the layout
+    try:
+        return save_point(distinct.repartition(n, "s"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int, src: str = "src", dst: str = "dst") -> DataFrame:
     """(url, depth): least number of links from any seed, up to ``max_depth``."""
-    e = save_point(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s IS NOT NULL AND d IS NOT NULL").distinct())
+    e = _by_source(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s IS NOT NULL AND d IS NOT NULL"))
     level = save_point(seeds.toDF("url").where("url IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
     out = level
     for depth in range(1, max_depth + 1):
@@ -41,7 +54,7 @@ def follow_chain(edges: DataFrame, seeds: DataFrame, max_pages: int | None = 50,
     least number of steps.  A page that comes again is not followed again; a seed
     that has ``max_pages`` pages (None: no bound) is followed no further, and no
     chain beyond ``max_depth`` steps."""
-    nxt = save_point(edges.select(F.col("src").alias("s"), F.col("dst").alias("d")).where("s IS NOT NULL AND d IS NOT NULL").distinct())
+    nxt = _by_source(edges.select(F.col("src").alias("s"), F.col("dst").alias("d")).where("s IS NOT NULL AND d IS NOT NULL"))
     level = save_point(seeds.select(F.col("url").alias("seed"), F.col("url")).where("url IS NOT NULL").distinct().withColumn("pos", F.lit(0)))
     out = level
     for pos in range(1, max_depth + 1):

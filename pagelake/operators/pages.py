@@ -20,6 +20,11 @@ from .readability import article as readable
 _META = ("title", "description", "language", "keywords", "robots", "og_title", "og_description", "og_url", "og_image", "url", "canonical_url")
 
 
+_SEEN = {
+    "seen_frameworks": "seen_frameworks ARRAY<STRING>", "seen_reason": "seen_reason STRING", "seen_ratio": "seen_ratio DOUBLE", "seen_sparse": "seen_sparse BOOLEAN", "seen_error": "seen_error BOOLEAN",
+}
+
+
 def to_markdown(df: DataFrame, id_col: str, html_col: str, url_col: str, options: ScrapeOptions | None = None) -> DataFrame:
     """(row_id, markdown): rendered, then cleaned.  Null HTML gives null."""
     o = options or ScrapeOptions()
@@ -49,7 +54,8 @@ def scrape(pages: DataFrame, options: ScrapeOptions | None = None, id_col: str =
     o = options or ScrapeOptions()
     inc, exc, main = list(o.include_tags), list(o.exclude_tags), o.only_main_content
     formats = set(o.formats)
-    fields = ["row_id BIGINT", "url STRING", "html STRING", "status_code INT", "content_type STRING", "md STRING", "link_list ARRAY<STRING>", "image_list ARRAY<STRING>"]
+    wants_html = bool(formats & {"html", "rawHtml"})
+    fields = ["row_id BIGINT", "url STRING", *(["html STRING"] if wants_html else []), *_SEEN.values(), "status_code INT", "content_type STRING", "md STRING", "link_list ARRAY<STRING>", "image_list ARRAY<STRING>"]
     fields += [f"m_{n} STRING" for n in _META]
 
     def run(b: dict[str, list]) -> dict[str, list]:
@@ -58,7 +64,8 @@ def scrape(pages: DataFrame, options: ScrapeOptions | None = None, id_col: str =
         out = {
             "row_id": b["i"],
             "url": b["u"],
-            "html": b["h"],
+            **({"html": b["h"]} if wants_html else {}),
+            **{n: b[n] for n in _SEEN},
             "status_code": b["s"],
             "content_type": b["c"],
             "link_list": [render.links(t, u or "") if "links" in formats and h else None for t, h, u in rows],
@@ -68,23 +75,28 @@ def scrape(pages: DataFrame, options: ScrapeOptions | None = None, id_col: str =
         return out | {"md": [render.to_markdown(h, u or "", main, inc, exc, t) if "markdown" in formats else None for t, h, u in rows]}
 
     # pages travel through the same batches, so no join brings their text together again
+    # and what the JVM reads of a page is read before, so that its HTML need not come back
     given = pick(pages, i=id_col, h="html", u="url", s="status_code", c="content_type").withColumn("s", F.col("s").cast("int"))
+    need = H.needs_scripts(F.col("h"))
+    given = given.withColumns({
+        "seen_frameworks": need["detected_frameworks"], "seen_reason": need["reason"], "seen_ratio": need["content_script_ratio"],
+        "seen_sparse": H.text_density(F.col("h")) < 0.05, "seen_error": H.is_error_page(F.col("h"), F.col("s")),
+    })
     d = map_rows(spread(given), run, ", ".join(fields))
     md = cap_size(clean(compress_tables(F.col("md"))))
     d = d.withColumn("markdown", md)
-    need = H.needs_scripts(F.col("html"))
     meta = F.struct(
         *[F.col(f"m_{n}").alias(n) for n in _META[:9]], F.col("url"), F.col("url").alias("source_url"), F.col("status_code").cast("int").alias("status_code"),
         F.col("content_type"), F.col("m_canonical_url").alias("canonical_url"), T.word_count(F.col("markdown")).alias("word_count"),
-        T.reading_time(F.col("markdown")).alias("reading_time"), T.excerpt(F.col("markdown")).alias("excerpt"), need["detected_frameworks"].alias("detected_frameworks"),
-        need["reason"].alias("detection_reason"), need["content_script_ratio"].alias("content_script_ratio"),
+        T.reading_time(F.col("markdown")).alias("reading_time"), T.excerpt(F.col("markdown")).alias("excerpt"), F.col("seen_frameworks").alias("detected_frameworks"),
+        F.col("seen_reason").alias("detection_reason"), F.col("seen_ratio").alias("content_script_ratio"),
     )
     null = F.lit(None).cast("string")
     return d.select(
         F.col("row_id").alias(id_col), F.col("m_title").alias("title"), F.col("m_description").alias("description"), "url", "markdown",
         (H.strip_non_content(F.col("html")) if "html" in formats else null).alias("html"), (F.col("html") if "rawHtml" in formats else null).alias("raw_html"),
         F.col("link_list").alias("links"), F.col("image_list").alias("images"), null.alias("screenshot"), meta.alias("metadata"),
-        (H.quality_error(F.col("html"), F.col("markdown"), F.col("status_code")) if "markdown" in formats else null).alias("quality_error"),
+        (H.quality_error_of(F.col("seen_sparse"), F.col("seen_error"), F.col("markdown"), F.col("status_code")) if "markdown" in formats else null).alias("quality_error"),
     )
 
 

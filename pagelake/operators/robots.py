@@ -77,8 +77,12 @@ def rules(content: str | None, agent: str = "*") -> list[tuple[bool, str]]:
 
 def is_allowed(content: str | None, path: str, agent: str = "*") -> bool:
     """The longest matching rule decides, allow before disallow; no rule allows."""
+    return allowed_by(rules(content, agent), path)
+
+
+def allowed_by(found: list[tuple[bool, str]], path: str) -> bool:
     best, allowed = -1, True
-    for ok, pattern in rules(content, agent):
+    for ok, pattern in found:
         rx = "^" + re.escape(pattern).replace(r"\*", ".*")
         rx = rx[:-2] + "$" if rx.endswith(r"\$") else rx
         if re.match(rx, path or "/") and (len(pattern) > best or len(pattern) == best and ok):
@@ -99,7 +103,11 @@ def robots_gate(pages: DataFrame, robots: DataFrame, url_col: str = "url", agent
     joined = keys.join(files, "h")
 
     def run(b: dict[str, list]) -> dict[str, list]:
-        return {"__u": b["u"], "robots_allowed": [is_allowed(c, p, agent) for c, p in zip(b["c"], b["p"], strict=True)]}
+        known: dict[str, list] = {}  # each file is read once a batch
+        for c in b["c"]:
+            if c not in known:
+                known[c] = rules(c, agent)
+        return {"__u": b["u"], "robots_allowed": [allowed_by(known[c], p) for c, p in zip(b["c"], b["p"], strict=True)]}
 
     verdict = map_rows(joined.select("u", "p", "c"), run, "__u STRING, robots_allowed BOOLEAN")
     return pages.join(verdict, u == verdict["__u"], "left").drop("__u").withColumn("robots_allowed", F.coalesce("robots_allowed", F.lit(True)))

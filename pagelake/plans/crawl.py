@@ -19,6 +19,9 @@ from ..operators.arrow import save_point
 from ..options import CrawlOptions
 
 
+COMPACT = 16  # rounds whose rows are put together into one table
+
+
 def crawl(pages: DataFrame, edges: DataFrame, seeds: list[str], options: CrawlOptions | None = None, robots: DataFrame | None = None) -> DataFrame:
     """(url, depth, priority, crawl_order, status_code, is_duplicate, error) of
     the visited pages.  ``pages``: url, markdown, status_code; ``edges``: src,
@@ -50,7 +53,7 @@ def crawl(pages: DataFrame, edges: DataFrame, seeds: list[str], options: CrawlOp
         frontier = save_point(judged.where("robots_allowed").drop("robots_allowed").select(*frontier.columns))
     done: DataFrame | None = None
     queued = frontier.select("url")
-    emitted = order = waiting = 0
+    emitted = order = waiting = rounds = 0
     while o.limit is None or emitted < o.limit:
         best = Window.orderBy(F.desc("priority"), "depth", "url")
         take = frontier.orderBy(F.desc("priority"), "depth", "url").limit(o.batch if o.limit is None else min(o.batch, o.limit - emitted))  # at most batch rows
@@ -76,7 +79,10 @@ def crawl(pages: DataFrame, edges: DataFrame, seeds: list[str], options: CrawlOp
             .when(F.col("status_code") >= 400, "error_page")
         )
         got = save_point(got.withColumn("error", error).select("url", "depth", "priority", "crawl_order", "status_code", "is_duplicate", "error", "h"))
-        done = got if done is None else save_point(done.unionByName(got))
+        rounds += 1
+        done = got if done is None else done.unionByName(got)  # rounds are added, each is saved once
+        if rounds % COMPACT == 0:
+            done, queued = save_point(done), save_point(queued)
         emitted += got.where("error IS NULL AND NOT is_duplicate").count()
         parents = got.where(F.col("error").isNull() & (F.col("depth") < o.max_depth)).select(F.col("url").alias("src"), "depth")
         found = links.join(parents, "src")
@@ -84,14 +90,14 @@ def crawl(pages: DataFrame, edges: DataFrame, seeds: list[str], options: CrawlOp
         if o.queue_size is not None and waiting >= o.backpressure * o.queue_size:  # a queue that is nearly full takes no leaves
             found = found.where((F.col("kind") == "pagination") | (F.col("depth") + 1 < o.max_depth))
         fresh = found.groupBy(F.col("dst").alias("url")).agg(depth.alias("depth")).join(queued, "url", "left_anti")
-        fresh = fresh.withColumn("priority", U.priority(F.col("url"), F.col("depth")))
+        fresh = save_point(fresh).withColumn("priority", U.priority(F.col("url"), F.col("depth")))
         rest = frontier.join(take.select("url"), "url", "left_anti").unionByName(fresh)
         rest = _without_broken(rest, done, o.breaker_threshold)
         kept = rest.orderBy(F.desc("priority"), "depth", "url").limit(o.queue_size) if o.queue_size is not None else rest
         frontier = save_point(kept)
         waiting = frontier.count()
         # an address that the full queue refused may come again by another link
-        queued = save_point(queued.unionByName(frontier.join(fresh.select("url"), "url", "left_semi").select("url")).distinct())
+        queued = queued.unionByName(save_point(frontier.join(fresh.select("url"), "url", "left_semi").select("url")))
     if done is None:
         return spark.createDataFrame([], "url STRING, depth INT, priority INT, crawl_order LONG, status_code INT, is_duplicate BOOLEAN, error STRING")
     return done.drop("h")
