@@ -88,6 +88,23 @@ class Block:
     code: bool
 
 
+REMEMBERED = 400  # characters of a block that is looked up, as many (menus, notices) come again and again
+_looked: dict[str, tuple[int, bool]] = {}
+
+
+def _looks(text: str) -> tuple[int, bool]:
+    """(letters, whether they are enough and no list, heading or link stands there)."""
+    got = _looked.get(text)
+    if got is None:
+        letters = sum(map(len, _LETTERS.findall(text)))
+        got = letters, letters >= MIN_LETTERS and not _MARKED.search(text) and not find_links(text)
+        if len(text) <= REMEMBERED:
+            if len(_looked) > 200_000:
+                _looked.clear()
+            _looked[text] = got
+    return got
+
+
 def blocks(markdown: str) -> list[Block]:
     """Runs of non-blank lines, numbered from 0."""
     out: list[Block] = []
@@ -98,9 +115,8 @@ def blocks(markdown: str) -> list[Block]:
         nonlocal run, run_code
         if run:
             text = "\n".join(run)
-            letters = sum(map(len, _LETTERS.findall(text)))
-            plain = letters >= MIN_LETTERS and not run_code and not _MARKED.search(text) and not find_links(text)
-            out.append(Block(len(out), text, letters, plain, run_code))
+            letters, plain = _looks(text)
+            out.append(Block(len(out), text, letters, plain and not run_code, run_code))
         run, run_code = [], fence
 
     for line in markdown.split("\n"):
@@ -156,6 +172,7 @@ class Crf:
 
     def __post_init__(self) -> None:
         self._ids: dict[str, int] = {}
+        self.shares: dict[str, np.ndarray | None] = {}  # languages of short blocks
         self._rows = np.zeros((4096, N), dtype=np.float32)
 
     def emission_ids(self, words: list[str]) -> list[int]:
@@ -176,9 +193,10 @@ class Crf:
         if len(self._ids) > 300_000:
             self._ids.clear()
 
-    def marginals(self, seqs: list[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
-        """(number of the sequence, marginals of its words in order), a long
-        sequence in several parts."""
+    def marginals(self, seqs: list[list[str]]) -> Iterator[tuple[list[tuple[int, list[int], int, int]], np.ndarray]]:
+        """Groups of (number of the sequence, words, first and end of those to
+        keep) with the marginals of their words; a long sequence comes in several
+        parts."""
         self.reset()
         parts: list[tuple[int, list[int], int, int]] = []  # sequence, words, those to keep
         for k, s in enumerate(seqs):
@@ -198,16 +216,17 @@ class Crf:
             flat = np.zeros((len(group), top), dtype=np.int64)
             for r, j in enumerate(group):
                 flat[r, : lens[r]] = parts[j][1]
-            m = _forward_backward(self._rows[flat], lens, a)[0]
-            for r, j in enumerate(group):
-                k, _, low, high = parts[j]
-                yield k, m[r, low:high]
+            yield [parts[j] for j in group], _forward_backward(self._rows[flat], lens, a)[0]
 
     def marginal_sums(self, seqs: list[list[str]]) -> np.ndarray:
         """(len(seqs), N): the sum of the words' marginals of each sequence."""
         out = np.zeros((len(seqs), N))
-        for k, m in self.marginals(seqs):
-            out[k] += m.sum(axis=0)
+        for group, m in self.marginals(seqs):
+            sums = m.sum(axis=1)  # zero behind the ends
+            for r, (_, part, low, high) in enumerate(group):
+                if low or high < len(part):
+                    sums[r] = m[r, low:high].sum(axis=0)
+            np.add.at(out, [k for k, *_ in group], sums)
         return out
 
     def segments(self, words: list[str]) -> list[tuple[int, int, str, float]]:
@@ -215,7 +234,7 @@ class Crf:
         language; runs of fewer than SEGMENT_WORDS go to the one before."""
         if not words:
             return []
-        m = np.concatenate([x for i in range(0, len(words), LONG) for _, x in self.marginals([words[i : i + LONG]])])
+        m = np.concatenate([x for i in range(0, len(words), LONG) for _, m in self.marginals([words[i : i + LONG]]) for x in m])
         best = m.argmax(axis=1)
         cuts = np.flatnonzero(np.r_[True, best[1:] != best[:-1]])
         runs = [[int(i), int(j), int(best[i])] for i, j in zip(cuts, np.r_[cuts[1:], len(best)], strict=True)]
@@ -380,31 +399,35 @@ def _named(share: np.ndarray) -> tuple[str, float]:
 
 def read_languages(texts: list[str], crf: Crf) -> list[Reading | None]:
     """Languages of records and of their blocks; None without letters."""
-    seqs: list[list[str]] = []
-    meta: list[list[tuple[Block, int]]] = []
-    for t in texts:
-        mine = []
-        for x in blocks(t):
-            if not x.code and (ws := words_of(x.text)):
-                mine.append((x, len(seqs)))
-                seqs.append(ws)
-        meta.append(mine)
-    sums = crf.marginal_sums(seqs)
+    held = crf.shares
+    if len(held) > 200_000:
+        held.clear()
+    fresh: dict[str, list[str]] = {}
+    meta = [[x for x in blocks(t) if not x.code] for t in texts]
+    for mine in meta:
+        for x in mine:
+            if x.text not in held and x.text not in fresh:
+                fresh[x.text] = words_of(x.text)
+    known = {t: ws for t, ws in fresh.items() if ws}
+    sums = crf.marginal_sums(list(known.values()))
+    here = dict.fromkeys(fresh) | dict(zip(known, sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-9), strict=True))
+    held.update((t, s) for t, s in here.items() if len(t) <= REMEMBERED)
     out: list[Reading | None] = []
     for mine in meta:
-        if not mine:
-            out.append(None)
-            continue
         total, foreign = np.zeros(N), 0
         parts = []
-        for x, k in mine:
-            s = sums[k]
-            share = s / max(s.sum(), 1e-9)
+        for x in mine:
+            share = here[x.text] if x.text in here else held[x.text]
+            if share is None:
+                continue
             total += share * x.letters
             lang, sure = _named(share)
             if lang == "ja" and len(_HAN.findall(x.text)) >= MIN_HAN and not _KANA.search(x.text):
                 lang, foreign = OTHER, foreign + x.letters  # Chinese
             parts.append((x.number, lang, sure, x.plain))
+        if not parts:
+            out.append(None)
+            continue
         lang, sure = _named(total / max(total.sum(), 1e-9))
         out.append(Reading(OTHER if lang == "ja" and 2 * foreign > total.sum() else lang, sure, parts))
     return out
