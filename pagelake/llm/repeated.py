@@ -174,18 +174,19 @@ class Shard:
             return []
         order, lcp = self.suffixes.order, self.suffixes.lcp
         length = 1
-        while True:
+        while length <= len(self.ids):
             run, docs = self._spans(length)
             starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
             ends = np.r_[starts[1:], len(run)]
             hits = np.flatnonzero((docs >= least) & (self.at[order[starts]] >= 0))
             if not len(hits):
-                return list(got.values())
+                break
             for k in hits.tolist():
                 i, j = int(starts[k]), int(ends[k])
                 full = int(lcp[i + 1 : j].min()) if j - i > 1 else length
                 got[i, j] = (int(order[i]), full, int(docs[k]))
             length *= 2
+        return list(got.values())
 
     def found(self, least: float) -> tuple[list[int], list[int]]:
         """(page, line number) of every line inside a block of at least
@@ -195,7 +196,7 @@ class Shard:
         covered = np.zeros(len(self.ids) + 1, dtype=np.int64)  # +1 where a block begins, -1 behind its end
         order, lcp = self.suffixes.order, self.suffixes.lcp
         length = 1
-        while True:
+        while length <= len(self.ids):
             run, docs = self._spans(length)
             wide = docs[run] >= least
             if not wide.any():

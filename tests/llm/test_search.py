@@ -141,3 +141,34 @@ def test_repeated_lines_equal_brute_force_with_and_without_shards(spark):
 
 def test_line_ids():
     assert line_ids("A b\n\n  a  B.\n12\n```\nA b\n```\na b 1\na b 22") == [line_ids("a b")[0], 0, line_ids("a b")[0], -1, -1, -1, -1, line_ids("a b 3")[0], line_ids("a b 3")[0]]
+
+
+def test_suffix_array_equals_brute_force():
+    import numpy as np
+
+    from pagelake.llm.repeated import Shard, SuffixArray
+
+    rnd = random.Random(2)
+    for _ in range(200):
+        ids = [rnd.randrange(4) for _ in range(rnd.randrange(1, 40))]
+        got = SuffixArray(np.array(ids))
+        assert got.order.tolist() == sorted(range(len(ids)), key=lambda i: ids[i:])
+        for k in range(1, len(ids)):
+            a, b = ids[got.order[k - 1] :], ids[got.order[k] :]
+            assert got.lcp[k] == next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    pages = [[5, 6, 7], [9, 5, 6, 7], [5, 6, 7, 1], [5, 6, 7, 2], []]
+    s = Shard([1, 2, 3, 4, 5], pages)
+    assert s.blocks(4)[0][1:] == (3, 4)  # three lines in four documents, found through their common prefix
+    assert sorted(zip(*s.found(4), strict=True)) == [(1, 0), (1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 0), (3, 1), (3, 2), (4, 0), (4, 1), (4, 2)]
+    assert s.found_ids(4).tolist() == [5, 6, 7] and Shard([1], [[]]).found(1) == ([], []) and Shard([], []).blocks(1) == []
+
+
+def test_repeated_blocks_over_a_table(spark):
+    from pagelake.llm.repeated import repeated_blocks
+
+    block = "Legal notice of the house\nAll prices in crowns\nWritten on paper"
+    rows = [(k, f"Page {'abcdefgh'[k]} alone\n\n{block}\n\nEnd {'abcdefgh'[k]}" if k < 6 else None, "https://a.example/") for k in range(8)]
+    df = spark.createDataFrame(rows, "page_id LONG, markdown STRING, url STRING")
+    got = repeated_blocks(df, "page_id", "markdown", "url").collect()
+    assert max((r.lines, r.docs) for r in got) == (3, 6) and {r.source for r in got} == {"a.example"}
+    assert repeated_blocks(df.limit(0), "page_id", "markdown", "url").count() == 0
