@@ -20,6 +20,7 @@ from .lexicon import ALL_STOP, BYLINE_RE, CUE_RE, NAV_LABELS, RELATED_RE
 
 BLANK, PROSE, CUE, RELATED, NAV, LINKS, H1, HEAD, SHORT, SOLID, LABEL, ITEM, BREAK, WEAK = range(14)
 STRONG_CHARS = 160
+SHORT_CHARS = 80
 GOOD_ANCHORS = frozenset((PROSE, WEAK, H1, SOLID))
 BAD_ANCHORS = frozenset((RELATED, NAV))
 CACHE_ROWS = 200_000
@@ -40,7 +41,7 @@ _URLLINE = re.compile(r"^<?https?://\S+>?$")
 _SENTENCE = re.compile(r"[.!?](?:[\"'”’»)*_]*\s|[\"'”’»)*_]*$)|[。！？]")
 _SEP = re.compile(r"\s*[|·•/]\s*")
 _EMPH = "*_ \t"
-_MARKUP = tuple("{}|[\\=!<>»`#-")
+_MARKUP = tuple("{}|[\\=!<>»`#$-")
 
 
 def find_links(text: str) -> list[tuple[int, int, str, str]]:
@@ -131,8 +132,8 @@ def _kind(text: str, link_chars: int, n_links: int, level: int, item: bool, quot
         return PROSE if len(core) > 60 and stop_density(core) > 0.2 else ITEM
     if len(core) >= 40 and density < 0.5 and stop_density(core) >= 0.15:
         return PROSE if quote or item or len(core) >= STRONG_CHARS or len(_SENTENCE.findall(core)) > 1 else WEAK
-    if quote or core[:1] in _MARKUP or sum(map(core.count, ",;、")) > 2 and stop_density(core) < 0.1:
-        return ITEM  # quotations, enumerations and lines of other markup belong to what stands around them
+    if quote or len(core) > SHORT_CHARS or core[:1] in _MARKUP or sum(map(core.count, ",;、")) > 2 and stop_density(core) < 0.1:
+        return ITEM  # quotations, enumerations, long runs of words and lines of other markup belong to what stands around them
     return SHORT
 
 
@@ -290,13 +291,16 @@ def _tail(kinds: list[int]) -> set[int]:
     last = max(i for i, k in enumerate(kinds) if k in (PROSE, SOLID, ITEM))
     rest = [i for i in range(last + 1, len(kinds)) if kinds[i] not in (BLANK, BREAK)]
     short = sum(kinds[i] == SHORT for i in rest)
-    room = short <= 2 * strong  # a body of short lines has few strong ones
+    room = short <= 2 * strong  # a body of short lines has few strong ones,
+    some = sum(kinds[i] in (LINKS, SHORT, ITEM) for i in rest) <= 6 * strong  # and so has a body of links
     out: set[int] = set()
     left = False  # behind a line that leads away
     for at, i in enumerate(rest):
         k = kinds[i]
         left = left or k in _LINKY and k != CUE
         after = kinds[rest[at + 1]] if at + 1 < len(rest) else BLANK
+        if k == LINKS and not some:
+            continue
         if k in _LINKY or k == HEAD and after in (LINKS, SHORT, LABEL, CUE, WEAK) or k == SHORT and room or k == WEAK and left:
             out.add(i)
     return out
@@ -326,7 +330,7 @@ def main_flags(kinds: list[int]) -> list[bool | None]:
             continue
         if i < first_h1 or i in tail:
             out[i] = False
-            if i < first_h1 or k in _LINKY:
+            if i < first_h1 or k in (LINKS, NAV, RELATED):
                 anchor[i] = -1
             continue
         if related:
