@@ -187,6 +187,15 @@ def user_agent(seed: Column) -> Column:
 # ---- replies of a language model -----------------------------------------------
 
 
+def llm_endpoint(base: Column) -> Column:
+    """(endpoint, kind) of a model's API: an address of responses or of chat
+    completions stays, any other is a base of chat completions."""
+    b = F.regexp_replace(base, "/+$", "")
+    responses, chat = b.endswith("/responses"), b.endswith("/chat/completions")
+    endpoint = F.when(responses | chat, b).otherwise(F.concat(b, F.lit("/chat/completions")))
+    return F.struct(endpoint.alias("endpoint"), F.when(responses, "responses").otherwise("chat").alias("kind"))
+
+
 def strip_fence(reply: Column) -> Column:
     t = F.regexp_replace(reply, r"^[ \t\r\n]*```[A-Za-z]*[ \t]*\n?", "")
     return F.regexp_replace(F.regexp_replace(t, r"\n?[ \t]*```[ \t\r\n]*$", ""), r"^[ \t\r\n]+|[ \t\r\n]+$", "")

@@ -276,11 +276,39 @@ PRIVATE_NAMES = ("localhost", "metadata.google.internal", "169.254.169.254", "me
 PRIVATE_NETS = r"^(10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|255\.255\.255\.255$|192\.0\.2\.|198\.51\.100\.|203\.0\.113\.)"
 
 
+_GROUP = "[0-9a-f]{1,4}"
+
+
+def ipv6_groups(h: Column) -> Column:
+    """The eight groups of an IPv6 literal (in brackets or bare, ``::`` filled in,
+    a dotted tail as two groups) as numbers; null for anything else."""
+    a = F.lower(F.regexp_replace(h, r"^\[|\]$|%.*$", ""))
+    tail = F.regexp_extract(a, r":(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", 0)
+    parts = [F.regexp_extract(a, r":(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", k).try_cast("int") for k in (1, 2, 3, 4)]
+    hexed = F.concat(F.lit(":"), F.lower(F.hex(parts[0] * 256 + parts[1])), F.lit(":"), F.lower(F.hex(parts[2] * 256 + parts[3])))
+    a = F.when(tail != "", F.concat(F.regexp_replace(a, r":[0-9.]+$", ""), hexed)).otherwise(a)
+    n = F.size(F.filter(F.split(a, ":"), lambda x: x != ""))
+    zeros = F.array_join(F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), ":")
+    full = F.when(a.contains("::"), F.concat_ws(":", F.nullif(F.regexp_extract(a, "^(.*?)::", 1), F.lit("")), F.nullif(zeros, F.lit("")), F.nullif(F.regexp_extract(a, "::(.*)$", 1), F.lit("")))).otherwise(a)
+    return F.when(full.rlike(rf"^{_GROUP}(:{_GROUP}){{7}}$"), F.transform(F.split(full, ":"), lambda x: F.conv(x, 16, 10).cast("int")))
+
+
+def is_private_ipv6(h: Column) -> Column:
+    """Loopback, unspecified, unique local (fc00::/7), link local (fe80::/10) and
+    mapped private IPv4 addresses."""
+    g = ipv6_groups(h)
+    first, lead = F.get(g, 0), F.forall(F.slice(g, 1, 7), lambda x: x == 0)
+    here = lead & F.get(g, 7).isin(0, 1)
+    v4 = F.concat_ws(".", *[F.floor(F.get(g, k) / 256).cast("string") if hi else (F.get(g, k) % 256).cast("string") for k in (6, 7) for hi in (True, False)])
+    mapped = F.forall(F.slice(g, 1, 5), lambda x: x == 0) & (F.get(g, 5) == 65535) & v4.rlike(PRIVATE_NETS)
+    return F.coalesce(here | first.between(0xFC00, 0xFDFF) | first.between(0xFE80, 0xFEBF) | mapped, F.lit(False))
+
+
 def is_private_target(url: Column) -> Column:
     """Literal private addresses and internal names, or no web address at all."""
     h = host(url)
     names = "|".join(n.replace(".", r"\.") for n in PRIVATE_NAMES)
-    internal = h.rlike(rf"(^|\.)({names})$") | h.rlike(PRIVATE_NETS) | h.rlike(r"^\[(::1|fe[89ab][0-9a-f]|f[cd][0-9a-f]{2})")
+    internal = h.rlike(rf"(^|\.)({names})$") | h.rlike(PRIVATE_NETS) | is_private_ipv6(h)
     return F.coalesce(internal, F.lit(False)) | ~is_http(url)
 
 

@@ -67,6 +67,21 @@ def improvement_targets(winners: DataFrame, dimensions: list[str], adv: Column)
     return d.select("url", "category", F.round("advantage", 6).alias("advantage"), weak.alias("weak_dimensions"), rank.alias("priority"))
 
 
+def metric_rows(documents: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """The row of scrape metrics of each document (url, markdown, html, links,
+    images, title, description, metadata): lengths in bytes, null texts as empty."""
+    from ..functions.text import word_count
+
+    status = F.col("metadata.status_code")
+    size, raw = F.octet_length(F.coalesce("markdown", F.lit(""))), F.octet_length(F.coalesce("html", F.lit("")))
+    return documents.select(
+        F.col(id_col).alias("metric_id"), "url", F.coalesce(status < 400, F.lit(False)).alias("success"), status.alias("status_code"), size.cast("long").alias("markdown_length"),
+        raw.cast("long").alias("html_length"), F.try_divide(size.cast("double"), raw.cast("double")).alias("extraction_ratio"), word_count(F.col("markdown")).alias("word_count"),
+        F.sha2("markdown", 256).alias("content_hash"), F.coalesce(F.trim("title") != "", F.lit(False)).alias("has_title"), F.coalesce(F.trim("description") != "", F.lit(False)).alias("has_description"),
+        F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("link_count"), F.coalesce(F.size("images"), F.lit(0)).cast("long").alias("image_count"),
+    )
+
+
 def content_drift(df: DataFrame) -> DataFrame:
     """Addresses with more than one run and more than one content."""
     return df.where("url IS NOT NULL").groupBy("url").agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("content_hash").alias("contents")).where("runs > 1 AND contents > 1")

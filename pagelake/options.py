@@ -54,6 +54,25 @@ class ScrapeOptions:
             check_selector(s)
 
 
+ACTIONS = ("click", "type", "scroll", "wait")
+MAX_ACTIONS, MAX_WAIT_MS, MAX_CONCURRENCY = 50, 30_000, 10
+
+
+def check_actions(actions: tuple[dict, ...]) -> None:
+    """Steps of a browser as a request may name them (they are checked, not run)."""
+    check(len(actions) <= MAX_ACTIONS, f"at most {MAX_ACTIONS} actions")
+    for a in actions:
+        check(a.get("type") in ACTIONS, f"unknown action: {a.get('type')!r}")
+        if a["type"] in ("click", "type"):
+            check_selector(a.get("selector", ""))
+        if a["type"] == "wait":
+            check(0 <= int(a.get("milliseconds", 0)) <= MAX_WAIT_MS, f"a wait is 0 to {MAX_WAIT_MS} ms")
+
+
+def check_concurrency(n: int) -> None:
+    check(1 <= n <= MAX_CONCURRENCY, f"concurrency is 1 to {MAX_CONCURRENCY}")
+
+
 @dataclass(frozen=True)
 class CrawlOptions:
     max_depth: int = 2

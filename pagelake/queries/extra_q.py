@@ -10,7 +10,7 @@ from ..functions import urls as U
 from ..operators import evaluate as E
 from .data_q import _ADV, _WINNERS, _folder, _winners
 from .pages_q import _PLAIN
-from .registry import query, sql_canonical, sql_site, table, wide_table
+from .registry import query, sql_canonical, sql_site, sql_words, table, wide_table
 
 _NUMBER = "try_cast(nullif(regexp_extract({u}, '(?:/page/|[?&](?:page|p)=)([0-9]+)', 1), '') AS BIGINT)"
 
@@ -149,6 +149,15 @@ def page_thin(s, d):
     return wide_table(s, d, "page_cache").select("cache_id", H.is_thin(F.col("html")).alias("thin"))
 
 
+@query(
+    f"""SELECT page_id AS metric_id, url, coalesce(metadata.status_code < 400, false) AS success, metadata.status_code AS status_code, CAST(octet_length(encode(coalesce(markdown, ''))) AS BIGINT) AS markdown_length,
+    CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS html_length, octet_length(encode(coalesce(markdown, ''))) / nullif(CAST(octet_length(encode(coalesce(html, ''))) AS DOUBLE), 0) AS extraction_ratio, {sql_words('markdown')} AS word_count,
+    sha256(markdown) AS content_hash, coalesce(trim(title) <> '', false) AS has_title, coalesce(trim(description) <> '', false) AS has_description, CAST(coalesce(len(links), 0) AS BIGINT) AS link_count, CAST(coalesce(len(images), 0) AS BIGINT) AS image_count FROM crawl_docs"""
+)
+def metric_rows(s, d):
+    return E.metric_rows(table(s, d, "crawl_docs"))
+
+
 @query()
 def md_residual_clean(s, d):
     """Markdown of the crawl without the HTML that is left in it (golden tests)."""

@@ -198,10 +198,8 @@ _ENDPOINTS = {
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in _ENDPOINTS.items()) + ") t(base, endpoint, kind)")
 def llm_endpoint(s, d):
-    b = F.regexp_replace("base", "/+$", "")
-    responses, chat = b.endswith("/responses"), b.endswith("/chat/completions")
     x = s.createDataFrame([(k,) for k in _ENDPOINTS], "base STRING")
-    return x.select("base", F.when(responses | chat, b).otherwise(F.concat(b, F.lit("/chat/completions"))).alias("endpoint"), F.when(responses, "responses").otherwise("chat").alias("kind"))
+    return x.select("base", S.llm_endpoint(F.col("base")).alias("e")).select("base", "e.*")
 
 
 @query("SELECT count(*) AS pages, true AS known FROM crawl_docs WHERE url IS NOT NULL")

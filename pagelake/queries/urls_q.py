@@ -171,12 +171,13 @@ def politeness_schedule(s, d):
 
 @query(
     """SELECT v AS url, w AS private FROM (VALUES ('http://localhost/x', true), ('https://10.0.0.8/', true), ('https://192.168.1.1:80/a', true), ('https://172.20.3.4/', true), ('https://172.40.3.4/', false),
-    ('https://a.internal.example/', false), ('ftp://example.org/', true), ('https://vault/secret', true), ('https://x.vault/', true), ('https://169.254.169.254/latest', true), ('https://example.org/10.0.0.1', false)) t(v, w)"""
+    ('https://a.internal.example/', false), ('ftp://example.org/', true), ('https://vault/secret', true), ('https://x.vault/', true), ('https://169.254.169.254/latest', true), ('https://example.org/10.0.0.1', false), ('http://[::1]/', true), ('http://[::]/x', true), ('http://[fd12:3456::1]:8080/', true), ('http://[fe80::1]/', true), ('http://[febf::1]/', true), ('http://[fec0::1]/', false), ('http://[::ffff:10.0.0.1]/', true), ('http://[::ffff:8.8.8.8]/', false), ('http://[2001:db8::1]/', false), ('http://[fd-x.example/', false)) t(v, w)"""
 )
 def url_private_targets(s, d):
     urls = [
         "http://localhost/x", "https://10.0.0.8/", "https://192.168.1.1:80/a", "https://172.20.3.4/", "https://172.40.3.4/", "https://a.internal.example/", "ftp://example.org/",
         "https://vault/secret", "https://x.vault/", "https://169.254.169.254/latest", "https://example.org/10.0.0.1",
+        "http://[::1]/", "http://[::]/x", "http://[fd12:3456::1]:8080/", "http://[fe80::1]/", "http://[febf::1]/", "http://[fec0::1]/", "http://[::ffff:10.0.0.1]/", "http://[::ffff:8.8.8.8]/", "http://[2001:db8::1]/", "http://[fd-x.example/",
     ]
     return s.createDataFrame([(u,) for u in urls], "url STRING").select("url", U.is_private_target(F.col("url")).alias("private"))
 

@@ -241,3 +241,17 @@ def test_judge_output(spark):
     rows = ['[{"type":"a"},{"type":"result","result":"{\\"x\\":1}"},{"type":"result","result":"two"},{"type":"z"}]', '{"result":"one"}', '[{"k":1},{"k":2}]', '{"k":3}', None]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "r STRING").select(judge_result(F.col("r"))).collect()]
     assert got == ["two", "one", '{"k":2}', '{"k":3}', None]
+
+
+def test_request_limits():
+    import pytest
+
+    from pagelake.options import InvalidOption, check_actions, check_concurrency
+
+    check_actions(({"type": "click", "selector": "a.next"}, {"type": "wait", "milliseconds": 10}, {"type": "scroll"}))
+    check_concurrency(1)
+    for bad in (({"type": "fly"},), ({"type": "click", "selector": ""},), ({"type": "wait", "milliseconds": 10**6},), ({"type": "scroll"},) * 51):
+        with pytest.raises(InvalidOption):
+            check_actions(bad)
+    with pytest.raises(InvalidOption):
+        check_concurrency(0)
