@@ -33,7 +33,7 @@ from .lines import find_links
 from .profile import profile
 from .quality import verdicts
 from .residue import Residue, fit_residue
-from .spam import TERMS, UNSURE, Pairs, low_pmi, pmi_terms, terms_row
+from .spam import TERMS, UNSURE, Pairs, low_pmi, pmi_terms, terms_row, with_addresses
 
 SAMPLE_RECORDS = 6000
 BLOCKS = 160
@@ -465,7 +465,7 @@ def detect_languages(df: DataFrame, id_col: str, text_col: str, crf: Crf) -> Dat
 
 
 def language_found(
-    df: DataFrame, id_col: str, text_col: str, label_col: str, status_col: str | None = None, crf: Crf | None = None, residue: Residue | None = None, pairs: Pairs | None = None
+    df: DataFrame, id_col: str, text_col: str, label_col: str, status_col: str | None = None, links_col: str | None = None, crf: Crf | None = None, residue: Residue | None = None, pairs: Pairs | None = None
 ) -> DataFrame:
     """(page_id, block_no, lang) of records with no label, a wrong one or
     several languages; residue, spam, lists, tables and junk are left out."""
@@ -476,17 +476,18 @@ def language_found(
         crf_, residue_ = held.value
         names = ("page_id", "block_no", "lang", "keys", "weights", "own", "words", "pairs")
         out: dict[str, list] = {n: [] for n in names}
-        keep = [(i, t, raw) for i, t, raw in zip(b["i"], b["t"], b["l"], strict=True) if t]
+        links = b.get("k") or [None] * len(b["i"])
+        keep = [x for x in zip(b["i"], b["t"], b["l"], links, strict=True) if x[1]]
         for start in range(0, len(keep), 400):
             some = keep[start : start + 400]
-            for (i, t, raw), r in zip(some, read_languages([x[1] for x in some], crf_), strict=True):
+            for (i, t, raw, ls), r in zip(some, read_languages([x[1] for x in some], crf_), strict=True):
                 if r is None:
                     continue
                 rows = [(n, lang) for n, lang, _, plain in r.parts if plain and lang != OTHER]
                 mixed = len({lang for _, lang in rows}) > 1
                 if r.whole == OTHER or not mixed and label_of(raw) == r.whole:
                     continue
-                p = profile(t)
+                p = with_addresses(profile(t), ls)
                 kinds = verdicts(p, residue_)
                 if any(kinds) and kinds[1] != UNSURE:
                     continue
@@ -496,6 +497,7 @@ def language_found(
                         out[name].append(v)
         return out
 
-    found = map_rows(spread(pick(df, i=id_col, t=text_col, l=label_col)), run, f"page_id BIGINT, block_no INT, lang STRING, {TERMS}")
+    cols = {"i": id_col, "t": text_col, "l": label_col} | ({"k": links_col} if links_col else {})
+    found = map_rows(spread(pick(df, **cols)), run, f"page_id BIGINT, block_no INT, lang STRING, {TERMS}")
     found = save_point(found.withColumn("row", F.monotonically_increasing_id()))
     return found.join(low_pmi(found, df, text_col, pairs), "row", "left_anti").select("page_id", "block_no", "lang")

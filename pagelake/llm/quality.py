@@ -20,7 +20,7 @@ from .engine import map_rows, pick, spread
 from .lexicon import ALL_STOP
 from .profile import MEASURES, QUALITY_RULES, Measures, Profile, measures, profile, quality_kind
 from .residue import Residue, fit_residue
-from .spam import UNSURE, spam_kind
+from .spam import UNSURE, spam_kind, with_addresses
 
 _SYMBOL = r"#|\.\.\.|…|[{}\\<>|~^]"
 _BULLET = r"^\s*(?:[-*+•]|\d{1,3}[.)])\s"
@@ -79,7 +79,7 @@ def verdicts(p: Profile, residue: Residue) -> tuple[str | None, str | None, str
     return None, s, None if s and s != UNSURE else quality_kind(p)[0]
 
 
-def quality_found(df: DataFrame, id_col: str, text_col: str, count_col: str, status_col: str | None = None, residue: Residue | None = None) -> DataFrame:
+def quality_found(df: DataFrame, id_col: str, text_col: str, count_col: str, status_col: str | None = None, links_col: str | None = None, residue: Residue | None = None) -> DataFrame:
     """(page_id, kind, reason): list, table or junk for records that no residue or spam
     verdict covers, and word_count where the stated count isn't the number of
     white-space-separated words."""
@@ -88,7 +88,8 @@ def quality_found(df: DataFrame, id_col: str, text_col: str, count_col: str, sta
     def run(b: dict[str, list]) -> dict[str, list]:
         model = held.value
         ids, kinds, reasons = [], [], []
-        some = [(i, t, n, profile(t)) for i, t, n in zip(b["i"], b["t"], b["n"], strict=True) if t]
+        links = b.get("l") or [None] * len(b["i"])
+        some = [(i, t, n, with_addresses(profile(t), ls)) for i, t, n, ls in zip(b["i"], b["t"], b["n"], links, strict=True) if t]
         m = Measures(*np.array([measures(p) for *_, p in some], dtype=float).reshape(-1, len(MEASURES)).T)
         left = m.rows > 0
         for kind, reason, fails in QUALITY_RULES:
@@ -106,4 +107,5 @@ def quality_found(df: DataFrame, id_col: str, text_col: str, count_col: str, sta
                 reasons.append("stated!=counted")
         return {"page_id": ids, "kind": kinds, "reason": reasons}
 
-    return map_rows(spread(pick(df, i=id_col, t=text_col, n=count_col)), run, "page_id BIGINT, kind STRING, reason STRING")
+    cols = {"i": id_col, "t": text_col, "n": count_col} | ({"l": links_col} if links_col else {})
+    return map_rows(spread(pick(df, **cols)), run, "page_id BIGINT, kind STRING, reason STRING")

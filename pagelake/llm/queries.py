@@ -42,7 +42,7 @@ def p2_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_found(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "metadata.language", "metadata.status_code")
+    return language_found(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "metadata.language", "metadata.status_code", "links")
 
 
 def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def p6_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_found(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "metadata.word_count", "metadata.status_code").select("page_id", "kind")
+    return quality_found(table(spark, sf_dir, "crawl_docs"), "page_id", "markdown", "metadata.word_count", "metadata.status_code", "links").select("page_id", "kind")
 
 
 def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

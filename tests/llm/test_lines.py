@@ -255,3 +255,13 @@ def test_block_rules_find_the_tail_without_cue_words():
     assert all(f is not False for f in main_body(listy)[2])
     quoted = f"{body}\n\n> a short quotation\n\nred, green, blue, yellow, black"
     assert all(f is not False for f in main_body(quoted)[2])
+
+
+def test_addresses_without_a_scheme_are_links():
+    from pagelake.llm.spam import spam_kind, with_addresses
+
+    rows = [f"host{k}.example/some/page-{k}" for k in range(12)]
+    p = profile("# Addresses\n\n" + "\n\n".join(rows))
+    known = [f"https://www.{x}/" for x in rows]
+    assert spam_kind(p) != "links" and spam_kind(with_addresses(p, known)) == "links"
+    assert with_addresses(p, None) is p and with_addresses(p, [None, "x"]) is p
