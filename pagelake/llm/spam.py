@@ -35,7 +35,7 @@ LOW_PMI = 4.0
 PAIR_SHARE = 1e-7  # share of the corpus added to the share of each pair
 WORD_SHARE = 5e-7  # and of each word
 REPEATED = 0.45  # share of a list's words in repeated collocations
-EXCESS = 0.8  # and of any body's, whatever its PMI
+EXCESS = 0.7  # and of any body's, whatever its PMI: rare names have no corpus to speak against them
 MIN_WORDS = 12  # fewer have too few pairs for a mean
 UNSURE = "unsure"  # neither excessive repetition nor links decide: the mean PMI does
 
