@@ -49,7 +49,9 @@ def test_twin(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+    df = QUERIES[name](spark, DATA)
+    rows = df.collect()
+    assert rows and any(v is not None for r in rows for v in r)
 
 
 def test_entry(spark):
